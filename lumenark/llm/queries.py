@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, pii, quality_rules
+from . import chat, decontamination, packing, pii, quality_rules, storage, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,24 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = storage.new_path(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, with_payload=False).where("record_type IS NOT NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    # Rows that share a turn are messages of their own.
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    events = rows.withColumn("nth", nth).withColumn("kind", F.lit("message"))
+    out = chat.format_events(events, message=("turn", "nth"), seq="turn")
+    turns = F.array_join(F.transform(chat.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    under = chat.loss_text(F.col("formatted"), F.col("loss"))
+    return out.select("conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"), F.length(under).cast("bigint").alias("loss_chars"), F.sha2(under, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -44,5 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op5_decontamination": op5_decontamination,
         "op7_pii": op7_pii,
+        "op8_warc": op8_warc,
+        "op9_chat": op9_chat,
         "op10_packing": op10_packing,
     }
