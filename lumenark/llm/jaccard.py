@@ -126,7 +126,7 @@ class Sets:
             poor = np.flatnonzero(wanted & (have < spec.differing(np.minimum(self.size, tops[scheme])) + 1))
             for x in poor.tolist():  # too few non-empty ranges: empty ones count as well
                 empty = np.setdiff1d(np.arange(parts[x], dtype=np.uint64), j[at][t[at] == x])
-                out_k.append(mix(mix(np.uint64(scheme[x]) * U64(0x2545F4914F6CDD1D) + empty) ^ U64(0xE3779B97F4A7C15F)))
+                out_k.append(mix(mix(np.full(len(empty), scheme[x], np.uint64) * U64(0x2545F4914F6CDD1D) + empty) ^ U64(0xE3779B97F4A7C15F)))
                 out_t.append(np.full(len(empty), x))
         if not out_k:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
