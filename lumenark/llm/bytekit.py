@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from ..shipping import ship
+
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
 
@@ -155,7 +157,8 @@ def covered(n: int, starts: np.ndarray, width) -> np.ndarray:
 
 
 def arrow_batches(spark, records: int = 4096, max_bytes: int = 16 << 20) -> None:
-    """Bounds the Arrow batches that Python workers get, where the session leaves Spark's defaults."""
+    """Ships the package and bounds the Arrow batches that Python workers get, where the session leaves Spark's defaults."""
+    ship(spark)
     for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(records)), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(max_bytes))):
         try:
             now = spark.conf.get(key, None)
