@@ -7,19 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, packing, pii, quality_rules, storage, warc
+from . import chat, decontamination, jaccard, license_scan, packing, pii, quality_classifier, quality_rules, secret_scan, storage, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.ledger(_table(spark, sf_dir, "documents"))
     failed = (F.col("failed").bitwiseAND(F.lit(quality_rules.POLICIES["base"].mask)) != 0).alias("base_failed")
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed, quality_rules.verdict(), F.col("failed").alias("failed_bits"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",")
+    places = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["rule"], m["first"], m["last"])), ",")
+    return found.select("doc_id", "n_sentences", "n_known", F.size("matches").cast("bigint").alias("n_matches"), names.alias("licenses"), places.alias("matches"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -63,7 +78,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_quality_rules": op2_quality_rules,
+        "op3_license_scan": op3_license_scan,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_decontamination": op5_decontamination,
         "op6_jaccard": op6_jaccard,
         "op7_pii": op7_pii,
