@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .schemas import CORE_TABLES, LAZY_TABLES, MEDIA_DEFAULTS, SCHEMA_VERSION, SCHEMAS
+from .schemas import CORE_TABLES, LAZY_TABLES, MEDIA_DEFAULTS, SCHEMA_VERSION, schema
 
 
 class NotFound(LookupError):
@@ -61,7 +61,7 @@ class Library:
             raise RuntimeError("another writer committed first")
 
     def _conform(self, name: str, df: DataFrame) -> DataFrame:
-        cols = [(F.col(f.name) if f.name in df.columns else F.lit(MEDIA_DEFAULTS.get(f.name))).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]
+        cols = [(F.col(f.name) if f.name in df.columns else F.lit(MEDIA_DEFAULTS.get(f.name))).cast(f.dataType).alias(f.name) for f in schema(name).fields]
         return df.select(*cols)
 
     # Reading.
@@ -99,14 +99,14 @@ class Library:
         """Core tables; text and album tables stay if there are any."""
         if self.ready() and not drop_existing:
             return
-        empty = {t: self.spark.createDataFrame([], SCHEMAS[t]) for t in CORE_TABLES if t != "meta"}
+        empty = {t: self.spark.createDataFrame([], schema(t)) for t in CORE_TABLES if t != "meta"}
         self.commit(empty | {"meta": self._meta_rows(meta)})
 
     def ensure(self, *names: str) -> None:
         """Tables that are made when first needed."""
         missing = [t for t in names or LAZY_TABLES if not self.has(t)]
         if missing:
-            self.commit({t: self.spark.createDataFrame([], SCHEMAS[t]) for t in missing})
+            self.commit({t: self.spark.createDataFrame([], schema(t)) for t in missing})
 
     def ensure_media_columns(self) -> bool:
         """Adds columns that an older library lacks; true if anything was added."""
@@ -118,7 +118,7 @@ class Library:
         return True
 
     def _meta_rows(self, meta: dict[str, str]) -> DataFrame:
-        return self.spark.createDataFrame(sorted((str(k), str(v)) for k, v in ({"schema_version": SCHEMA_VERSION} | meta).items()), SCHEMAS["meta"])
+        return self.spark.createDataFrame(sorted((str(k), str(v)) for k, v in ({"schema_version": SCHEMA_VERSION} | meta).items()), schema("meta"))
 
     def read_meta(self) -> dict[str, str]:
         return {r.key: r.value for r in self.table("meta").collect()}

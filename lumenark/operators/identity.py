@@ -65,7 +65,7 @@ def merge_suggestions(people: DataFrame, images: DataFrame, limit: int = 20, min
     alive = people.where(~F.coalesce("hidden", F.lit(False)) & F.col("centroid").isNotNull() & ~zero)
     near = vectors.knn(alive, k=1 << 30, threshold=min_similarity, id_="person_id", vector="centroid").where("a < b")
     # Only candidate pairs are looked up in the photos; photo pairs are never made.
-    sides = images.select("image_id", F.explode("people_ids").cast("bigint").alias("p"))
+    sides = images.select("image_id", F.explode(F.col("people_ids").cast("array<bigint>")).alias("p"))
     together = near.join(sides.withColumnRenamed("p", "a"), "a").select("a", "b", "image_id").join(sides.withColumnRenamed("p", "b"), ["b", "image_id"], "left_semi").select("a", "b").distinct()
     pairs = near.join(together, ["a", "b"], "left_anti")
     if dismissed is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql.types import StructType
 
 SCHEMA_VERSION = 2
@@ -15,7 +17,14 @@ _DDL = {
     "album_items": "album_id int not null, image_id bigint not null, added_at timestamp_ntz",
     "meta": "key string not null, value string",
 }
-SCHEMAS = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+
+@cache
+def schema(name: str) -> StructType:
+    """Parsed by the session, so only when first needed; workers import this module without one."""
+    return StructType.fromDDL(_DDL[name])
+
+
 CORE_TABLES, LAZY_TABLES = ("images", "faces", "people", "meta"), ("ocr", "albums", "album_items")
 #: Columns that older libraries lack, with their defaults.
 MEDIA_DEFAULTS = {"media_type": "image", "duration_ms": 0}
