@@ -15,7 +15,7 @@ import pyarrow as pa
 from ..shipping import ship
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240611)
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -156,7 +156,7 @@ def covered(n: int, starts: np.ndarray, width) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def arrow_batches(spark, records: int = 4096, max_bytes: int = 16 << 20) -> None:
+def arrow_batches(spark, records: int = 2048, max_bytes: int = 4 << 20) -> None:
     """Ships the package and bounds the Arrow batches that Python workers get, where the session leaves Spark's defaults."""
     ship(spark)
     for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(records)), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(max_bytes))):

@@ -12,11 +12,13 @@ sets link when their Jaccard similarity reaches num/den. The join is exact:
 3. Each set goes to its fullest tile. There a parity bitmap bounds the overlap of
    two sets from above (differing bits never outnumber differing shingles); pairs
    that pass are intersected exactly as sorted arrays, unless already connected.
-4. Tiles that still hold different components are joined again, across components
+4. Components that share a tile compare a few members, for some rounds; this joins
+   the parts of large groups at little cost.
+5. Tiles that still hold different components are joined again, across components
    only, with the bitmap bound in the join condition and exact checks behind it.
 
 Equal sets are one node, so copies cost nothing. Large tiles are split by a salt
-with shared bridge sets; step 4 makes the split exact. Node identity is a 64-bit
+with shared bridge sets; step 5 makes the split exact. Node identity is a 64-bit
 fingerprint of the set: among N distinct sets two collide with chance N^2 / 2^65.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing;
@@ -43,7 +45,9 @@ from .storage import saved
 BROADCAST_ROWS = 300_000
 #: Shingles in one tile task; entries of one key that a task passes on directly.
 TILE_SHINGLES, HOT_ENTRIES, BRIDGES = 2_000_000, 16, 8
-BUCKET_BYTES, FLUSH = 4 << 20, 1 << 20
+BUCKET_BYTES, FLUSH = 4 << 20, 1 << 19
+#: Rounds that merge components by a few of their members, before the exact one.
+MERGE_ROUNDS = 2
 WORDS = 16  # of the bitmap: 1024 bits
 
 
@@ -132,11 +136,14 @@ class Sets:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         return np.concatenate(out_k), np.concatenate(out_t)
 
-    def bitmaps(self) -> np.ndarray:
-        """Parity of the shingles on each of the bits."""
+    def bitmaps(self, texts: np.ndarray) -> np.ndarray:
+        """Parity of the shingles on each of the bits, for some texts."""
         bit = (self.own & U64(64 * WORDS - 1)).astype(np.int64)
-        flat = np.bincount(self.text * (64 * WORDS) + bit, minlength=len(self.size) * 64 * WORDS) & 1
-        return np.packbits(flat.astype(np.uint8).reshape(len(self.size), -1), axis=1, bitorder="little").view(np.uint64)
+        out = np.zeros((len(texts), WORDS), np.uint64)
+        for i, t in enumerate(texts.tolist()):
+            flat = np.bincount(bit[self.offs[t] : self.offs[t + 1]], minlength=64 * WORDS) & 1
+            out[i] = np.packbits(flat.astype(np.uint8), bitorder="little").view(np.uint64)
+        return out
 
 
 def _sets(batch_column, k: int) -> Iterator[tuple[int, Sets]]:
@@ -212,23 +219,30 @@ def tiles(docs: DataFrame, spec: Spec, largest: int, total: int) -> DataFrame:
         if count:
             yield from flush()
 
-    def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        k = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-        n = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.uint64)
-        order = np.lexsort((n, k))
-        k, n = k[order], n[order]
-        fresh = np.ones(len(k), bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (n[1:] != n[:-1])
-        k, n = k[fresh], n[fresh]
-        first = np.ones(len(k), bool)
-        first[1:] = k[1:] != k[:-1]
-        run_of = np.cumsum(first) - 1
-        c = np.bincount(run_of, minlength=1)[run_of]
-        keep = c > 1
-        return pa.table([_signed(k[keep]), _signed(n[keep]), pa.array(c[keep])], names=["tile", "node", "c"])
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lots: dict[int, list[tuple[bytes, bytes]]] = {}  # what one task is dealt: about BUCKET_BYTES a bucket
+        for b in batches:
+            for name, k, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                lots.setdefault(name, []).append((k, n))
+        while lots:
+            _, lot = lots.popitem()
+            k, n = (np.frombuffer(b"".join(x), np.uint64) for x in zip(*lot, strict=True))
+            del lot
+            order = np.lexsort((n, k))
+            k, n = k[order], n[order]
+            fresh = np.ones(len(k), bool)
+            fresh[1:] = (k[1:] != k[:-1]) | (n[1:] != n[:-1])
+            k, n = k[fresh], n[fresh]
+            first = np.ones(len(k), bool)
+            first[1:] = k[1:] != k[:-1]
+            run_of = np.cumsum(first) - 1
+            c = np.bincount(run_of, minlength=1)[run_of]
+            keep = c > 1
+            yield pa.RecordBatch.from_arrays([_signed(k[keep]), _signed(n[keep]), pa.array(c[keep])], names=["tile", "node", "c"])
 
     packed = docs.select("text").mapInArrow(run, "bucket bigint, keys binary, nodes binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "tile bigint, node bigint, c bigint")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(1 << bits) // 2))
+    return packed.repartition(n, "bucket").mapInArrow(meet, "tile bigint, node bigint, c bigint")
 
 
 def members(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -239,7 +253,7 @@ def members(docs: DataFrame, spec: Spec) -> DataFrame:
         for b in batches:
             for _, s in _sets(b.column(0), spec.k):
                 at = np.flatnonzero(s.size)
-                bm = s.bitmaps()[at]
+                bm = s.bitmaps(at)
                 sets = [s.values[s.offs[i] : s.offs[i + 1]].tobytes() for i in at]
                 yield pa.RecordBatch.from_arrays([_signed(s.node[at]), pa.array(s.size[at]), pa.array(sets, pa.binary()), *(_signed(np.ascontiguousarray(bm[:, i])) for i in range(WORDS))], names=names)
 
@@ -255,12 +269,12 @@ def linked(a: np.ndarray, b: np.ndarray, spec: Spec) -> bool:
     return spec.den * inter >= spec.num * (len(a) + len(b) - inter)
 
 
-def link_tile(nodes: np.ndarray, sets: list[np.ndarray], bitmaps: np.ndarray, spec: Spec) -> np.ndarray:
-    """The smallest node connected to each, inside one tile. Pairs already connected are not looked at."""
+def link_tile(nodes: np.ndarray, sets: list[np.ndarray], bitmaps: np.ndarray, spec: Spec, known: np.ndarray | None = None) -> np.ndarray:
+    """The smallest node connected to each, inside one tile. Pairs already connected (at the start: of one known component) are not looked at."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     size = np.array([len(sets[i]) for i in order], np.int64)
     bm = bitmaps[order]
-    label = np.arange(len(order))
+    label = np.arange(len(order)) if known is None else np.unique(known[order], return_inverse=True)[1]
     for i in range(1, len(order)):
         lo = int(np.searchsorted(size, -(-spec.num * size[i] // spec.den)))
         bound = spec.differing(size[lo:i])
@@ -283,6 +297,10 @@ def link_tile(nodes: np.ndarray, sets: list[np.ndarray], bitmaps: np.ndarray, sp
     return out
 
 
+def _arrays(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")], np.stack([table.column(f"b{i}").to_numpy().view(np.uint64) for i in range(WORDS)], 1)
+
+
 def _first_round(spark: SparkSession, met: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
     """(a, b): each candidate node and what it is connected to inside its fullest tile."""
     home = met.groupBy("node").agg(F.max(F.struct("c", "tile")).alias("x")).select("node", F.col("x.tile").alias("tile"))
@@ -296,19 +314,49 @@ def _first_round(spark: SparkSession, met: DataFrame, sets: DataFrame, spec: Spe
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
-        arrays = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
-        bm = np.stack([table.column(f"b{i}").to_numpy().view(np.uint64) for i in range(WORDS)], 1)
-        return pa.table([pa.array(nodes), pa.array(link_tile(nodes, arrays, bm, spec))], names=["a", "b"])
+        return pa.table([pa.array(nodes), pa.array(link_tile(nodes, *_arrays(table), spec))], names=["a", "b"])
 
     return dealt.groupBy("tile", "salt").applyInArrow(work, "a bigint, b bigint")
 
 
-def _second_round(met: DataFrame, sets: DataFrame, comp: DataFrame, spec: Spec) -> DataFrame:
-    """(a, b): components that a link joins, found across components of one tile."""
-    named = met.select("tile", "node").distinct().join(comp, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+def _named(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """(tile, node, comp) of the tiles that still hold different components."""
+    named = met.join(comp, "node", "left").select("tile", "node", F.coalesce("label", "node").alias("comp"))
     mixed = named.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tile")
+    return named.join(mixed, "tile", "left_semi")
+
+
+def _merge_round(named: DataFrame, sets: DataFrame, spec: Spec, turn: int) -> DataFrame:
+    """(a, b): components that a link between some of their members joins.
+
+    Each component names the tile that holds most sets; there every component shows
+    two of its members. It only saves work: groups of near copies become few
+    components, so that the exact last round has few pairs left.
+    """
+    pick = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("node"))
+    per = named.groupBy("tile", "comp").agg(F.count("*").alias("m"), F.min(pick).alias("x"), F.max(pick).alias("y"))
+    full = per.groupBy("tile").agg(F.sum("m").alias("total"), F.count("*").alias("parts"))
+    rank = F.struct(F.col("total"), F.col("tile")) if turn % 2 == 0 else F.struct(F.col("parts"), F.xxhash64("tile", F.lit(turn)), F.col("tile"))
+    chosen = per.join(full, "tile").groupBy("comp").agg(F.max(rank).alias("r")).select(F.col("r.tile").alias("tile")).distinct()
+    shown = per.join(chosen, "tile", "left_semi").select("tile", "comp", F.explode(F.array_distinct(F.array("x.node", "y.node"))).alias("node"))
+    placed = shown.join(sets, "node")
+    totals = placed.groupBy("tile").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where(F.col("total") > TILE_SHINGLES)
+    placed = placed.join(totals, "tile", "left")
+    salts = F.coalesce(F.ceil(F.col("total") / TILE_SHINGLES), F.lit(1)).cast("int")
+    salt = F.pmod(F.xxhash64("comp", F.lit(turn)), salts).cast("int")
+
+    def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        comp = table.column("comp").to_numpy()
+        low = link_tile(comp, *_arrays(table), spec, comp)
+        return pa.table([pa.array(comp), pa.array(low)], names=["a", "b"])
+
+    return placed.withColumn("salt", salt).drop("total", "m", "n").groupBy("tile", "salt").applyInArrow(work, "a bigint, b bigint")
+
+
+def _last_round(named: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
+    """(a, b): components that a link joins, from all pairs across components of a tile that the bitmap lets through."""
     bits = [f"b{i}" for i in range(WORDS)]
-    rows = named.join(mixed, "tile").join(sets.drop("set"), "node")
+    rows = named.join(sets.drop("set"), "node")
     x, y = rows.alias("x"), rows.alias("y")
     less = F.least(F.col("x.n"), F.col("y.n"))
     most = F.greatest(F.col("x.n"), F.col("y.n"))
@@ -328,6 +376,17 @@ def _second_round(met: DataFrame, sets: DataFrame, comp: DataFrame, spec: Spec)
     return both.mapInArrow(verify, "a bigint, b bigint").distinct()
 
 
+def _relabel(spark: SparkSession, comp: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """Components after edges between them, and how many were joined to another."""
+    edges = saved(spark, edges.where("a <> b").distinct(), "links")
+    if edges.isEmpty():
+        return comp, 0
+    wide = saved(spark, components(spark, edges).select(F.col("node").alias("label"), F.col("label").alias("wide")), "merges")
+    known = comp.join(wide, "label", "left").select("node", F.coalesce("wide", "label").alias("label"))
+    alone = wide.join(comp.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("wide").alias("label"))
+    return saved(spark, known.unionByName(alone), "components"), wide.where("label <> wide").count()
+
+
 def join(docs: DataFrame, spec: Spec = Spec(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id (under its own name), n_shingles, component_id (smallest id connected by links)."""
     spark = docs.sparkSession
@@ -343,13 +402,14 @@ def join(docs: DataFrame, spec: Spec = Spec(), doc_id: str = "doc_id", text: str
     few = ids.count() <= BROADCAST_ROWS
     chosen = src.join(F.broadcast(ids) if few else ids, "id", "left_semi")
     sets = saved(spark, members(chosen, spec), "sets", codec="none")
-    near = saved(spark, _first_round(spark, met, sets, spec), "links")
-    comp = saved(spark, components(spark, near), "components")
-    more = components(spark, _second_round(met, sets, comp, spec))
-    comp = comp.join(more.select(F.col("node").alias("label"), F.col("label").alias("wide")), "label", "left")
-    alone = more.join(comp.select("node"), "node", "left_anti")
-    final = comp.select("node", F.coalesce("wide", "label").alias("label")).unionByName(alone)
-    final = saved(spark, final, "labels")
+    comp = saved(spark, components(spark, _first_round(spark, met, sets, spec)), "components")
+    named = saved(spark, _named(met.select("tile", "node").distinct(), comp), "mixed")
+    for turn in range(MERGE_ROUNDS):
+        comp, joined = _relabel(spark, comp, _merge_round(named, sets, spec, turn))
+        if not joined:
+            break
+        named = saved(spark, _named(named.drop("comp"), comp), "mixed")
+    final, _ = _relabel(spark, comp, _last_round(named, sets, spec))
     named = known.join(final, "node", "left").withColumn("class", F.coalesce("label", "node"))
     # Only classes of several rows need a second look; a hot class meets one narrow row.
     lows = named.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("low"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
