@@ -126,6 +126,8 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
         row(1, "aws_access_key", F.concat(F.lit("AKIA"), F.upper(alnum(16))), word, src_path),
         row(1, "github_token", F.concat(F.lit("ghp_"), alnum(36)), word, src_path),
         row(1, "high_entropy", hexes(40, "d"), F.concat(word, F.lit(" "), secret_word, F.lit(" ")), src_path),
+        row(1, "aws_access_key", F.concat(F.lit("AKIA"), F.upper(alnum(16))), F.concat(hash_word, F.lit(" ")), src_path),
+        row(1, "assignment", upper(assigned(hexes(40, "h"))), F.concat(hash_word, F.lit(" ")), src_path),
         row(0, "high_entropy", hexes(40, "e"), F.concat(word, F.lit(" "), hash_word, F.lit(" ")), src_path),
         row(0, "high_entropy", hexes(64, "f"), F.concat(hash_word, F.lit(": ")), src_path),
         row(0, "high_entropy", F.concat(plain, F.lit("_"), pick(DICTIONARY, 11)), word, src_path),
