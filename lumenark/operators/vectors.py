@@ -72,7 +72,7 @@ def mean_direction(rows: DataFrame, vector: str = "vector") -> list[float] | Non
 
 def _best(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.ndarray, k: int, threshold: float) -> pd.DataFrame:
     out = []
-    for lo in range(0, len(ids), BLOCK):
+    for lo in range(0, len(ids) if len(other) else 0, BLOCK):
         s = np.round(x[lo : lo + BLOCK] @ other.T, 4)
         s[ids[lo : lo + BLOCK, None] == other_ids[None, :]] = -np.inf
         r, c = np.nonzero(s >= threshold)
