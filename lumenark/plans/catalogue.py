@@ -12,6 +12,7 @@ from ..functions import parsing as P
 from ..operators import aggregates as A
 from ..operators import albums as AL
 from ..operators import browse as B
+from ..operators import details as DT
 from ..operators import duplicates as D
 from ..operators import identity as I
 from ..operators import vectors as V
@@ -283,6 +284,11 @@ def person_exemplars(spark, d):
     return I.exemplars(df).select("person_id", "image_id", "part", F.col("rank").cast("bigint").alias("rank"))
 
 
+@_query("SELECT image_id, f.person_id, name, min(part) AS first_face FROM faces f JOIN people p ON f.person_id = p.person_id WHERE image_id % 10 = 1 GROUP BY ALL")
+def people_on_images(spark, d):
+    return DT.people_on_images(W.faces(spark, d).where("image_id % 10 = 1"), W.people(spark, d), "part")
+
+
 _UNIT = "list_transform(CAST(vector AS DOUBLE[]), lambda x: x / greatest(sqrt(list_inner_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[]))), 1e-12))"
 _Q5 = "(SELECT CAST(vector AS DOUBLE[]) FROM vectors WHERE image_id = 5)"
 _SIM = f"round(list_inner_product(CAST(vector AS DOUBLE[]), {_Q5}) / (greatest(sqrt(list_inner_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[]))), 1e-12) * greatest(sqrt(list_inner_product({_Q5}, {_Q5})), 1e-12)), 4)"

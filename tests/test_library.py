@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenark.functions import backends, parsing
 from lumenark.library import Library, NotFound, SchemaMismatch
-from lumenark.operators import albums, browse, duplicates, graph, identity, vectors
+from lumenark.operators import albums, browse, details, duplicates, graph, identity, vectors
 from lumenark.sources import media
 from lumenark.streaming import ingest
 
@@ -109,6 +109,21 @@ def test_merge_detach_delete(lib):
     assert p.delete(new) == [4] and people_of(lib)[4] == []
 
 
+def test_details_and_trash(spark, lib):
+    got = details.image_details(lib, 1)
+    assert [p["person_id"] for p in got["people"]] == [0, 1] and [f["face_id"] for f in got["faces"]] == [1, 2] and got["text"] == ""
+    with pytest.raises(NotFound):
+        details.ocr_text(lib, 77)
+
+    def send(path):
+        if path.endswith("/0.jpg"):
+            raise OSError(path)
+        return None if path.endswith("/2.jpg") else True
+
+    assert details.trash_images(lib, [0, 1, 2, 2], send) == {"trashed": 1, "missing": 1, "failed": 1, "removed": 2}
+    assert sorted(ids(lib.table("images"))) == [0, 3, 4] and lib.row("people", "person_id", 1).face_count == 0
+
+
 def test_recluster_keeps_names_and_confirmed_faces(lib):  # T20, T21
     p = identity.People(lib)
     p.assign([0], 0)
