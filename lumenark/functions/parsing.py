@@ -15,21 +15,24 @@ def sane(t: Column) -> Column:
     return F.when(F.year(t).between(1900, 2100), t)
 
 
+# Fixed value: dates in file names, with a time and seconds if there are any.
+FILENAME_DATE = r"(19\d{2}|20\d{2})[-_.]?(0[1-9]|1[0-2])[-_.]?(0[1-9]|[12]\d|3[01])(?:[-_ tT]?([01]\d|2[0-3])[-_.:]?([0-5]\d)(?:[-_.:]?([0-5]\d))?)?"
+
+
 def exif_date(s: Column) -> Column:
-    """Dates as cameras write them; zeros and nonsense are null."""
-    s = F.trim(s)
-    forms = ["yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in forms]).cast("timestamp_ntz")
-    return sane(F.when(~F.startswith(s, F.lit("0000")), parsed))
+    """Dates as cameras write them (2018:07:04 15:30:00, with or without a fraction) or as ISO; zeros and nonsense are null."""
+    s = F.trim(F.replace(s, F.lit("\x00"), F.lit("")))
+    iso = F.regexp_replace(s, r"^(\d{4}):(\d{2}):(\d{2}) ", "$1-$2-$3 ")
+    ok = iso.rlike(r"^\d{4}-\d{2}-\d{2}") & ~F.startswith(s, F.lit("0000"))
+    return sane(F.when(ok, iso.try_cast("timestamp_ntz")))
 
 
 def filename_date(stem: Column) -> Column:
     """A date, and time if there is one, inside a file name: 20180704, 2018-07-04, 20180704_153000."""
-    p = r"(?<![0-9])((?:19|20)[0-9]{2})[-_.]?(0[1-9]|1[0-2])[-_.]?(0[1-9]|[12][0-9]|3[01])(?:[-_. T]?([01][0-9]|2[0-3])[-_.:]?([0-5][0-9])[-_.:]?([0-5][0-9]))?(?![0-9])"
-    g = lambda i: F.regexp_extract(stem, p, i)
-    time = F.when(g(4) != "", F.concat_ws(":", g(4), g(5), g(6))).otherwise("00:00:00")
-    text = F.concat(F.concat_ws("-", g(1), g(2), g(3)), F.lit(" "), time)
-    return F.when(g(1) != "", F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"))
+    g = lambda i: F.regexp_extract(stem, FILENAME_DATE, i)
+    part = lambda i: F.when(g(i) != "", g(i)).otherwise("00")
+    text = F.concat(F.concat_ws("-", g(1), g(2), g(3)), F.lit(" "), F.concat_ws(":", part(4), part(5), part(6)))
+    return F.when(g(1) != "", text.try_cast("timestamp_ntz"))
 
 
 def dms(degrees: Column, minutes: Column, seconds: Column, ref: Column) -> Column:
