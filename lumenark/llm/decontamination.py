@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .bytekit import ALNUM, LOWER_TABLE, U64, Words, arrow_batches, chunks, gram_starts, grams, per_text, string_bytes
 
-WIDTH, SHINGLE, BLOCK_BYTES = 10, 5, 16 << 20
+#: A block of item text takes about a hundred times its size on the driver while it is indexed.
+WIDTH, SHINGLE, BLOCK_BYTES = 10, 5, 2 << 20
 _FILTER_BITS = 22
 
 

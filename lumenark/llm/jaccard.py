@@ -23,7 +23,8 @@ fingerprint of the set: among N distinct sets two collide with chance N^2 / 2^65
 
 Defined results: null, empty and blank texts have no shingles and link with nothing;
 fewer than k words are one shingle; repeated rows give repeated rows in one
-component; a null id is not a component's smallest id; an empty table gives no
+component; a null id is not a component's smallest id, and a set that only rows with
+null ids have is compared by equality alone; an empty table gives no
 rows; extra columns are ignored, or kept under any name by `deduplicate`.
 """
 
