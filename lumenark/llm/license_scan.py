@@ -163,15 +163,11 @@ class Tables:
         self.starting: dict[int, list[Rule]] = {}
         for r in self.rules:
             self.starting.setdefault(r.sentences[0], []).append(r)
-        keys = [self.fingerprint(s) for s in self.sentences]
-        order = np.argsort(np.array(keys, np.uint64))
-        self.keys, self.number = np.array(keys, np.uint64)[order], order
-
-    @staticmethod
-    def fingerprint(words: tuple[str, ...]) -> int:
-        data, offs = string_bytes(pa.array([" ".join(words)], pa.large_string()))
+        data, offs = string_bytes(pa.array([" ".join(x) for x in self.sentences], pa.large_string()))
         w = Words(data, offs, ALNUM)
-        return int(sequence_hash(w.hashes(LOWER_TABLE), np.array([0]), np.array([len(w.starts)]))[0])
+        keys = sequence_hash(w.hashes(LOWER_TABLE), w.by_text[:-1], w.by_text[1:])
+        self.number = np.argsort(keys)
+        self.keys = keys[self.number]
 
 
 def sequence_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
