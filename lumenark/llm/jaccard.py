@@ -40,15 +40,15 @@ from pyspark.sql import functions as F
 
 from .bytekit import LOWER_TABLE, NON_SPACE, U64, Words, arrow_batches, chunks, gram_starts, grams, mix, string_bytes
 from .components import components
-from .storage import saved
+from .storage import release, saved
 
 #: Candidate ids that are broadcast to pick texts; beyond it texts are joined by shuffle.
 BROADCAST_ROWS = 300_000
 #: Shingles in one tile task; entries of one key that a task passes on directly.
 TILE_SHINGLES, HOT_ENTRIES, BRIDGES = 2_000_000, 16, 8
 BUCKET_BYTES, FLUSH = 4 << 20, 1 << 19
-#: Rounds that merge components by a few of their members, before the exact one.
-MERGE_ROUNDS = 2
+#: Rounds that merge components by a few of their members, before the exact one. The first finds nearly all.
+MERGE_ROUNDS = 1
 WORDS = 16  # of the bitmap: 1024 bits
 
 
@@ -397,12 +397,14 @@ def join(docs: DataFrame, spec: Spec = Spec(), doc_id: str = "doc_id", text: str
     stat = known.agg(F.max("n"), F.sum("n")).first()
     largest, total = int(stat[0] or 0), int(stat[1] or 0)
     met = saved(spark, tiles(src, spec, max(largest, 1), total), "tiles")
+    release(spark)
     candidates = met.select("node").distinct()
     ids = known.join(candidates, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id")
     ids = saved(spark, ids.where("id IS NOT NULL").distinct(), "candidates")
     few = ids.count() <= BROADCAST_ROWS
     chosen = src.join(F.broadcast(ids) if few else ids, "id", "left_semi")
     sets = saved(spark, members(chosen, spec), "sets", codec="none")
+    release(spark)
     comp = saved(spark, components(spark, _first_round(spark, met, sets, spec)), "components")
     named = saved(spark, _named(met.select("tile", "node").distinct(), comp), "mixed")
     for turn in range(MERGE_ROUNDS):
@@ -410,6 +412,7 @@ def join(docs: DataFrame, spec: Spec = Spec(), doc_id: str = "doc_id", text: str
         if not joined:
             break
         named = saved(spark, _named(named.drop("comp"), comp), "mixed")
+    release(spark)
     final, _ = _relabel(spark, comp, _last_round(named, sets, spec))
     named = known.join(final, "node", "left").withColumn("class", F.coalesce("label", "node"))
     # Only classes of several rows need a second look; a hot class meets one narrow row.
