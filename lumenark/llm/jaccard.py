@@ -24,8 +24,9 @@ fingerprint of the set: among N distinct sets two collide with chance N^2 / 2^65
 Defined results: null, empty and blank texts have no shingles and link with nothing;
 fewer than k words are one shingle; repeated rows give repeated rows in one
 component; a null id is not a component's smallest id, and a set that only rows with
-null ids have is compared by equality alone; an empty table gives no
-rows; extra columns are ignored, or kept under any name by `deduplicate`.
+null ids have is compared by equality alone in `join` (`deduplicate` compares it like
+any other); an empty table gives no rows; extra columns are ignored, or kept under any
+name by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -158,16 +159,18 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def sizes(docs: DataFrame, spec: Spec) -> DataFrame:
-    """id, n (size of its set), node (null for an empty set). docs: id, text."""
+    """id, n (size of its set), node (null for an empty set), and what follows the text. docs: id, text, ..."""
+    more = docs.columns[2:]
+    types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [s for _, s in _sets(b.column(1), spec.k)]
             if got:
                 n, node = np.concatenate([s.size for s in got]), np.concatenate([s.node for s in got])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(node.view(np.int64), mask=n == 0)], names=["id", "n", "node"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(node.view(np.int64), mask=n == 0), *b.columns[2:]], names=["id", "n", "node", *more])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n bigint, node bigint")
+    return docs.mapInArrow(run, ", ".join([f"id {types['id']}, n bigint, node bigint"] + [f"{c} {types[c]}" for c in more]))
 
 
 def tiles(docs: DataFrame, spec: Spec, largest: int, total: int) -> DataFrame:
@@ -388,21 +391,25 @@ def _relabel(spark: SparkSession, comp: DataFrame, edges: DataFrame) -> tuple[Da
     return saved(spark, known.unionByName(alone), "components"), wide.where("label <> wide").count()
 
 
-def join(docs: DataFrame, spec: Spec = Spec(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: id (under its own name), n_shingles, component_id (smallest id connected by links)."""
-    spark = docs.sparkSession
+def _classes(src: DataFrame, spec: Spec) -> DataFrame:
+    """The columns of `sizes` and class, equal for rows that links connect (null without shingles). src: id, text, and h where rows go by id and h."""
+    spark = src.sparkSession
     arrow_batches(spark)
-    src = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     known = saved(spark, sizes(src, spec), "set-sizes")
     stat = known.agg(F.max("n"), F.sum("n")).first()
     largest, total = int(stat[0] or 0), int(stat[1] or 0)
     met = saved(spark, tiles(src, spec, max(largest, 1), total), "tiles")
     release(spark)
     candidates = met.select("node").distinct()
-    ids = known.join(candidates, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id")
-    ids = saved(spark, ids.where("id IS NOT NULL").distinct(), "candidates")
+    by_node = known.join(candidates, "node", "left_semi").groupBy("node")
+    if "h" in src.columns:
+        ids = by_node.agg(_first_row().alias("low")).select(F.col("low.id").alias("__id"), F.col("low.h").alias("__h"))
+        on = F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
+    else:
+        ids, on = by_node.agg(F.min("id").alias("id")).select("id").where("id IS NOT NULL"), "id"
+    ids = saved(spark, ids.distinct(), "candidates")
     few = ids.count() <= BROADCAST_ROWS
-    chosen = src.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    chosen = src.join(F.broadcast(ids) if few else ids, on, "left_semi")
     sets = saved(spark, members(chosen, spec), "sets", codec="none")
     release(spark)
     comp = saved(spark, components(spark, _first_round(spark, met, sets, spec)), "components")
@@ -414,7 +421,17 @@ def join(docs: DataFrame, spec: Spec = Spec(), doc_id: str = "doc_id", text: str
         named = saved(spark, _named(named.drop("comp"), comp), "mixed")
     release(spark)
     final, _ = _relabel(spark, comp, _last_round(named, sets, spec))
-    named = known.join(final, "node", "left").withColumn("class", F.coalesce("label", "node"))
+    return known.join(final, "node", "left").withColumn("class", F.coalesce("label", "node"))
+
+
+def _first_row():
+    """The smallest id with the smallest h it has; null ids come last."""
+    return F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h")))
+
+
+def join(docs: DataFrame, spec: Spec = Spec(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: id (under its own name), n_shingles, component_id (smallest id connected by links)."""
+    named = _classes(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")), spec)
     # Only classes of several rows need a second look; a hot class meets one narrow row.
     lows = named.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("low"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     out = named.join(lows, "class", "left")
@@ -422,11 +439,35 @@ def join(docs: DataFrame, spec: Spec = Spec(), doc_id: str = "doc_id", text: str
 
 
 def deduplicate(docs: DataFrame, spec: Spec = Spec(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group: that with the smallest id. All columns stay, under any names. Repeated rows of one id leave one row."""
-    found = join(docs, spec, doc_id, text).where(F.col("n_shingles") > 0)
-    gone = found.where(F.col(f"`{doc_id}`") != F.col("component_id")).select(F.col(f"`{doc_id}`").alias("__gone")).distinct()
+    """One row of each group: one with the smallest id, null ids last. All columns stay, under any names.
+
+    Rows go by id and a 64-bit hash of the text, so an id with several texts may be in
+    several groups. Of rows equal in both, any one stays. Rows without shingles are in
+    no group: repeats of one id and text leave one row, and those with a null id all stay.
+    """
+    spark = docs.sparkSession
+    value = F.col(f"`{text}`").cast("string")
+    src = docs.select(F.col(f"`{doc_id}`").alias("id"), value.alias("text"), F.xxhash64(value).alias("h"))
+    found = saved(spark, _classes(src, spec).select("id", "h", "class"), "classes")
+    lows = found.where("class IS NOT NULL").groupBy("class").agg(_first_row().alias("low"), F.count("*").alias("rows")).where("rows > 1")
+    lows = saved(spark, lows.select("class", F.col("low.id").alias("low_id"), F.col("low.h").alias("low_h")), "lows")
+    several = found.join(F.broadcast(lows) if lows.count() <= BROADCAST_ROWS else lows, "class")
+    first = F.col("id").eqNullSafe(F.col("low_id")) & (F.col("h") == F.col("low_h"))
+    blank = found.where("class IS NULL AND id IS NOT NULL").select("id", "h")
+    gone = saved(spark, several.where(~first).select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct(), "gone")
+    stay = several.where(first).select("id", "h").unionByName(blank)
+    again = saved(spark, stay.groupBy("id", "h").agg(F.count("*").alias("m")).where("m > 1").select(F.col("id").alias("__id"), F.col("h").alias("__h")), "repeats")
     own = {f"__c{i}": c for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*own).withColumn("__row", F.xxhash64(F.col(f"__c{docs.columns.index(text)}").cast("string")))
     key = f"__c{docs.columns.index(doc_id)}"
-    gone = saved(docs.sparkSession, gone, "gone")
-    kept = docs.toDF(*own).join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col(key) == F.col("__gone"), "left_anti")
-    return kept.toDF(*own.values())
+
+    def pick(keys: DataFrame, how: str) -> DataFrame:
+        few = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+        return rows.join(few, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__h")), how)
+
+    if again.isEmpty():
+        kept = pick(gone, "left_anti")
+    else:
+        # The aggregation keeps one row a task before the shuffle, however often a row repeats.
+        kept = pick(gone.unionByName(again), "left_anti").unionByName(pick(again, "left_semi").dropDuplicates([key, "__row"]))
+    return kept.drop("__row").toDF(*own.values())

@@ -130,6 +130,18 @@ def test_jaccard_odd_rows(odd):
     assert jaccard.deduplicate(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("limit", [jaccard.BROADCAST_ROWS, 0])
+def test_deduplicate_leaves_one_row_a_group(spark, monkeypatch, limit):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", limit)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    rows = [(1, a), (1, a), (1, a), (2, a + " q"), (2, b), (None, c), (None, c), (None, c + " q"), (None, d), (9, d + " q"), (4, ""), (4, ""), (5, None), (5, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id bigint, text string, h string")
+    left = [(r.doc_id, r.text, r.h) for r in jaccard.deduplicate(df).collect()]
+    (third,) = [r for r in left if r[1] in (c, c + " q")]
+    want = [(1, a), (2, b), third[:2], (9, d + " q"), (4, ""), (5, None), (None, "")]
+    assert third[0] is None and sorted(map(repr, left)) == sorted(repr((i, t, "k")) for i, t in want)
+
+
 def test_bitmaps_never_hide_a_link():
     r = np.random.default_rng(3)
     for _ in range(200):
