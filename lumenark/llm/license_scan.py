@@ -1,12 +1,15 @@
 """License recognition by sentence rules.
 
-Texts are cut into sentences (at line ends, and after . ; : ! ? before white
-space); a sentence is normalised to its lower-cased words and mapped, by the
-fingerprint of its word sequence, to the number of a known licence sentence. The
+Texts are cut into pieces (at line ends, and after . ; : ! ? before white space);
+a piece is normalised to its lower-cased words. A sentence is a piece, or pieces that
+follow each other across single line ends: texts may be wrapped at any column, under
+comment signs that are not words. Blank lines, and marks before a line's end, end it.
+It is mapped, by the fingerprint of its word sequence, to the number of a known
+licence sentence, the first and then the longest where several overlap. The
 sequence of known numbers in a document is then matched against ordered rules: the
 first rule in order that fits at a place wins and consumes its sentences. Up to
 `gap` unknown sentences may stand between the sentences of a rule (holders' names,
-addresses).
+addresses); a wrapped one counts once. Counts and places in the results go by pieces.
 
 The tables are fixed and small; they travel with the function.
 
@@ -109,6 +112,7 @@ TEXTS = {
 }
 NON_COMMERCIAL = frozenset(("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0"))
 GAP = 2
+_MARKED = re.compile(r"[.;:!?](?=\s|$)", re.ASCII)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _CUT = np.zeros(256, bool)
 _CUT[list(b".;:!?")] = True
@@ -166,6 +170,8 @@ class Tables:
         data, offs = string_bytes(pa.array([" ".join(x) for x in self.sentences], pa.large_string()))
         w = Words(data, offs, ALNUM)
         keys = sequence_hash(w.hashes(LOWER_TABLE), w.by_text[:-1], w.by_text[1:])
+        self.longest = max(map(len, self.sentences))
+        self.openers = np.unique(w.hashes(LOWER_TABLE)[w.by_text[:-1]])
         self.number = np.argsort(keys)
         self.keys = keys[self.number]
 
@@ -191,50 +197,98 @@ def tables() -> Tables:
     return _tables
 
 
-def match_rules(known: list[tuple[int, int]], t: Tables, gap: int = GAP) -> list[tuple[Rule, int, int]]:
-    """Rules over the (sentence index, known number) list of one document: rule, first and last sentence."""
+@dataclass(frozen=True)
+class Known:
+    """A known sentence: first and last piece, number, and the whole sentences that the pieces before and after it are of."""
+
+    first: int
+    last: int
+    number: int
+    before: int
+    after: int
+
+    def unknown_to(self, other: Known) -> int:
+        return 0 if other.first == self.last + 1 else other.before - self.after + 1
+
+
+def match_rules(known: list[Known], t: Tables, gap: int = GAP) -> list[tuple[Rule, int, int]]:
+    """Rules over the known sentences of one document: rule, first and last piece."""
     out, i = [], 0
     while i < len(known):
-        for rule in t.starting.get(known[i][1], ()):
+        for rule in t.starting.get(known[i].number, ()):
             k = i
             for want in rule.sentences[1:]:
                 nxt = k + 1
-                if nxt >= len(known) or known[nxt][1] != want or known[nxt][0] - known[k][0] > gap + 1:
+                if nxt >= len(known) or known[nxt].number != want or known[k].unknown_to(known[nxt]) > gap:
                     break
                 k = nxt
             else:
-                out.append((rule, known[i][0], known[k][0]))
+                out.append((rule, known[i].first, known[k].last))
                 i = k
                 break
         i += 1
     return out
 
 
-def sentences_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, sentence index in it, and known number (-1: none) of every sentence of one chunk."""
+def _apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (first, last, number), those that do not overlap: the first, then the longest."""
+    out, end = [], -1
+    for a, z, k in sorted(found, key=lambda x: (x[0], -x[1])):
+        if a > end:
+            out.append((a, z, k))
+            end = z
+    return out
+
+
+def _next(at: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """The first of the places from each position on."""
+    return np.append(places, size)[np.searchsorted(places, at)]
+
+
+def sentences_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, dict[int, list[Known]]]:
+    """The text of every piece of one chunk, and the known sentences by text."""
     t = tables()
     w = Words(data, offs, ALNUM)
     h = w.hashes(LOWER_TABLE)
     if not len(h):
-        z = np.zeros(0, np.int64)
-        return z, z, z
+        return np.zeros(0, np.int64), {}
     after = np.ones(len(data), bool)
     after[:-1] = _WHITE[data[1:]]
-    stop = (data == 10) | (_CUT[data] & after)
+    line, mark = data == 10, _CUT[data] & after
     passed = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(stop, out=passed[1:])
+    np.cumsum(line | mark, out=passed[1:])
+    lines = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(line, out=lines[1:])
     texts = w.texts()
     new = np.ones(len(h), bool)
     new[1:] = (passed[w.starts[1:]] != passed[w.starts[:-1]]) | (texts[1:] != texts[:-1])
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(h))
-    key = sequence_hash(h, starts, ends)
-    at = np.minimum(np.searchsorted(t.keys, key), len(t.keys) - 1)
-    number = np.where(t.keys[at] == key, t.number[at], -1)
     text = texts[starts]
+    # A mark behind a line end stands before the line's first word: it is a comment sign.
+    here, last = w.starts[starts[1:]], w.starts[starts[1:] - 1]
+    marked = _next(last, np.flatnonzero(mark), len(data))
+    whole = np.zeros(len(starts), np.int64)
+    np.cumsum((text[1:] != text[:-1]) | (lines[here] - lines[last] > 1) | ((marked < here) & (marked < _next(last, np.flatnonzero(line), len(data)))), out=whole[1:])
+    pieces = np.arange(len(starts))
+    first, final = [pieces], [pieces]
+    a, z = pieces[np.isin(h[starts], t.openers)], 1
+    while len(a := a[a + z < len(starts)]) and len(a := a[(whole[a + z] == whole[a]) & (ends[a + z] - starts[a] <= t.longest)]):
+        first.append(a)
+        final.append(a + z)
+        z += 1
+    i, j = np.concatenate(first), np.concatenate(final)
+    key = sequence_hash(h, starts[i], ends[j])
+    at = np.minimum(np.searchsorted(t.keys, key), len(t.keys) - 1)
+    hit = np.flatnonzero(t.keys[at] == key)
     n = np.bincount(text, minlength=len(offs) - 1)
-    index = np.arange(len(starts)) - np.repeat(np.cumsum(n) - n, n)
-    return text, index, number
+    zero = np.cumsum(n) - n
+    out: dict[int, list[Known]] = {}
+    for a, z, k in _apart(list(zip(i[hit].tolist(), j[hit].tolist(), t.number[at[hit]].tolist(), strict=True))):
+        d = int(text[a])
+        base = int(zero[d])
+        out.setdefault(d, []).append(Known(a - base, z - base, k, int(whole[max(a - 1, 0)]), int(whole[min(z + 1, len(whole) - 1)])))
+    return text, out
 
 
 MATCH = "array<struct<rule:string,license:string,first:bigint,last:bigint>>"
@@ -254,14 +308,10 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
             data, offs = string_bytes(b.column(len(keep)))
             total, known, found = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [[]] * b.num_rows
             for i, j in chunks(offs):
-                text_, index, number = sentences_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                text_, by = sentences_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 total[i:j] = np.bincount(text_, minlength=j - i)
-                hit = np.flatnonzero(number >= 0)
-                known[i:j] = np.bincount(text_[hit], minlength=j - i)
-                by: dict[int, list[tuple[int, int]]] = {}
-                for d, s, k in zip(text_[hit].tolist(), index[hit].tolist(), number[hit].tolist(), strict=True):
-                    by.setdefault(d, []).append((s, k))
                 for d, seq in by.items():
+                    known[i + d] = len(seq)
                     found[i + d] = [{"rule": r.name, "license": r.license, "first": a, "last": z} for r, a, z in match_rules(seq, t, gap)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(total), pa.array(known), pa.array(found, kind)], names=[*keep, "n_sentences", "n_known", "matches"])
 
@@ -272,6 +322,21 @@ def brute_force(text: str | None, gap: int = GAP) -> tuple[int, list[tuple[str,
     """For tests: sentences, and matches by comparing word sequences themselves."""
     t = tables()
     number = {s: i for i, s in enumerate(t.sentences)}
-    sentences = split_sentences(text or "")
-    known = [(i, number[s]) for i, s in enumerate(sentences) if s in number]
-    return len(sentences), [(r.license, a, z) for r, a, z in match_rules(known, t, gap)]
+    pieces: list[tuple[str, ...]] = []
+    whole: list[int] = []
+    ended, at = True, -1  # whether what stands before the next word ends a sentence
+    for line in re.split(r"\n", text or ""):
+        words = split_sentences(line)
+        if not words:
+            ended = True
+        for n, s in enumerate(words):
+            at += ended or n > 0
+            ended = False
+            pieces.append(s)
+            whole.append(at)
+        if words:
+            rest = _WORD.split(line.lower())[-1]
+            ended = bool(_MARKED.search(rest))
+    found = [(i, j, number[s]) for i in range(len(pieces)) for j in range(i, len(pieces)) if whole[j] == whole[i] and (s := sum(pieces[i : j + 1], ())) in number]
+    known = [Known(i, j, k, whole[i - 1], whole[min(j + 1, len(whole) - 1)]) for i, j, k in _apart(found)]
+    return len(pieces), [(r.license, a, z) for r, a, z in match_rules(known, t, gap)]

@@ -305,6 +305,25 @@ def test_license_rules(spark, odd):
     assert license_scan.scan(odd).count() == 9 and license_scan.scan(schema_only(odd)).count() == 0
 
 
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// ", ";; ", "! "])
+def test_wrapped_licenses(spark, sign):
+    import textwrap
+
+    rows, want = [], {}
+    for i, (name, sentences) in enumerate(license_scan.TEXTS.items()):
+        body = textwrap.wrap("Copyright 2020 X and the many other people who have ever sent a change to this file, all of them named in the AUTHORS file beside it.", 72)
+        for part in re.split(r"(?<= at) ", " ".join(sentences)):  # an address follows as a paragraph
+            body += [*textwrap.wrap(part, 72), *(["", "    https://example.org/license", ""] if part.endswith(" at") else [])]
+        rows.append((i, "\n".join([sign.rstrip(), *(sign + x for x in body), "", "code of this file"])))
+        want[i] = [f"{name}/text"]
+    rows.append((99, "Released under the MIT License\nnext line of prose\n\nPermission is hereby\n\ngranted"))
+    want[99] = ["MIT/reference"]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert {i: [m.rule for m in r.matches] for i, r in got.items()} == want
+    assert {i: (r.n_sentences, [(m.license, m.first, m.last) for m in r.matches]) for i, r in got.items()} == {i: license_scan.brute_force(t) for i, t in rows}
+
+
 # Quality classifier.
 def test_quality_held_out(spark, odd):
     sf = "/root/testdata/sf0.01"
