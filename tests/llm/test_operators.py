@@ -359,6 +359,17 @@ def test_forest_held_out_and_places(spark, odd):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_long_secrets_are_whole(spark):
+    r = random.Random(4)
+    key = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    whole = {"high_entropy": "sk-" + key(160), "assignment": "password=" + key(400), "slack_token": "xoxb-" + key(120), "jwt": f"eyJ{key(2500)}.eyJ{key(5000)}.{key(2500)}"}
+    rows = [(i, f"uses {m} here", "app/x.py") for i, m in enumerate(whole.values())] + [(9, "a" * 1_000_000 + " " + "eyJ" * 300_000, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted((x.doc_id, x.kind, x.match, x.start, x.end) for x in secret_scan.candidates(df).where("doc_id < 9").collect())
+    assert got == [(i, k, m, 5, 5 + len(m)) for i, (k, m) in enumerate(whole.items())]
+    assert [x.n for x in secret_scan.candidates(df).where("doc_id = 9").orderBy("start").select((F.col("end") - F.col("start")).alias("n")).collect()] == [1_000_000, 900_000]
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as P
 
