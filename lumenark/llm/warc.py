@@ -6,9 +6,12 @@ that Spark writes to, under its commit protocol. Of equal payloads the smallest
 is a response and the others revisit it.
 
 Reading: each member or plain record is checked (gzip checksum, header syntax,
-length, block digest). After a failed check the reader looks for the next member
-that unpacks to a version line, or the next plain version line, goes on there, and
-logs the bytes between as quarantined.
+length, block digest). After a failed check of a record inside a sound member the
+reader goes on at the next version line of what the member holds. Of a damaged or cut
+member it keeps the sound records of what unpacks, but for one that the damage follows
+at once, and looks for the next member or the next plain version line, as after a failed
+plain record. The bytes between are logged as
+quarantined; inside a member, as the member's bytes with the unpacked places named.
 
 Defined results: a null payload is empty; a null id is written as an empty id,
 always as a response, and read as null; rows with the same smallest id and equal
@@ -136,44 +139,78 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return head, block, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """What the member at a place holds, and its end."""
-    z, out, step = zlib.decompressobj(31), [], 1 << 13
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None, bool]:
+    """What the member at a place holds, its end, why it stops early if it does, and whether it merely ends too soon."""
+    z, out, step, begin = zlib.decompressobj(31), [], 1 << 13, at
     while not z.eof and at < len(data):
-        out.append(z.decompress(data[at : at + step]))
+        try:
+            out.append(z.decompress(data[at : at + step]))
+        except zlib.error as e:
+            return b"".join([*out, _before_error(data, begin, at, step)]), at, str(e), False
         at += step
     if not z.eof:
-        raise ValueError("the member is cut off")
-    return b"".join(out), min(at, len(data)) - len(z.unused_data)
+        return b"".join(out), len(data), "the member is cut off", True
+    return b"".join(out), min(at, len(data)) - len(z.unused_data), None, False
+
+
+def _before_error(data: bytes, begin: int, at: int, step: int) -> bytes:
+    """What the part at a place unpacks to before its error: the member is read again, this part byte by byte."""
+    z, out = zlib.decompressobj(31), []
+    for i in range(begin, at, step):
+        z.decompress(data[i : i + step])
+    try:
+        for i in range(at, min(at + step, len(data))):
+            out.append(z.decompress(data[i : i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _unpacked(inner: bytes, vouched: bool) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | None, str | None]]:
+    """Like `salvage`, of what a member holds. Where the member's checksum does not vouch for its bytes, a block digest must."""
+    at = 0
+    while at < len(inner):
+        try:
+            head, block, end = parse_record(inner, at)
+            if not vouched and not head.get("warc-block-digest", "").startswith("sha1:"):
+                raise ValueError("a damaged member's record without a digest")
+            yield at, end, head, block, None
+        except ValueError as e:
+            line = _RECORD.search(inner, at + 1)
+            end = line.start() if line else len(inner)
+            yield at, end, None, None, str(e)
+        at = end
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | None, str | None]]:
     """(start, end, headers, block, None) of every good record, and (start, end, None, None, reason) of every quarantined gap; bytes of the file."""
     at, bad_from, reason = 0, None, ""
+    saved_there: list = []  # records of the damaged member; an unpacked copy of them may lie in its stored blocks
     while at < len(data):
         good: list = []
         try:
             if data.startswith(_MEMBER, at):
-                inner, end = _inflate(data, at)
-                k = 0
-                while k < len(inner):
-                    head, block, k = parse_record(inner, k)
-                    good.append((at, end, head, block, None))
+                inner, end, why, short = _inflate(data, at)
+                rows = list(_unpacked(inner, why is None or short))
+                if why:
+                    saved_there = [(h, b) for _, j, h, b, _ in rows if h and j < len(inner)]
+                    yield from ((at, end, h, b, None) for h, b in saved_there)
+                    raise ValueError(why)
+                good = [(at, end, h, b, r and f"{r} (unpacked bytes {i} to {j})") for i, j, h, b, r in rows]
             else:
                 head, block, end = parse_record(data, at)
-                good.append((at, end, head, block, None))
-        except (ValueError, zlib.error) as e:
+                if (head, block) not in saved_there:
+                    good = [(at, end, head, block, None)]
+        except ValueError as e:
             if bad_from is None:
                 bad_from, reason = at, str(e)
-            if good:  # part of a member was sound: it is kept, the rest of the member is not
-                yield from good
             line = _RECORD.search(data, at + 1)
             nexts = [data.find(_MEMBER, at + 1), line.start() if line else -1]
             at = min((p for p in nexts if p >= 0), default=len(data))
             continue
-        if bad_from is not None:
+        if bad_from is not None and (good or data.startswith(_MEMBER, at)):
             yield bad_from, at, None, None, reason
-            bad_from = None
+            bad_from, saved_there = None, []
         yield from good
         at = end
     if bad_from is not None:

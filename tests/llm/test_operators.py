@@ -215,6 +215,27 @@ def test_salvage():
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_inside_members():
+    r = random.Random(2)
+    recs = [warc.record(i, f"http://x/{i}", r.randbytes(30_000) + b"payload %d" % i, None) for i in range(6)]
+    page = lambda h: int(re.search(r"page:(\d+)", h["warc-record-id"])[1])
+    good = lambda data: [page(h) for _, _, h, _, _ in warc.salvage(data) if h]
+    gaps = lambda data: [(a, z) for a, z, h, _, _ in warc.salvage(data) if h is None]
+    assert good(warc.member(b"".join(recs))) == [0, 1, 2, 3, 4, 5]
+    one = warc.member(b"".join(recs).replace(b"payload 2", b"payload X"))  # a bad digest in a sound member
+    assert good(one + warc.member(recs[0])) == [0, 1, 3, 4, 5, 0] and gaps(one) == [(0, len(one))]
+    length = warc.member(b"".join(recs[:2]) + re.sub(rb"Content-Length: (\d+)(?=\r\n\r\nHTTP)", b"Content-Length: 9", recs[2]) + b"".join(recs[3:]))
+    assert good(length) == [0, 1, 3, 4, 5]
+    whole = warc.member(b"".join(recs))
+    assert good(whole[: len(whole) * 3 // 5]) == [0, 1, 2] and gaps(whole[: len(whole) * 3 // 5])
+    at = len(whole) * 3 // 5
+    hurt = whole[:at] + b"\xff" * 40 + whole[at + 40 :] + warc.member(recs[5])
+    assert good(hurt)[:3] == [0, 1, 2] and good(hurt)[-1] == 5 and gaps(hurt) and 3 not in good(hurt)
+    plain = zlib.compressobj(0, zlib.DEFLATED, 31)  # stored blocks: records lie open in the file, and count once
+    stored = plain.compress(b"".join(recs)) + plain.flush()
+    assert good(stored[:-3]) == [0, 1, 2, 3, 4]  # the cut follows the last one at once
+
+
 # Chat.
 def test_chat_fold_and_round_trip(spark):
     log = [
