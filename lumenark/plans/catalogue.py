@@ -437,6 +437,11 @@ def word_function(spark, d):
     return W.table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(P.words(F.substring("text", 1, 2000))).cast("bigint").alias("n_words"))
 
 
+@_query("SELECT doc_id, list_count(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_words FROM documents")
+def word_function_whole(spark, d):
+    return W.table(spark, d, "documents").select("doc_id", F.size(P.words(F.col("text"))).cast("bigint").alias("n_words"))
+
+
 @_query("SELECT path, lower(regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1)) = 'jpg' AS supported, FALSE AS video FROM narrow")
 def supported_files(spark, d):
     return W.narrow(spark, d).select("path", M.is_supported(F.col("path")).alias("supported"), M.is_video(F.col("path")).alias("video"))

@@ -37,6 +37,15 @@ def test_query(spark, con, name):
     assert got == sorted(str([flat(x[i]) for i in at]) for x in r.fetchall())
 
 
+def test_words_of_whole_texts(spark):
+    import re
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r.n_words for r in catalogue.word_function_whole(spark, SF).collect()}
+    assert any(len(t) > 2000 for t in docs.values())
+    assert got == {i: len(re.findall("[a-z0-9]+", t.lower())) for i, t in docs.items()}
+
+
 def test_flagship_pushes_its_filter_down(spark):
     plan = catalogue.filter_dates(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "o_orderdate" in plan and "Exchange" not in plan
