@@ -210,6 +210,12 @@ def people_in_images(spark, d):
     return A.people_in_images(df, df.where("image_id % 100 = 1").select("image_id"))
 
 
+@_query("SELECT DISTINCT p AS person_id FROM (SELECT unnest(people_ids) AS p FROM images)")
+def people_in_all_images(spark, d):
+    df = W.images(spark, d)
+    return A.people_in_images(df, df.select("image_id"))
+
+
 @_query("SELECT image_id, people_ids FROM images")
 def denormalised_people(spark, d):
     return I.denormalised(W.narrow(spark, d).withColumn("people_ids", F.array().cast("array<int>")), W.faces(spark, d)).select("image_id", "people_ids")
@@ -289,6 +295,11 @@ def people_on_images(spark, d):
     return DT.people_on_images(W.faces(spark, d).where("image_id % 10 = 1"), W.people(spark, d), "part")
 
 
+@_query("SELECT image_id, f.person_id, name, min(part) AS first_face FROM faces f JOIN people p ON f.person_id = p.person_id GROUP BY ALL")
+def people_on_all_images(spark, d):
+    return DT.people_on_images(W.faces(spark, d), W.people(spark, d), "part")
+
+
 _UNIT = "list_transform(CAST(vector AS DOUBLE[]), lambda x: x / greatest(sqrt(list_inner_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[]))), 1e-12))"
 _Q5 = "(SELECT CAST(vector AS DOUBLE[]) FROM vectors WHERE image_id = 5)"
 _SIM = f"round(list_inner_product(CAST(vector AS DOUBLE[]), {_Q5}) / (greatest(sqrt(list_inner_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[]))), 1e-12) * greatest(sqrt(list_inner_product({_Q5}, {_Q5})), 1e-12)), 4)"

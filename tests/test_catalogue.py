@@ -46,6 +46,13 @@ def test_words_of_whole_texts(spark):
     assert got == {i: len(re.findall("[a-z0-9]+", t.lower())) for i, t in docs.items()}
 
 
+def test_people_of_every_image(spark):
+    faces = catalogue.W.faces(spark, SF).where("person_id >= 0").join(catalogue.W.people(spark, SF), "person_id")
+    want = {(r.image_id, r.person_id) for r in faces.collect()}
+    assert {(r.image_id, r.person_id) for r in catalogue.people_on_all_images(spark, SF).collect()} == want
+    assert {r.person_id for r in catalogue.people_in_all_images(spark, SF).collect()} == {p for _, p in want}
+
+
 def test_flagship_pushes_its_filter_down(spark):
     plan = catalogue.filter_dates(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "o_orderdate" in plan and "Exchange" not in plan
