@@ -405,6 +405,18 @@ def near_duplicate_groups(spark, d):
     return D.groups(h, D.exact_pairs(h, 2))
 
 
+@_query()
+def near_duplicate_pairs_whole(spark, d):
+    """At the operator's own distance, whatever the buckets hold."""
+    return D.exact_pairs(_hashes(spark, d))
+
+
+@_query()
+def near_duplicate_groups_whole(spark, d):
+    h = _hashes(spark, d)
+    return D.groups(h, D.exact_pairs(h))
+
+
 # Mutations, as the next version of a table.
 @_query("SELECT image_id FROM narrow WHERE image_id NOT IN (SELECT image_id FROM narrow WHERE folder = '/lib/F/1' OR starts_with(folder, '/lib/F/1/'))")
 def delete_images(spark, d):
