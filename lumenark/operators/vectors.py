@@ -161,3 +161,48 @@ class CellIndex:
         q = np.asarray(query) / max(np.linalg.norm(query), 1e-12)
         near = np.argsort(-(self.centres @ q), kind="stable")[:probes].tolist()
         return top_k(self.rows.where(F.col("cell").isin(near)), list(map(float, query)), k, self.id_, self.vector, **kw)
+
+    def probes_for(self, queries: DataFrame, k: int, target: float = 0.9, sample: int = 256) -> int:
+        """The fewest nearest cells that hold at least `target` of the exact k nearest other rows of the queries.
+
+        Measured against all rows, for at most `sample` queries chosen by hash of the id:
+        rows in probed cells are ranked exactly, so the recall is the share of them there.
+        """
+        id_, vector = self.id_, self.vector
+        asked = queries.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(id_), id_).limit(sample).select(id_, vector).toPandas()
+        if not len(asked):
+            return 1
+        ids, q = asked[id_].to_numpy(), _unit(asked[vector])
+
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    cell = dict(zip(b[id_], b["cell"], strict=True))
+                    d = _best(ids, q, b[id_].to_numpy(), _unit(b[vector]), k, -2.0)
+                    yield d.assign(cell=d["b"].map(cell).astype("int32"))
+
+        w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+        part = self.rows.select(id_, vector, "cell").mapInPandas(nearest, "a bigint, b bigint, score double, cell int")
+        true = part.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("a", "cell").toPandas()
+        rank = np.argsort(np.argsort(-(q @ self.centres.T), axis=1, kind="stable"), axis=1)
+        at = {i: n for n, i in enumerate(ids.tolist())}
+        need = np.sort([rank[at[a], c] for a, c in zip(true["a"], true["cell"], strict=True)])
+        return int(need[max(int(np.ceil(target * len(need))) - 1, 0)]) + 1 if len(need) else 1
+
+    def search_all(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
+        """(query_id, id, score): for each query row the k best other rows of its nearest cells; ties by id."""
+        id_, vector, centres = self.id_, self.vector, self.centres
+
+        def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    near = np.argsort(-(_unit(b["q"]) @ centres.T), axis=1, kind="stable")[:, :probes]
+                    yield b.assign(near=list(near.astype("int32")))
+
+        src = queries.where(F.col(vector).isNotNull()).select(F.col(id_).alias("query_id"), normalize(F.col(vector)).alias("q"))
+        types = dict(src.dtypes)
+        asked = src.mapInPandas(cells, f"query_id {types['query_id']}, q array<double>, near array<int>").select("query_id", "q", F.explode("near").alias("cell"))
+        pairs = self.rows.join(asked, "cell").where(F.col(id_) != F.col("query_id"))
+        scored = pairs.select("query_id", id_, F.round(dot(normalize(F.col(vector)), F.col("q")), 4).alias("score"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_)
+        return scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")

@@ -65,6 +65,25 @@ def test_near_duplicates_at_the_default_distance(spark):
     assert {r.group_id: r.ids for r in catalogue.near_duplicate_groups_whole(spark, SF).collect()} == {g: x for g, x in groups.items() if len(x) > 1}
 
 
+def test_cell_search_reaches_its_recall(spark):
+    import numpy as np
+
+    V = catalogue.V
+    rng = np.random.default_rng(7)
+    blobs = [(i, (np.eye(16)[i % 16] * 3 + rng.normal(size=16) * 0.3).tolist()) for i in range(1200)]
+    for df in (catalogue.W.vectors(spark, SF), spark.createDataFrame(blobs, "image_id bigint, vector array<float>")):
+        asked = df.where("image_id % 50 = 0")
+        index = V.CellIndex(spark, df)
+        probes = index.probes_for(asked, 20)
+        assert probes < len(index.centres)
+        rows = df.collect()
+        ids, x = np.array([r.image_id for r in rows]), V._unit([r.vector for r in rows])
+        true = {(a, b) for a, b in V._best(ids, x, ids, x, 20, -2.0)[["a", "b"]].itertuples(index=False) if a % 50 == 0}
+        got = {(r.query_id, r.image_id) for r in index.search_all(asked, 20, probes).collect()}
+        assert {q for q, _ in got} == set(ids[ids % 50 == 0].tolist()) and len(true & got) >= 0.9 * len(true)
+    assert {r.query_id for r in catalogue.cell_search(spark, SF).select("query_id").distinct().collect()} == {i for i in range(0, 500, 50)}
+
+
 def test_flagship_pushes_its_filter_down(spark):
     plan = catalogue.filter_dates(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "o_orderdate" in plan and "Exchange" not in plan
