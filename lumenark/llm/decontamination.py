@@ -8,19 +8,23 @@ shingles only; a probe fixes where the window would start, which gives the
 positional and length bounds, and all its words are then compared.
 
 Words are compared by 64-bit fingerprints. The index of a block of items is
-broadcast; blocks hold at most `block_bytes` of item text, so what is broadcast
-is bounded however large the benchmark is: more text means more blocks, each an
-exact pass over all documents.
+broadcast; blocks hold at most `block_bytes` of item text (or one item). A larger
+benchmark is probed block by block: each is an exact pass over all documents that
+writes its hits alone, and its index is destroyed before the next one is built, so
+driver, executors and workers hold one index at a time however large it is.
 
 Defined results: null and empty texts have no words and are never hit; an item
 without words has no window; repeated documents give repeated rows; repeated
-item rows count as one item; with an empty benchmark nothing is contaminated;
+item rows count as one item; an item with a null id is no item of the benchmark (a
+hit could not name it); with an empty benchmark nothing is contaminated;
 extra columns are ignored by `find` and kept, under any name, by `filter_documents`.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekit import ALNUM, LOWER_TABLE, U64, Words, arrow_batches, chunks, gram_starts, grams, per_text, string_bytes
+from .storage import attach, saved
 
 #: A block of item text takes about a hundred times its size on the driver while it is indexed.
 WIDTH, SHINGLE, BLOCK_BYTES = 10, 5, 2 << 20
@@ -141,7 +146,7 @@ class Index:
 
 def _blocks(benchmark: DataFrame, block_bytes: int, item_id: str, text: str) -> Iterator[list]:
     """Items in blocks whose text is bounded; an item longer than a block is a block of its own."""
-    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{text}`").cast("string").alias("t"))
+    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where("i IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
     for b in range(n):
@@ -149,46 +154,45 @@ def _blocks(benchmark: DataFrame, block_bytes: int, item_id: str, text: str) ->
         yield [tuple(r) for r in part.collect()]
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int, item_id: str, item_text: str) -> Iterator[Index]:
+def _index(docs: DataFrame, items: list, width: int) -> Index:
+    """The index of a block, its prefixes chosen by the counts of all documents."""
     spark = docs.sparkSession
-    for items in _blocks(benchmark, block_bytes, item_id, item_text):
-        index = Index(items, width)
-        sent = spark.sparkContext.broadcast(index)
-
-        def counted(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ix = sent.value
-            total = {k: np.zeros(len(x["all"].keys), np.int64) for k, x in ix.groups.items()}
-            for b in batches:
-                data, offs = string_bytes(b.column(0))
-                for i, j in chunks(offs):
-                    w = Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ALNUM)
-                    for k, c in ix.count(w.hashes(LOWER_TABLE), w.by_text).items():
-                        total[k] += c
-            for k, c in total.items():
-                at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(c[at])], names=["k", "num", "n"])
-
-        counts = {k: np.zeros(len(x["all"].keys), np.int64) for k, x in index.groups.items()}
-        if counts:
-            for r in docs.select("__text").mapInArrow(counted, "k bigint, num bigint, n bigint").groupBy("k", "num").agg(F.sum("n").alias("n")).collect():  # at most the shingles of one block
-                counts[r.k][r.num] = r.n
-        index.choose_prefix(counts)
-        sent.unpersist()
-        yield index
+    index = Index(items, width)
+    sent = spark.sparkContext.broadcast(index)
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = sent.value
+        total = {k: np.zeros(len(x["all"].keys), np.int64) for k, x in ix.groups.items()}
+        for b in batches:
+            data, offs = string_bytes(b.column(0))
+            for i, j in chunks(offs):
+                w = Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ALNUM)
+                for k, c in ix.count(w.hashes(LOWER_TABLE), w.by_text).items():
+                    total[k] += c
+        for k, c in total.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(c[at])], names=["k", "num", "n"])
 
-def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), width: int = WIDTH, block_bytes: int = BLOCK_BYTES, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: the kept columns, n_words, n_hit (words inside windows), n_items, item_ids (sorted strings) and hit spans (word start and end, end exclusive)."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    indexes = [spark.sparkContext.broadcast(ix) for ix in _indexes(picked, benchmark, width, block_bytes, item_id, item_text)]
-    types = dict(picked.dtypes)
+    counts = {k: np.zeros(len(x["all"].keys), np.int64) for k, x in index.groups.items()}
+    if counts:
+        for r in docs.select("__text").mapInArrow(counted, "k bigint, num bigint, n bigint").groupBy("k", "num").agg(F.sum("n").alias("n")).collect():  # at most the shingles of one block
+            counts[r.k][r.num] = r.n
+    index.choose_prefix(counts)
+    sent.destroy()
+    return index
+
+
+HITS = "n_words bigint, n_hit bigint, n_items bigint, item_ids array<string>, hits array<struct<start:bigint,end:bigint>>"
+
+
+def _probed(docs: DataFrame, sent, all_rows: bool) -> DataFrame:
+    """The columns before __text, and HITS by the index that was sent; only rows with a hit unless all_rows. docs: ..., __text."""
+    keep, types = docs.columns[:-1], dict(docs.dtypes)
     tail = ["n_words", "n_hit", "n_items", "item_ids", "hits"]
-    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["n_words bigint, n_hit bigint, n_items bigint, item_ids array<string>, hits array<struct<start:bigint,end:bigint>>"])
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = sent.value if sent is not None else None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -196,11 +200,10 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
             n_words, n_hit, names, spans = [], [], [], []
             for i, j in chunks(offs):
                 w = Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ALNUM)
-                h = w.hashes(LOWER_TABLE)
+                h = w.hashes(LOWER_TABLE) if ix else np.zeros(len(w.starts), np.uint64)
                 edge = np.zeros(len(h) + 1, np.int64)
                 items: dict[int, set[str]] = {}
-                for sent in indexes:
-                    ix = sent.value
+                if ix:
                     start, win, t = ix.probe(h, w.by_text)
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + ix.length[win], -1)
@@ -217,9 +220,46 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
                     else:
                         spans.append([])
             cols = [pa.array(np.concatenate(n_words).astype(np.int64)), pa.array(np.concatenate(n_hit).astype(np.int64)), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(span))]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols], names=[*keep, *tail])
+            out = pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols], names=[*keep, *tail])
+            yield out if all_rows else out.filter(pa.array(np.concatenate(n_hit) > 0))
+
+    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), HITS]))
+
+
+def _merged(spans):
+    """Sorted spans of several blocks as disjoint ones."""
+    joined = lambda acc, s: F.when(
+        (F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]),
+        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
+    ).otherwise(F.concat(acc, F.array(s)))
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:bigint,end:bigint>>"), joined)
+
 
-    return picked.mapInArrow(run, schema)
+def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), width: int = WIDTH, block_bytes: int = BLOCK_BYTES, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per document: the kept columns, n_words, n_hit (words inside windows), n_items, item_ids (sorted strings) and hit spans (word start and end, end exclusive)."""
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    blocks = _blocks(benchmark, block_bytes, item_id, item_text)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _probed(picked, spark.sparkContext.broadcast(_index(picked, first, width)), True)
+    keyed = picked.withColumn("__key", F.md5("__text"))  # hits depend on the text alone
+    parts: list[DataFrame] = []
+    for items in itertools.chain((first, second), blocks):
+        sent = spark.sparkContext.broadcast(_index(picked, items, width))
+        hits = _probed(keyed.select("__key", "__text"), sent, False).groupBy("__key").agg(F.first("item_ids").alias("item_ids"), F.first("hits").alias("hits"), F.count("*").alias("m"))
+        parts.append(saved(spark, hits, "block-hits"))
+        sent.destroy()
+    every = functools.reduce(DataFrame.unionByName, parts)
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids"))))
+    every = every.groupBy("__key").agg(ids.alias("item_ids"), _merged(F.flatten(F.collect_list("hits"))).alias("hits"), F.max("m").alias("m"))  # a row a block at most
+    counts = _probed(keyed.select(*[F.col(f"`{c}`") for c in keep], "__key", "__text"), None, True).select(*[F.col(f"`{c}`") for c in keep], "__key", "n_words")
+    got = attach(counts, saved(spark, every, "hits"), "__key", "m")
+    hits = F.coalesce("hits", F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    n_hit = F.aggregate(hits, F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
+    names = F.coalesce("item_ids", F.array().cast("array<string>"))
+    return got.select(*[F.col(f"`{c}`") for c in keep], "n_words", n_hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"), names.alias("item_ids"), hits.alias("hits"))
 
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **kw) -> DataFrame:
@@ -234,7 +274,7 @@ def brute_force(docs: list[tuple[object, str | None]], items: list[tuple[object,
     import re
 
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), t or ""))
-    windows = [(str(i), tuple(w[s : s + width])) for i, t in items if (w := split(t)) for s in range(max(len(w) - width, 0) + 1)]
+    windows = [(str(i), tuple(w[s : s + width])) for i, t in items if i is not None and (w := split(t)) for s in range(max(len(w) - width, 0) + 1)]
     out = {}
     for d, t in docs:
         w, hit, names = split(t), set(), set()
