@@ -1,9 +1,10 @@
 """WARC archives: writer with payload deduplication, and a salvaging reader.
 
 Writing: records are gzip members, laid end to end by Spark's own text writer (an
-empty gzip member stands for the line separator), so archives reach any store
-that Spark writes to, under its commit protocol. Of equal payloads the smallest id
-is a response and the others revisit it.
+empty gzip member stands for the line end), so archives reach any store
+that Spark writes to, under its commit protocol. A written row is a whole archive, cut by
+bytes, so that a reader's task never meets a file much larger than one record. Of equal
+payloads the smallest id is a response and the others revisit it.
 
 Reading: each member or plain record is checked (gzip checksum, header syntax,
 length, block digest). After a failed check of a record inside a sound member the
@@ -32,15 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytekit import arrow_batches
-from .storage import saved
+from .storage import is_small, saved
 
-#: Groups of equal payloads, or revisits, that are broadcast at most; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 200_000
-RECORDS_PER_FILE = 4096
+#: A file ends with the record that takes it past this many bytes: it holds no more than these and one record.
+FILE_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 _EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x02\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 _RECORD = re.compile(rb"WARC/1\.[01]\r\n")
-_MEMBER = b"\x1f\x8b\x08"
+_MEMBER = re.compile(rb"\x1f\x8b\x08")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -84,7 +84,7 @@ def _with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     groups = pages.where(can & F.col("__id").isNotNull()).groupBy(key.alias("__digest")).agg(F.min("__id").alias("__first"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = saved(spark, groups, "payload-groups")
     keyed = pages.withColumn("__digest", F.when(can, key))
-    if groups.count() <= BROADCAST_ROWS:
+    if is_small(groups):
         joined = keyed.join(F.broadcast(groups), "__digest", "left")
         return joined.withColumn("refers_to", F.when(F.col("__id") != F.col("__first"), F.col("__first"))).drop("__first", "__digest")
     # Many groups: find revisits among narrow rows, where AQE can split a hot digest, and join payloads by their own ids.
@@ -92,21 +92,28 @@ def _with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     return keyed.join(saved(spark, narrow, "revisits"), ["__id", "__digest"], "left").drop("__digest")
 
 
-def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Writes one record per row under path."""
     arrow_batches(pages.sparkSession)
     body = F.col(f"`{payload}`").cast("binary")
     rows = pages.select(F.col(f"`{page_id}`").cast("bigint").alias("__id"), F.col(f"`{url}`").cast("string").alias("__url"), F.coalesce(body, F.lit(b"")).alias("__payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            out = [member(record(*(c[i].as_py() for c in b.columns))) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            for i in range(b.num_rows):
+                held.append(member(record(*(c[i].as_py() for c in b.columns))))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
 
     ready = _with_revisits(rows, min_bytes).select("__id", "__url", "__payload", "refers_to")
     members = ready.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     writer = members.write.mode("overwrite").option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
-    writer.option("maxRecordsPerFile", records_per_file).text(path)
+    writer.option("maxRecordsPerFile", 1).text(path)
 
 
 def _headers(raw: bytes) -> dict[str, str]:
@@ -185,11 +192,19 @@ def _unpacked(inner: bytes, vouched: bool) -> Iterator[tuple[int, int, dict[str,
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | None, str | None]]:
     """(start, end, headers, block, None) of every good record, and (start, end, None, None, reason) of every quarantined gap; bytes of the file."""
     at, bad_from, reason = 0, None, ""
+    ahead: dict = {}  # the next place of each mark: however much is damaged, no byte is searched twice
+
+    def later(mark, start: int) -> int:
+        if ahead.get(mark, -1) < start:
+            m = mark.search(data, start)
+            ahead[mark] = m.start() if m else len(data)
+        return ahead[mark]
+
     saved_there: list = []  # records of the damaged member; an unpacked copy of them may lie in its stored blocks
     while at < len(data):
         good: list = []
         try:
-            if data.startswith(_MEMBER, at):
+            if _MEMBER.match(data, at):
                 inner, end, why, short = _inflate(data, at)
                 rows = list(_unpacked(inner, why is None or short))
                 if why:
@@ -204,11 +219,9 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
         except ValueError as e:
             if bad_from is None:
                 bad_from, reason = at, str(e)
-            line = _RECORD.search(data, at + 1)
-            nexts = [data.find(_MEMBER, at + 1), line.start() if line else -1]
-            at = min((p for p in nexts if p >= 0), default=len(data))
+            at = min(later(_MEMBER, at + 1), later(_RECORD, at + 1))
             continue
-        if bad_from is not None and (good or data.startswith(_MEMBER, at)):
+        if bad_from is not None and (good or _MEMBER.match(data, at)):
             yield bad_from, at, None, None, reason
             bad_from, saved_there = None, []
         yield from good
