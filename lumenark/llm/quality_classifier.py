@@ -3,7 +3,7 @@
 A logistic classifier gives each document evidence from measurements of its whole
 text. Evidence is summed by host and by (host, path); a host's rate of good
 documents is shrunk toward the global rate, a path's toward its host's, each with a
-strength estimated from the spread between groups by moments. The final log-odds
+strength estimated by moments from the spread of groups about the rate that they shrink to. The final log-odds
 are the document's own plus what its path's posterior says beyond the global rate.
 
 Fitting reads at most `max_labels` labelled rows (a documented bound, chosen by hash
@@ -27,11 +27,9 @@ from pyspark.sql import functions as F
 
 from .bytekit import NON_SPACE, U64, Words, arrow_batches, chunks, mix, string_bytes
 from .quality_rules import measure
-from .storage import saved
+from .storage import attach, saved
 
 MAX_LABELS = 20_000
-#: Group posteriors that are broadcast at most.
-BROADCAST_ROWS = 500_000
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "stutter", "distinct")
 
 
@@ -120,8 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return fit_rows(got[:, 1:], got[:, 0])
 
 
-def _strength(groups: DataFrame, rate: float) -> float:
-    """Prior counts: how many documents the wider rate is worth, by moments of the groups (n, s: evidence, ss: its squares)."""
+def _strength(groups: DataFrame, rate: Column) -> float:
+    """Prior counts: how many documents the wider rate is worth, by moments of the groups about it (n, s: evidence, ss: its squares)."""
     m = F.col("s") / F.col("n")
     within = F.when(F.col("n") > 1, (F.col("ss") - F.col("n") * m * m) / (F.col("n") - 1))
     row = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (m - rate) ** 2).alias("between"), F.sum(within).alias("w"), F.count(within).alias("k"), F.count("*").alias("g")).first()
@@ -140,11 +138,18 @@ def posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     row = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     rate = float(row.s / row.n) if row.n else 0.5
-    k_host, k_path = _strength(hosts, rate), _strength(paths, rate)
+    k_host = _strength(hosts, F.lit(rate))
     shrunk = hosts.select("host", ((F.col("s") + F.lit(k_host * rate)) / (F.col("n") + F.lit(k_host))).alias("host_rate"))
-    joined = paths.alias("p").join(shrunk.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host")))
+    joined = saved(spark, paths.alias("p").join(shrunk.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.*", "host_rate"), "path-hosts")
+    k_path = _strength(joined, F.col("host_rate"))
     path_rate = (F.col("s") + F.lit(k_path) * F.col("host_rate")) / (F.col("n") + F.lit(k_path))
-    return joined.select(F.col("p.host").alias("host"), "path", "n", path_rate.alias("path_rate"), "host_rate"), rate
+    return joined.select("host", "path", "n", path_rate.alias("path_rate"), "host_rate"), rate
+
+
+def _site(host: str, path: str) -> Column:
+    """One string for a host and a path, nulls told apart."""
+    mark = lambda c: F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+    return F.concat(mark(host), F.lit("/"), mark(path))
 
 
 def _logit(p: Column) -> Column:
@@ -162,9 +167,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str | Column = "source",
     evidence = saved(spark, odds.withColumn("p", 1 / (1 + F.exp(-F.col("odds")))), "evidence")
     rates, rate = posteriors(evidence)
     rates = saved(spark, rates, "rates")
-    side = F.broadcast(rates) if rates.count() <= BROADCAST_ROWS else rates
-    e, r = evidence.alias("e"), side.alias("r")
-    joined = e.join(r, F.col("e.host").eqNullSafe(F.col("r.host")) & F.col("e.path").eqNullSafe(F.col("r.path")))
+    sites = rates.select(_site("host", "path").alias("site"), "path_rate", "host_rate", "n")
+    joined = attach(evidence.withColumn("site", _site("host", "path")), sites, "site", "n")
     final = F.col("odds") + _logit(F.col("path_rate")) - _logit(F.lit(rate))
     score = 1 / (1 + F.exp(-final))
     return joined.select(F.col("__id").alias(doc_id), F.round("p", 6).alias("doc_score"), F.round("path_rate", 6).alias("path_rate"), F.round("host_rate", 6).alias("host_rate"), F.round(score, 6).alias("score"), (score >= threshold).alias("kept"))
