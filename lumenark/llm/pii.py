@@ -16,11 +16,13 @@ rows; with no candidates at all the priors decide; extra columns are ignored by
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,7 +113,9 @@ def more_spans(t: str, base: list[Span]) -> list[Span]:
     """Candidates beyond the base spans; one that touches a base span is left out."""
     found = [(k, *m.span()) for k, p in (("national_id", _NATIONAL), ("iban", _IBAN), ("local_phone", _LOCAL)) for m in p.finditer(t)]
     found += [("person", *m.span()) for m in _PERSON.finditer(t)]
-    return [s for s in sorted(found, key=_order) if not any(s[1] < e and b < s[2] for _, b, e in base)]
+    starts, ends = sorted(b for _, b, _ in base), sorted(e for _, _, e in base)
+    # As many base spans end by its start as begin before its end: none touches it.
+    return [s for s in sorted(found, key=_order) if bisect_right(ends, s[1]) == bisect_left(starts, s[2])]
 
 
 def votes(t: str, span: Span) -> tuple[int, ...]:
@@ -132,9 +136,9 @@ def votes(t: str, span: Span) -> tuple[int, ...]:
         form = NO if s[:3] in ("000", "666") or s[0] == "9" or s[4:6] == "00" or s[7:] == "0000" else YES
     elif kind == "iban":
         flat = s.replace(" ", "")
-        gazetteer = YES if IBAN_LENGTH.get(flat[:2]) == len(flat) else NO
+        gazetteer = YES if flat[:2] in IBAN_LENGTH else NO
+        form = YES if IBAN_LENGTH.get(flat[:2]) == len(flat) else NO if flat[:2] in IBAN_LENGTH else ABSTAIN
         checksum = YES if int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1 else NO
-        form = checksum
     elif kind == "local_phone":
         form = YES if _digits(s)[0] not in "01" else NO
     else:
@@ -182,8 +186,6 @@ def fit_patterns(patterns: list[tuple[int, tuple[int, ...], int, int]], rounds:
         kind = np.array([p[0] for p in patterns])
         vote = np.array([p[1] for p in patterns])
         n = np.array([p[3] for p in patterns], float)
-        # Common patterns count by their logarithm: shares of kinds differ by orders of magnitude.
-        n = np.log1p(n) * 10
         for _ in range(rounds):
             like = np.stack([np.log(rel[np.arange(len(LABELERS)), c, vote]).sum(1) for c in (0, 1)], 1)
             like += np.log(np.stack([1 - prior[kind], prior[kind]], 1))
@@ -248,6 +250,26 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     return fit_patterns(sorted((r[0], tuple(r[1:6]), r[6], r[7]) for r in got))
 
 
+def spans_of(t: str, model: Model, threshold: float = 0.5) -> list[tuple[Span, bool, float]]:
+    """Spans of a text, whether each is a base span, and its score; by start, then kind."""
+    base = base_spans(t)
+    scored = [(s, True, 1.0) for s in base]
+    for s in more_spans(t, base):
+        if (p := model.score(s, votes(t, s))) >= threshold:
+            scored.append((s, False, p))
+    return sorted(scored, key=lambda x: _order(x[0]))
+
+
+def redacted(t: str, spans: list[Span]) -> str:
+    """t with [KIND] in place of its sorted spans; overlapping ones become one, of the first one's kind. One pass, each part copied once."""
+    parts, done = [], 0
+    for kind, start, end in spans:
+        if start >= done:
+            parts += [t[done:start], f"[{kind.upper()}]"]
+        done = max(done, end)
+    return "".join([*parts, t[done:]])
+
+
 def find(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Per document: the kept columns and `spans`, an array of (kind, start, end, base, score) by start, then kind; code points, end exclusive."""
     arrow_batches(docs.sparkSession)
@@ -261,46 +283,35 @@ def find(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...] = ("
         for b in batches:
             rows: list[list] = [[]] * b.num_rows
             for r, t in _texts(b.column(len(keep))):
-                base = base_spans(t)
-                scored = [(s, True, 1.0) for s in base]
-                for s in more_spans(t, base):
-                    if (p := model.score(s, votes(t, s))) >= threshold:
-                        scored.append((s, False, p))
-                rows[r] = [{"kind": s[0], "start": s[1], "end": s[2], "base": is_base, "score": p} for s, is_base, p in sorted(scored, key=lambda x: _order(x[0]))]
+                rows[r] = [{"kind": s[0], "start": s[1], "end": s[2], "base": is_base, "score": p} for s, is_base, p in spans_of(t, model, threshold)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(rows, kind)], names=[*keep, "spans"])
 
     return picked.mapInArrow(run, schema)
 
 
-def redact(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, model: Model | None = None, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """All documents, their spans replaced by [KIND]; overlapping spans become one, of the first one's kind. A column n_chars follows the new text."""
     arrow_batches(docs.sparkSession)
     names = docs.columns
-    own = {f"__c{i}": c for i, c in enumerate(names)}
+    own = [f"__c{i}" for i in range(len(names))]
     at = names.index(text)
     model = model or fit(docs, text)
-    found = find(docs.toDF(*own), model, tuple(own), f"__c{at}")
-
-    # Runs from left to right: (text so far, end of the last span).
-    def cut(acc, s):
-        src = F.col(f"__c{at}")
-        inside = s["start"] < acc["done"]
-        tag = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.substring(src, acc["done"] + 1, s["start"] - acc["done"]), tag)).alias("out"),
-            F.greatest(acc["done"], s["end"]).alias("done"),
-        )
-
-    src = F.col(f"__c{at}")
-    folded = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("done")), cut, lambda acc: F.concat(acc["out"], F.substring(src, acc["done"] + 1, F.length(src))))
-    new = F.when(F.size("spans") > 0, folded).otherwise(src)
-    out = found.withColumn("__new", new)
-    cols = []
-    for i, c in enumerate(names):
-        if i == at:
-            cols.append(F.col("__new").alias(c))
-        elif c == "n_chars":
-            cols.append(F.when(F.size("spans") > 0, F.length("__new").cast(docs.schema[c].dataType)).otherwise(F.col(f"__c{i}")).alias(c))
-        else:
-            cols.append(F.col(f"__c{i}").alias(c))
-    return out.select(*cols)
+    src = docs.toDF(*own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, new = [], []
+            for r, t in _texts(b.column(at)):
+                if spans := [s for s, _, _ in spans_of(t, model, threshold)]:
+                    row.append(r)
+                    new.append(redacted(t, spans))
+            hit = np.zeros(b.num_rows, bool)
+            hit[row] = True
+            mask, columns = pa.array(hit), list(b.columns)
+            columns[at] = pc.replace_with_mask(columns[at], mask, pa.array(new, columns[at].type))
+            yield pa.RecordBatch.from_arrays([*columns, mask], names=[*own, "__hit"])
+
+    types = dict(src.dtypes)
+    out = src.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in own), "__hit boolean"]))
+    size = lambda i, c: F.when(F.col("__hit"), F.length(own[at]).cast(docs.schema[c].dataType)).otherwise(F.col(own[i])) if c == "n_chars" and i != at else F.col(own[i])
+    return out.select(*[size(i, c).alias(c) for i, c in enumerate(names)])
