@@ -59,13 +59,22 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, with_payload=False).where("record_type IS NOT NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _chat_log(rows: DataFrame) -> DataFrame:
+    """The log that leads to the rows: assistants stream a draft, start again and stream the text in two parts; others send a first version and edit it."""
+    # Rows that share a turn are messages of their own.
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    text, half = F.coalesce("text", F.lit("")), (F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    event = lambda k, kind, t: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), t.alias("t"))
+    streamed = F.array(event(0, "delta", F.lit("a draft <|")), event(1, "regenerate", F.lit("")), event(2, "delta", F.left(text, half)), event(3, "delta", F.substring(text, half + 1, F.length(text))))
+    edited = F.array(event(0, "message", F.lit("a first version")), event(1, "edit", text))
+    log = rows.withColumn("nth", nth).withColumn("e", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)))
+    return log.select("conv_id", "turn", "nth", F.struct("turn", "e.k").alias("seq"), "e.kind", "role", F.col("e.t").alias("text"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    # Rows that share a turn are messages of their own.
-    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    events = rows.withColumn("nth", nth).withColumn("kind", F.lit("message"))
-    out = chat.format_events(events, message=("turn", "nth"), seq="turn")
+    out = chat.format_events(_chat_log(rows), message=("turn", "nth"), seq="seq")
     turns = F.array_join(F.transform(chat.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     under = chat.loss_text(F.col("formatted"), F.col("loss"))
     return out.select("conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"), F.length(under).cast("bigint").alias("loss_chars"), F.sha2(under, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
