@@ -110,7 +110,14 @@ TEXTS = {
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
 }
-NON_COMMERCIAL = frozenset(("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0"))
+# Sentences that end the texts of some licences; the texts are known with and without them.
+DISCLAIMERS = {
+    lic: [
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ]
+    for lic in ("BSD-2-Clause", "BSD-3-Clause")
+}
 GAP = 2
 _MARKED = re.compile(r"[.;:!?](?=\s|$)", re.ASCII)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -139,14 +146,17 @@ class Rule:
 
 
 class Tables:
-    """Known sentences by number, and the ordered rules over them."""
+    """Known sentences by number, and the ordered rules over them. names and texts: by licence, for example read from a full list of licences."""
 
-    def __init__(self):
+    def __init__(self, names: dict[str, list[str]] = NAMES, texts: dict[str, list[str]] = TEXTS, disclaimers: dict[str, list[str]] = DISCLAIMERS):
         number: dict[tuple[str, ...], int] = {}
         full, part, refer = [], [], {}
-        for lic, sentences in TEXTS.items():
+        for lic, sentences in texts.items():
             ids = [number.setdefault(x, len(number)) for s in sentences for x in split_sentences(s)]
             full.append(Rule(f"{lic}/text", lic, tuple(ids)))
+            if lic in disclaimers:
+                more = [number.setdefault(x, len(number)) for s in disclaimers[lic] for x in split_sentences(s)]
+                full.append(Rule(f"{lic}/whole", lic, (*ids, *more)))
             part.append((lic, ids))
         # One sentence alone tells a licence if no other licence has it.
         owners: dict[int, set[str]] = {}
@@ -154,8 +164,8 @@ class Tables:
             for i in ids:
                 owners.setdefault(i, set()).add(lic)
         single = [Rule(f"{lic}/sentence", lic, (i,)) for lic, ids in part for i in dict.fromkeys(ids) if owners[i] == {lic} and len(list(number)[i]) >= 8]
-        for lic, names in NAMES.items():
-            for name in names:
+        for lic, called in names.items():
+            for name in called:
                 for form in REFERENCES:
                     words = split_sentences(form.format(name.replace("Apache, Version", "Apache License, Version") if "Apache, " in name else name).replace("\n", " "))
                     flat = tuple(w for s in words for w in s)
@@ -245,9 +255,8 @@ def _next(at: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     return np.append(places, size)[np.searchsorted(places, at)]
 
 
-def sentences_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, dict[int, list[Known]]]:
+def sentences_of(data: np.ndarray, offs: np.ndarray, t: Tables) -> tuple[np.ndarray, dict[int, list[Known]]]:
     """The text of every piece of one chunk, and the known sentences by text."""
-    t = tables()
     w = Words(data, offs, ALNUM)
     h = w.hashes(LOWER_TABLE)
     if not len(h):
@@ -294,7 +303,7 @@ def sentences_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, dict[i
 MATCH = "array<struct<rule:string,license:string,first:bigint,last:bigint>>"
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", gap: int = GAP) -> DataFrame:
+def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", gap: int = GAP, licenses: Tables | None = None) -> DataFrame:
     """Per document: the kept columns, n_sentences, n_known and matches (rule, license, first and last sentence, from 0)."""
     arrow_batches(docs.sparkSession)
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
@@ -303,12 +312,12 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     kind = pa.list_(pa.struct([("rule", pa.string()), ("license", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tables()
+        t = licenses or tables()
         for b in batches:
             data, offs = string_bytes(b.column(len(keep)))
             total, known, found = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [[]] * b.num_rows
             for i, j in chunks(offs):
-                text_, by = sentences_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                text_, by = sentences_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], t)
                 total[i:j] = np.bincount(text_, minlength=j - i)
                 for d, seq in by.items():
                     known[i + d] = len(seq)
