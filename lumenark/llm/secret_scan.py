@@ -97,11 +97,11 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
     # The row's number depends on the scan alone, so a task that runs again gives the same one.
     src = src.withColumn("__row", F.monotonically_increasing_id())
     cut = src.select("*", F.regexp_extract_all("__text", F.lit(PATTERN), F.lit(0)).alias("__m"), F.split("__text", PATTERN, -1).alias("__p")).drop("__text")
-    each = F.transform("__m", lambda m, i: F.struct(m.alias("match"), F.element_at("__p", i + 1).alias("__gap"), F.substring(F.element_at("__p", i + 2), 1, CONTEXT).alias("after")))
+    each = F.transform("__m", lambda m, i: F.struct(m.alias("match"), F.element_at("__p", i + 1).alias("__gap"), F.when(i > 0, F.element_at("__m", F.greatest(i, F.lit(1)))).otherwise("").alias("__last"), F.substring(F.element_at("__p", i + 2), 1, CONTEXT).alias("after")))
     flat = cut.select(*[c for c in src.columns if c != "__text"], F.posexplode(each).alias("__i", "__x")).select("*", "__x.*").drop("__x")
     order = Window.partitionBy("__row").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.length("__gap") + F.length("match")).over(order)
-    placed = flat.withColumn("end", end.cast("bigint")).withColumn("start", F.col("end") - F.length("match")).withColumn("before", F.expr(f"right(__gap, {CONTEXT})"))
+    placed = flat.withColumn("end", end.cast("bigint")).withColumn("start", F.col("end") - F.length("match")).withColumn("before", F.expr(f"right(concat(__last, __gap), {CONTEXT})"))
     return placed.withColumn("kind", _kind()).select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "path", "kind", "match", "start", "end", "before", "after")
 
 
@@ -112,11 +112,11 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
     hexes = lambda size, k: F.substring(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{k}")), 256), 1, size)
     base = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.col("id").cast("string"), F.lit("/b")), 256))), "[+/=]", "x")
     alnum = lambda size: F.substring(base, 1, size)
-    word = pick(["the", "in", "to", "sets", "uses", "with", "our", "ention", "ououn", "das", "que", "line"], 31)
+    word = pick(["the", "in", "to", "sets", "uses", "with", "our", "from", "value", "line", "here", "note"], 31)
     secret_word, hash_word = pick(NEAR_SECRET, 1), pick(NEAR_HARMLESS, 2)
     plain = F.concat_ws("_", pick(DICTIONARY, 3), pick(DICTIONARY, 4), pick(DICTIONARY, 5), pick(DICTIONARY, 6))
     row = lambda label, kind, match, before, path: F.struct(F.lit(label).alias("label"), F.lit(kind).alias("kind"), match.alias("match"), before.alias("before"), path.alias("path"))
-    src_path, test_path = pick(["src0", "src9", "app/config.py", "deploy/prod.env", "web/settings.js"], 7), pick(["tests/test_auth.py", "docs/example.md", "fixtures/keys.txt"], 8)
+    src_path, test_path = pick(["app/config.py", "deploy/prod.env", "web/settings.js", "src/main.go", "notes.txt"], 7), pick(["tests/test_auth.py", "docs/example.md", "fixtures/keys.txt"], 8)
     assigned = lambda v: F.concat(secret_word, pick([" = \"", "=", ": '", "=\""], 9), v)
     upper = lambda c: F.when(F.pmod(r(10), F.lit(6)) == 0, F.upper(c)).otherwise(c)
     cases = [
