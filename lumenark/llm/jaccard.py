@@ -5,28 +5,33 @@ sets link when their Jaccard similarity reaches num/den. The join is exact:
 
 1. Sizes fall into bands such that linked sets lie in one band or two neighbours.
    Linked sets of smaller size m differ in at most D(m) shingles. Under the scheme
-   of a band whose largest size is T, the fingerprint space is cut into more than
-   D(T) ranges, so linked sets agree on a whole range: its fingerprint is a tile
-   key. (A set whose non-empty ranges outnumber D needs no keys of empty ranges.)
-2. Keys travel packed, 16 bytes each; only tiles with two different sets survive.
-3. Each set goes to its fullest tile. There a parity bitmap bounds the overlap of
-   two sets from above (differing bits never outnumber differing shingles); pairs
-   that pass are intersected exactly as sorted arrays, unless already connected.
-4. Components that share a tile compare a few members, for some rounds; this joins
-   the parts of large groups at little cost.
+   of a band whose largest size is T, the fingerprint space is cut into some more
+   ranges than D(T), so linked sets agree on whole ranges: the fingerprint of a
+   range is a tile key. A set with e non-empty ranges agrees with each partner on
+   e - D at least. (A set with e <= D also has keys of its empty ranges.)
+2. One pass over the texts gives sizes and keys. Keys travel packed, 12 bytes each;
+   only tiles with two different sets survive. As partners share e - D tiles, a set
+   leaves its e - D - 1 most common tiles (of those that survived; the order of
+   tiles is global, so the rarest shared tile stays in both), and a set without
+   tiles then has no partner. This drops nearly all sets that merely share passages.
+3. Each remaining set is made again from its text and goes to its fullest tile.
+   There a parity bitmap bounds the overlap of two sets from above (differing bits
+   never outnumber differing shingles); pairs that pass are intersected exactly as
+   sorted arrays, unless already connected.
+4. Components that share a tile compare a few members; this joins the parts of
+   large groups at little cost.
 5. Tiles that still hold different components are joined again, across components
    only, with the bitmap bound in the join condition and exact checks behind it.
 
 Equal sets are one node, so copies cost nothing. Large tiles are split by a salt
-with shared bridge sets; step 5 makes the split exact. Node identity is a 64-bit
-fingerprint of the set: among N distinct sets two collide with chance N^2 / 2^65.
+with shared bridge sets; step 5 makes the split exact. Node identity is a 63-bit
+fingerprint of the set: among N distinct sets two collide with chance N^2 / 2^64.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing;
 fewer than k words are one shingle; repeated rows give repeated rows in one
-component; a null id is not a component's smallest id, and a set that only rows with
-null ids have is compared by equality alone in `join` (`deduplicate` compares it like
-any other); an empty table gives no rows; extra columns are ignored, or kept under any
-name by `deduplicate`.
+component; a row with a null id links like any other, but its id is not a
+component's smallest; an empty table gives no rows; extra columns are ignored, or
+kept under any name by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -41,16 +46,16 @@ from pyspark.sql import functions as F
 
 from .bytekit import LOWER_TABLE, NON_SPACE, U64, Words, arrow_batches, chunks, gram_starts, grams, mix, string_bytes
 from .components import components
-from .storage import release, saved
+from .storage import attach, bounded, discard, release, saved
 
-#: Candidate ids that are broadcast to pick texts; beyond it texts are joined by shuffle.
-BROADCAST_ROWS = 300_000
 #: Shingles in one tile task; entries of one key that a task passes on directly.
 TILE_SHINGLES, HOT_ENTRIES, BRIDGES = 2_000_000, 16, 8
 BUCKET_BYTES, FLUSH = 4 << 20, 1 << 19
 #: Rounds that merge components by a few of their members, before the exact one. The first finds nearly all.
 MERGE_ROUNDS = 1
 WORDS = 16  # of the bitmap: 1024 bits
+#: Stands for the number of members of a tile that some task has many of: the same wherever the tile is met.
+COMMON = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -75,7 +80,7 @@ class Spec:
 
     def ranges(self, top):
         d = self.differing(top) + 1
-        return d + np.where(d >= 5, d // 25 + 1, 0)
+        return d + np.where(d >= 5, d // 5 + 1, 0)
 
 
 class Sets:
@@ -109,12 +114,13 @@ class Sets:
         np.cumsum(self.own, out=full[1:])
         self.node = mix(full[self.offs[1:]] - full[self.offs[:-1]] + self.size.astype(np.uint64)) >> U64(1)
 
-    def keys(self, spec: Spec, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tile keys and their texts."""
+    def keys(self, spec: Spec, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tile keys, their texts, whether they are of the band below, and (two rows: own band, below) how many keys each text can spare."""
         band = np.searchsorted(tops, np.maximum(self.size, 1))
-        out_k, out_t = [], []
         below = tops[np.maximum(band - 1, 0)]
-        for scheme, wanted in ((band, self.size > 0), (band - 1, (band > 0) & (self.size > 0) & (spec.num * self.size <= spec.den * below))):
+        spare = np.zeros((2, len(self.size)), np.int64)
+        out_k, out_t, out_l = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for low, (scheme, wanted) in enumerate(((band, self.size > 0), (band - 1, (band > 0) & (self.size > 0) & (spec.num * self.size <= spec.den * below)))):
             scheme = np.maximum(scheme, 0)
             parts = spec.ranges(tops[scheme]).astype(np.int64)
             pick = wanted[self.text]
@@ -126,17 +132,18 @@ class Sets:
             edge[1:] = (j[1:] != j[:-1]) | (t[1:] != t[:-1])
             at = np.flatnonzero(edge)
             salt = mix(scheme[t[at]].astype(np.uint64) * U64(0x2545F4914F6CDD1D) + j[at])
-            out_k.append(mix(np.add.reduceat(own, at) + salt))
-            out_t.append(t[at])
+            new_k, new_t = [mix(np.add.reduceat(own, at) + salt)], [t[at]]
             have = np.bincount(t[at], minlength=len(self.size))
-            poor = np.flatnonzero(wanted & (have < spec.differing(np.minimum(self.size, tops[scheme])) + 1))
-            for x in poor.tolist():  # too few non-empty ranges: empty ones count as well
+            most = spec.differing(np.minimum(self.size, tops[scheme]))
+            spare[low] = np.where(wanted, np.maximum(have - most - 1, 0), 0)
+            for x in np.flatnonzero(wanted & (have <= most)).tolist():  # too few non-empty ranges: empty ones count as well
                 empty = np.setdiff1d(np.arange(parts[x], dtype=np.uint64), j[at][t[at] == x])
-                out_k.append(mix(mix(np.full(len(empty), scheme[x], np.uint64) * U64(0x2545F4914F6CDD1D) + empty) ^ U64(0xE3779B97F4A7C15F)))
-                out_t.append(np.full(len(empty), x))
-        if not out_k:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate(out_k), np.concatenate(out_t)
+                new_k.append(mix(mix(np.full(len(empty), scheme[x], np.uint64) * U64(0x2545F4914F6CDD1D) + empty) ^ U64(0xE3779B97F4A7C15F)))
+                new_t.append(np.full(len(empty), x))
+            out_k += new_k
+            out_t += new_t
+            out_l.append(np.full(sum(map(len, new_k)), bool(low)))
+        return np.concatenate(out_k), np.concatenate(out_t), np.concatenate(out_l), spare
 
     def bitmaps(self, texts: np.ndarray) -> np.ndarray:
         """Parity of the shingles on each of the bits, for some texts."""
@@ -158,27 +165,17 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def sizes(docs: DataFrame, spec: Spec) -> DataFrame:
-    """id, n (size of its set), node (null for an empty set), and what follows the text. docs: id, text, ..."""
-    more = docs.columns[2:]
-    types = dict(docs.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [s for _, s in _sets(b.column(1), spec.k)]
-            if got:
-                n, node = np.concatenate([s.size for s in got]), np.concatenate([s.node for s in got])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(node.view(np.int64), mask=n == 0), *b.columns[2:]], names=["id", "n", "node", *more])
-
-    return docs.mapInArrow(run, ", ".join([f"id {types['id']}, n bigint, node bigint"] + [f"{c} {types[c]}" for c in more]))
-
-
-def tiles(docs: DataFrame, spec: Spec, largest: int, total: int) -> DataFrame:
-    """(tile, node, c): all members of tiles with at least two nodes; c is the number of members seen together."""
-    tops = spec.bands(largest)
+def survey(docs: DataFrame, spec: Spec, text_bytes: int) -> DataFrame:
+    """Two kinds of rows from one pass. Of each document: id, h, n (size of its set), node (null for an empty set), spare0, spare1.
+    Of each member of a tile with two nodes or more: tile, member, low (of the band below), c (members seen together, or COMMON). docs: id, h, text."""
+    tops = spec.bands(max(text_bytes, 1))
     share = 2 * (spec.den - spec.num) / spec.num
-    bits = max(4, int(np.ceil(np.log2(max(1.0, 16 * share * total / BUCKET_BYTES)))))
-    shift = U64(64 - bits)
+    bits = min(30, max(4, int(np.ceil(np.log2(max(1.0, 12 * share * text_bytes / 6 / BUCKET_BYTES))))))
+    shift, rest = U64(64 - bits), U64(32 - bits)  # of a key, its bucket and 32 bits more travel: few enough chance meetings
+    kind = dict(docs.dtypes)["id"]
+    facts = f"id {kind}, h bigint, n bigint, node bigint, spare0 bigint, spare1 bigint"
+    id_type = docs.select("id").limit(0).toArrow().schema.field(0).type
+    flag = U64(1) << U64(63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -186,10 +183,11 @@ def tiles(docs: DataFrame, spec: Spec, largest: int, total: int) -> DataFrame:
         task, serial = TaskContext.get().partitionId(), 0
         held_k: list[np.ndarray] = []
         held_n: list[np.ndarray] = []
+        names = ["bucket", "keys", "nodes", "hot", "id", "h", "n", "node", "spare0", "spare1"]
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal serial
-            key, node = np.concatenate(held_k), np.concatenate(held_n)
+            key, node = np.concatenate(held_k) >> rest, np.concatenate(held_n)
             held_k.clear(), held_n.clear()
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
@@ -200,37 +198,60 @@ def tiles(docs: DataFrame, spec: Spec, largest: int, total: int) -> DataFrame:
             first[1:] = key[1:] != key[:-1]
             run_of = np.cumsum(first) - 1
             hot = np.bincount(run_of, minlength=1)[run_of] > HOT_ENTRIES
-            stay = ~hot | first  # a hot key keeps one entry on the common way, for other tasks to meet
-            k, n = key[stay], node[stay]
-            cuts = np.searchsorted(k >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+            stay = ~hot | first  # a common key keeps one entry on the usual way, for other tasks to meet
+            k, n, told = key[stay], node[stay], key[hot & first]
+            edges = np.arange((1 << bits) + 1, dtype=np.uint64) << U64(32)
+            cuts, cuts_t = np.searchsorted(k, edges), np.searchsorted(told, edges)
+            low32 = k.astype(np.uint32)
             bucket = np.flatnonzero(np.diff(cuts))
-            rows = [(int(i), k[cuts[i] : cuts[i + 1]].tobytes(), n[cuts[i] : cuts[i + 1]].tobytes()) for i in bucket]
+            rows = [(int(i), low32[cuts[i] : cuts[i + 1]].tobytes(), n[cuts[i] : cuts[i + 1]].tobytes(), told[cuts_t[i] : cuts_t[i + 1]].astype(np.uint32).tobytes()) for i in bucket]
             if hot.any():  # these tiles have two members already: each lot is a group of its own
-                rows.append(((1 << 40) + (task << 16) + serial, key[hot].tobytes(), node[hot].tobytes()))
+                rows.append(((1 << 40) + (task << 16) + serial, key[hot].tobytes(), node[hot].tobytes(), None))
             serial += 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "keys", "nodes"])
+            empty = [pa.nulls(len(rows), t) for t in (id_type, *[pa.int64()] * 5)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)), *empty], names=names)
 
         count = 0
         for b in batches:
-            for _, s in _sets(b.column(0), spec.k):
-                k, t = s.keys(spec, tops)
+            n, node, spare = [], [], []
+            for _, s in _sets(b.column(2), spec.k):
+                k, t, low, can = s.keys(spec, tops)
                 held_k.append(k)
-                held_n.append(s.node[t])
+                held_n.append(np.where(low, s.node[t] | flag, s.node[t]))
+                n.append(s.size)
+                node.append(s.node)
+                spare.append(can)
                 count += len(k)
                 if count >= FLUSH:
                     yield from flush()
                     count = 0
+            if n:
+                size, name, can = np.concatenate(n), np.concatenate(node), np.concatenate(spare, 1)
+                place = pa.array((mix(name) >> U64(24)).view(np.int64) + (1 << 41))
+                blank = [pa.nulls(len(size), pa.binary())] * 3
+                yield pa.RecordBatch.from_arrays([place, *blank, b.column(0), b.column(1), pa.array(size), pa.array(name.view(np.int64), mask=size == 0), pa.array(can[0]), pa.array(can[1])], names=names)
         if count:
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lots: dict[int, list[tuple[bytes, bytes]]] = {}  # what one task is dealt: about BUCKET_BYTES a bucket
+        names = ["id", "h", "n", "node", "spare0", "spare1", "tile", "member", "low", "c"]
+        lots: dict[int, list[tuple[bytes, bytes, bytes]]] = {}  # what one task is dealt: about BUCKET_BYTES a bucket
         for b in batches:
-            for name, k, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                lots.setdefault(name, []).append((k, n))
+            documents = b.filter(b.column(6).is_valid())
+            if documents.num_rows:
+                yield pa.RecordBatch.from_arrays([*documents.columns[4:], *(pa.nulls(documents.num_rows, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64()))], names=names)
+            packed = b.filter(b.column(6).is_null())
+            for bucket, k, n, told in zip(*(c.to_pylist() for c in packed.columns[:4]), strict=True):
+                lots.setdefault(bucket, []).append((k, n, told))
         while lots:
-            _, lot = lots.popitem()
-            k, n = (np.frombuffer(b"".join(x), np.uint64) for x in zip(*lot, strict=True))
+            bucket, lot = lots.popitem()
+            n = np.frombuffer(b"".join(x[1] for x in lot), np.uint64)
+            common = np.zeros(0, np.uint64)
+            if bucket < 1 << 40:
+                k = np.frombuffer(b"".join(x[0] for x in lot), np.uint32).astype(np.uint64) + (U64(bucket) << U64(32))
+                common = np.unique(np.frombuffer(b"".join(x[2] for x in lot), np.uint32).astype(np.uint64) + (U64(bucket) << U64(32)))
+            else:
+                k = np.frombuffer(b"".join(x[0] for x in lot), np.uint64)
             del lot
             order = np.lexsort((n, k))
             k, n = k[order], n[order]
@@ -241,28 +262,55 @@ def tiles(docs: DataFrame, spec: Spec, largest: int, total: int) -> DataFrame:
             first[1:] = k[1:] != k[:-1]
             run_of = np.cumsum(first) - 1
             c = np.bincount(run_of, minlength=1)[run_of]
+            c[np.isin(k, common) if bucket < 1 << 40 else slice(None)] = COMMON
             keep = c > 1
-            yield pa.RecordBatch.from_arrays([_signed(k[keep]), _signed(n[keep]), pa.array(c[keep])], names=["tile", "node", "c"])
+            m = int(keep.sum())
+            empty = [pa.nulls(m, t) for t in (id_type, *[pa.int64()] * 5)]
+            yield pa.RecordBatch.from_arrays([*empty, _signed(k[keep]), _signed(n[keep] & ~flag), pa.array((n[keep] & flag) != 0), pa.array(c[keep])], names=names)
 
-    packed = docs.select("text").mapInArrow(run, "bucket bigint, keys binary, nodes binary")
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(1 << bits) // 2))
-    return packed.repartition(n, "bucket").mapInArrow(meet, "tile bigint, node bigint, c bigint")
+    packed = docs.select("id", "h", "text").mapInArrow(run, f"bucket bigint, keys binary, nodes binary, hot binary, {facts}")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(1 << bits) // 2))
+    return packed.repartition(parts, "bucket").mapInArrow(meet, f"{facts}, tile bigint, member bigint, low boolean, c bigint")
+
+
+def pruned(met: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tile, node) without the tiles that sets can spare and sets without a tile left; and (node, tile): the fullest tile of each set that stays."""
+    listed = met.groupBy(F.col("member").alias("node")).agg(F.collect_list(F.struct("c", "tile", "low")).alias("l"))  # as many as a document has keys
+    listed = listed.join(nodes.select("node", "spare0", "spare1"), "node")
+
+    def rarest(low: bool, spare: str):
+        own = F.sort_array(F.filter("l", lambda x: x["low"] == F.lit(low)))
+        return F.slice(own, F.lit(1), F.greatest(F.size(own) - F.col(spare), F.lit(0)).cast("int"))
+
+    stay = listed.select("node", F.array_max("l")["tile"].alias("home"), F.concat(rarest(False, "spare0"), rarest(True, "spare1")).alias("l")).where(F.size("l") > 0)
+    stay = saved(met.sparkSession, stay.select("node", "home", F.transform("l", lambda x: x["tile"]).alias("tiles")), "stay")
+    rows = stay.select("node", F.explode("tiles").alias("tile"))
+    shared = rows.groupBy("tile").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("tile")
+    return saved(met.sparkSession, rows.join(shared, "tile", "left_semi"), "shared"), stay.select("node", F.col("home").alias("tile"))
 
 
 def members(docs: DataFrame, spec: Spec) -> DataFrame:
-    """node, n, set (binary, sorted fingerprints) and bitmap words b0.. of each text."""
-    names = ["node", "n", "set", *(f"b{i}" for i in range(WORDS))]
+    """The columns before the text, n, set (binary, sorted fingerprints) and bitmap words b0.. of each row. docs: ..., text."""
+    more, types = docs.columns[:-1], dict(docs.dtypes)
+    names = [*more, "n", "set", *(f"b{i}" for i in range(WORDS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, s in _sets(b.column(0), spec.k):
+            for i, s in _sets(b.column(len(more)), spec.k):
                 at = np.flatnonzero(s.size)
                 bm = s.bitmaps(at)
-                sets = [s.values[s.offs[i] : s.offs[i + 1]].tobytes() for i in at]
-                yield pa.RecordBatch.from_arrays([_signed(s.node[at]), pa.array(s.size[at]), pa.array(sets, pa.binary()), *(_signed(np.ascontiguousarray(bm[:, i])) for i in range(WORDS))], names=names)
+                sets = [s.values[s.offs[x] : s.offs[x + 1]].tobytes() for x in at]
+                lead = [c.take(pa.array(at + i)) for c in b.columns[: len(more)]]
+                yield pa.RecordBatch.from_arrays([*lead, pa.array(s.size[at]), pa.array(sets, pa.binary()), *(_signed(np.ascontiguousarray(bm[:, x])) for x in range(WORDS))], names=names)
+
+    return docs.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in more), "n bigint, set binary", *(f"b{i} bigint" for i in range(WORDS))]))
+
 
-    schema = "node bigint, n bigint, set binary, " + ", ".join(f"b{i} bigint" for i in range(WORDS))
-    return docs.select("text").mapInArrow(run, schema).dropDuplicates(["node"])
+def texts_of(src: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What wanted (id, h, ...) has besides, with the text of a row of that id and h. Repeated rows may give repeated rows."""
+    more = [c for c in wanted.columns if c not in ("id", "h")]
+    w = bounded(wanted.withColumnsRenamed({"id": "__id", "h": "__h"}))
+    return src.join(w, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select(*more, "text")
 
 
 def linked(a: np.ndarray, b: np.ndarray, spec: Spec) -> bool:
@@ -305,19 +353,21 @@ def _arrays(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")], np.stack([table.column(f"b{i}").to_numpy().view(np.uint64) for i in range(WORDS)], 1)
 
 
-def _first_round(spark: SparkSession, met: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
-    """(a, b): each candidate node and what it is connected to inside its fullest tile."""
-    home = met.groupBy("node").agg(F.max(F.struct("c", "tile")).alias("x")).select("node", F.col("x.tile").alias("tile"))
-    placed = home.join(sets, "node")
-    totals = home.join(sets.select("node", "n"), "node").groupBy("tile").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where(F.col("total") > TILE_SHINGLES)
-    placed = placed.join(totals, "tile", "left")
-    salts = F.coalesce(F.ceil(F.col("total") / TILE_SHINGLES), F.lit(1)).cast("int")
+def _first_round(src: DataFrame, home: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
+    """(a, b): each candidate node and what it is connected to inside its fullest tile. Sets move once, straight from the texts."""
+    placed = home.join(nodes.select("node", "n", "id", "h"), "node")
+    totals = placed.groupBy("tile").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where(F.col("m") > 1)
+    placed = placed.join(totals, "tile")
+    salts = F.ceil(F.col("total") / TILE_SHINGLES).cast("int")
     bridge = (salts > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("m")) < BRIDGES)
     salt = F.when(bridge, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), salts).cast("int")))
-    dealt = placed.withColumn("salt", F.explode(salt)).drop("total", "m", "n")
+    wanted = saved(src.sparkSession, placed.select("id", "h", "node", "tile", salt.alias("salts")), "homes")
+    dealt = members(texts_of(src, wanted), spec).withColumn("salt", F.explode("salts")).drop("salts", "n")
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
+        once = np.unique(nodes, return_index=True)[1]
+        nodes, table = nodes[once], table.take(pa.array(once))
         return pa.table([pa.array(nodes), pa.array(link_tile(nodes, *_arrays(table), spec))], names=["a", "b"])
 
     return dealt.groupBy("tile", "salt").applyInArrow(work, "a bigint, b bigint")
@@ -367,9 +417,10 @@ def _last_round(named: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
     far = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bits[1:]), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
     near = (F.col("x.tile") == F.col("y.tile")) & (F.col("x.comp") < F.col("y.comp")) & (spec.den * less >= spec.num * most) & (spec.num * far <= (spec.den - spec.num) * less)
     pairs = x.join(y, near).select(F.col("x.node").alias("p"), F.col("y.node").alias("q"), F.col("x.comp").alias("a"), F.col("y.comp").alias("b")).distinct()
-    left = sets.select(F.col("node").alias("p"), F.col("set").alias("sp"))
-    right = sets.select(F.col("node").alias("q"), F.col("set").alias("sq"))
-    both = pairs.join(left, "p").join(right, "q").select("a", "b", "sp", "sq")
+    pairs = saved(sets.sparkSession, pairs, "pairs")
+    ends = bounded(pairs.select(F.explode(F.array("p", "q")).alias("node")).distinct())
+    few = sets.join(ends, "node", "left_semi").select("node", "set")
+    both = pairs.join(few.withColumnsRenamed({"node": "p", "set": "sp"}), "p").join(few.withColumnsRenamed({"node": "q", "set": "sq"}), "q").select("a", "b", "sp", "sq")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -391,51 +442,58 @@ def _relabel(spark: SparkSession, comp: DataFrame, edges: DataFrame) -> tuple[Da
     return saved(spark, known.unionByName(alone), "components"), wide.where("label <> wide").count()
 
 
-def _classes(src: DataFrame, spec: Spec) -> DataFrame:
-    """The columns of `sizes` and class, equal for rows that links connect (null without shingles). src: id, text, and h where rows go by id and h."""
+def _joined_across(src: DataFrame, named: DataFrame, comp: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
+    """Components after the links between those that still share a tile."""
     spark = src.sparkSession
-    arrow_batches(spark)
-    known = saved(spark, sizes(src, spec), "set-sizes")
-    stat = known.agg(F.max("n"), F.sum("n")).first()
-    largest, total = int(stat[0] or 0), int(stat[1] or 0)
-    met = saved(spark, tiles(src, spec, max(largest, 1), total), "tiles")
+    wanted = saved(spark, named.select("node").distinct().join(nodes.select("node", "id", "h"), "node"), "late")
+    sets = saved(spark, members(texts_of(src, wanted), spec).dropDuplicates(["node"]), "sets", codec="none")
     release(spark)
-    candidates = met.select("node").distinct()
-    by_node = known.join(candidates, "node", "left_semi").groupBy("node")
-    if "h" in src.columns:
-        ids = by_node.agg(_first_row().alias("low")).select(F.col("low.id").alias("__id"), F.col("low.h").alias("__h"))
-        on = F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
-    else:
-        ids, on = by_node.agg(F.min("id").alias("id")).select("id").where("id IS NOT NULL"), "id"
-    ids = saved(spark, ids.distinct(), "candidates")
-    few = ids.count() <= BROADCAST_ROWS
-    chosen = src.join(F.broadcast(ids) if few else ids, on, "left_semi")
-    sets = saved(spark, members(chosen, spec), "sets", codec="none")
-    release(spark)
-    comp = saved(spark, components(spark, _first_round(spark, met, sets, spec)), "components")
-    named = saved(spark, _named(met.select("tile", "node").distinct(), comp), "mixed")
     for turn in range(MERGE_ROUNDS):
         comp, joined = _relabel(spark, comp, _merge_round(named, sets, spec, turn))
         if not joined:
             break
         named = saved(spark, _named(named.drop("comp"), comp), "mixed")
-    release(spark)
     final, _ = _relabel(spark, comp, _last_round(named, sets, spec))
-    return known.join(final, "node", "left").withColumn("class", F.coalesce("label", "node"))
+    discard(sets)
+    return final
 
 
-def _first_row():
-    """The smallest id with the smallest h it has; null ids come last."""
-    return F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h")))
+def _classes(src: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """(id, h, n, node) of each row; and of nodes whose class has several rows: node, low (a struct none, id, h of the class's first row), rows. src: id, h, text."""
+    spark = src.sparkSession
+    arrow_batches(spark)
+    bytes_ = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    both = saved(spark, survey(src, spec, bytes_), "survey")
+    release(spark)
+    known = both.where("n IS NOT NULL").select("id", "h", "n", "node", "spare0", "spare1")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("low")
+    nodes = known.where("node IS NOT NULL").groupBy("node").agg(first, F.count("*").alias("rows"), *(F.min(c).alias(c) for c in ("n", "spare0", "spare1")))
+    nodes = saved(spark, nodes.select("node", "low", "rows", "n", "spare0", "spare1", "low.id", "low.h"), "nodes")
+    shared, home = pruned(both.where("tile IS NOT NULL").select("tile", "member", "low", "c"), nodes)
+    comp = saved(spark, components(spark, _first_round(src, home, nodes, spec)), "components")
+    named = saved(spark, _named(shared, comp), "mixed")
+    discard(shared)
+    if not named.isEmpty():
+        comp = _joined_across(src, named, comp, nodes, spec)
+    discard(named)
+    per = nodes.select("node", "low", "rows").join(comp, "node", "left").select("node", "low", "rows", F.coalesce("label", "node").alias("class"))
+    per = saved(spark, per, "per-node")
+    lows = per.groupBy("class").agg(F.min("low").alias("first"), F.sum("rows").alias("total"), F.count("*").alias("parts")).where("total > 1").drop("total")
+    lows = saved(spark, lows, "lows")
+    groups = attach(per.select("node", "class", "rows"), lows, "class", "parts").where("first IS NOT NULL")
+    return known.select("id", "h", "n", "node"), saved(spark, groups.select("node", F.col("first").alias("low"), "rows"), "groups")
+
+
+def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    value = F.col(f"`{text}`").cast("string")
+    return docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(value).alias("h"), value.alias("text"))
 
 
 def join(docs: DataFrame, spec: Spec = Spec(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id (under its own name), n_shingles, component_id (smallest id connected by links)."""
-    named = _classes(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")), spec)
-    # Only classes of several rows need a second look; a hot class meets one narrow row.
-    lows = named.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("low"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    out = named.join(lows, "class", "left")
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
+    known, groups = _classes(_source(docs, doc_id, text), spec)
+    out = attach(known, groups, "node", "rows")
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("low.id", "id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, spec: Spec = Spec(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -446,14 +504,11 @@ def deduplicate(docs: DataFrame, spec: Spec = Spec(), doc_id: str = "doc_id", te
     no group: repeats of one id and text leave one row, and those with a null id all stay.
     """
     spark = docs.sparkSession
-    value = F.col(f"`{text}`").cast("string")
-    src = docs.select(F.col(f"`{doc_id}`").alias("id"), value.alias("text"), F.xxhash64(value).alias("h"))
-    found = saved(spark, _classes(src, spec).select("id", "h", "class"), "classes")
-    lows = found.where("class IS NOT NULL").groupBy("class").agg(_first_row().alias("low"), F.count("*").alias("rows")).where("rows > 1")
-    lows = saved(spark, lows.select("class", F.col("low.id").alias("low_id"), F.col("low.h").alias("low_h")), "lows")
-    several = found.join(F.broadcast(lows) if lows.count() <= BROADCAST_ROWS else lows, "class")
-    first = F.col("id").eqNullSafe(F.col("low_id")) & (F.col("h") == F.col("low_h"))
-    blank = found.where("class IS NULL AND id IS NOT NULL").select("id", "h")
+    known, groups = _classes(_source(docs, doc_id, text), spec)
+    found = saved(spark, attach(known, groups, "node", "rows"), "classes")
+    several = found.where("low IS NOT NULL")
+    first = F.col("id").eqNullSafe(F.col("low.id")) & (F.col("h") == F.col("low.h"))
+    blank = found.where("node IS NULL AND id IS NOT NULL").select("id", "h")
     gone = saved(spark, several.where(~first).select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct(), "gone")
     stay = several.where(first).select("id", "h").unionByName(blank)
     again = saved(spark, stay.groupBy("id", "h").agg(F.count("*").alias("m")).where("m > 1").select(F.col("id").alias("__id"), F.col("h").alias("__h")), "repeats")
@@ -462,8 +517,7 @@ def deduplicate(docs: DataFrame, spec: Spec = Spec(), doc_id: str = "doc_id", te
     key = f"__c{docs.columns.index(doc_id)}"
 
     def pick(keys: DataFrame, how: str) -> DataFrame:
-        few = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-        return rows.join(few, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__h")), how)
+        return rows.join(bounded(keys), F.col(key).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__h")), how)
 
     if again.isEmpty():
         kept = pick(gone, "left_anti")
