@@ -36,8 +36,10 @@ def filename_date(stem: Column) -> Column:
 
 
 def dms(degrees: Column, minutes: Column, seconds: Column, ref: Column) -> Column:
+    """Decimal degrees; null beyond 180 either way."""
     v = degrees + minutes / 60 + seconds / 3600
-    return F.round(F.when(F.upper(ref).isin("S", "W"), -v).otherwise(v), 6)
+    v = F.when(F.upper(ref).isin("S", "W"), -v).otherwise(v)
+    return F.when(F.abs(v) <= 180, F.round(v, 6))
 
 
 def valid_coordinates(lat: Column, lon: Column) -> Column:

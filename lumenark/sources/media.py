@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # File endings and folders that are never read.
-RASTER = "jpg jpeg png webp bmp gif tif tiff".split()
-HEIF = "heic heif hif".split()
-RAW = "cr2 cr3 nef arw dng orf rw2 raf".split()
-VIDEO = "mp4 mov m4v avi mkv webm 3gp mts m2ts mpg mpeg wmv".split()
-SKIPPED_FOLDERS = ("@eaDir", ".thumbnails", "__pycache__")
+RASTER = ("bmp", "gif", "jpeg", "jpg", "png", "tif", "tiff", "webp")
+HEIF = ("heic", "heif", "hif")
+RAW = ("arw", "cr2", "cr3", "dng", "nef", "orf", "raf", "rw2")
+VIDEO = ("3gp", "avi", "m2ts", "m4v", "mkv", "mov", "mp4", "mpeg", "mpg", "mts", "webm", "wmv")
+SKIPPED_FOLDERS = (".thumbnails", "@eaDir", "__pycache__")
 
 
 def extension(path: Column) -> Column:
