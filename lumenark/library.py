@@ -1,13 +1,15 @@
 """A library: seven tables under one root, each a series of immutable versions.
 
-A commit writes new version folders and then one pointer file that names the current
-version of every table, so several tables change together and a reader never sees
-half a mutation. Row updates and deletes are joins that produce the next version.
+A commit writes new folders, whose names no other writer uses, and then one pointer file
+that lists the current folders of every table, so several tables change together and a
+reader never sees half a mutation. Appends add a folder and write their own rows alone;
+row updates and deletes are joins that produce the next version of a table.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,26 +40,28 @@ class Library:
             return []
         return sorted(int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(at) if s.getPath().getName().endswith(".json"))
 
-    def pointers(self) -> dict[str, int]:
-        """Current version by table."""
+    def pointers(self) -> dict[str, dict]:
+        """Current version (v) and folders (dirs) by table."""
         if not (n := self._commits()):
             return {}
         return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/_commits/{n[-1]}.json").collect()))
 
-    def commit(self, tables: dict[str, DataFrame], drop: tuple[str, ...] = ()) -> None:
-        """Writes new versions of these tables and makes all of them current at once."""
-        now = {k: v for k, v in self.pointers().items() if k not in drop}
+    def commit(self, tables: dict[str, DataFrame], drop: tuple[str, ...] = (), added: dict[str, DataFrame] | None = None) -> None:
+        """Replaces these tables, then adds rows to others or the same, and makes all of it current at once."""
         last = self._commits()
-        for name, df in tables.items():
-            version = max(now.get(name, 0), last[-1] if last else 0) + 1
-            self._conform(name, df).write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
-            now[name] = version
-        n = (last[-1] if last else 0) + 1
-        hidden, final = self._path(f"{self.root}/_commits/.{n}.tmp"), self._path(f"{self.root}/_commits/{n}.json")
+        now = {k: v for k, v in self.pointers().items() if k not in drop}
+        n, token = (last[-1] if last else 0) + 1, uuid.uuid4().hex[:12]
+        for how, group in (("set", tables), ("add", added or {})):
+            for name, df in group.items():
+                folder = f"{n}-{token}-{how}"
+                self._conform(name, df).write.parquet(f"{self.root}/{name}/{folder}")
+                now[name] = {"v": n, "dirs": [*(now.get(name, {}).get("dirs", []) if how == "add" else []), folder]}
+        hidden, final = self._path(f"{self.root}/_commits/.{n}-{token}.tmp"), self._path(f"{self.root}/_commits/{n}.json")
         out = self._fs.create(hidden, True)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        if not self._fs.rename(hidden, final):
+        if self._fs.exists(final) or not self._fs.rename(hidden, final):
+            self._fs.delete(hidden, False)
             raise RuntimeError("another writer committed first")
 
     def _conform(self, name: str, df: DataFrame) -> DataFrame:
@@ -77,17 +81,20 @@ class Library:
 
     def version(self, name: str) -> int:
         """Caches are valid while this stays the same."""
-        return self.pointers().get(name, 0)
+        return self.pointers().get(name, {}).get("v", 0)
 
     def table(self, name: str, columns: tuple[str, ...] | None = None) -> DataFrame:
         if not (v := self.pointers().get(name)):
             raise NotFound(name)
-        df = self.spark.read.parquet(f"{self.root}/{name}/v{v}")
+        df = self._stored(name, v)
         for c, default in MEDIA_DEFAULTS.items():
             if name == "images" and c not in df.columns:
                 df = df.withColumn(c, F.lit(default))
         return df.select(*columns) if columns else df
 
+    def _stored(self, name: str, pointer: dict) -> DataFrame:
+        return self.spark.read.option("mergeSchema", len(pointer["dirs"]) > 1).parquet(*(f"{self.root}/{name}/{x}" for x in pointer["dirs"]))
+
     def row(self, name: str, key: str, value, columns: tuple[str, ...] | None = None):
         got = self.table(name, columns).where(F.col(key) == F.lit(value)).limit(1).collect()
         if not got:
@@ -110,8 +117,7 @@ class Library:
 
     def ensure_media_columns(self) -> bool:
         """Adds columns that an older library lacks; true if anything was added."""
-        v = self.pointers()["images"]
-        df = self.spark.read.parquet(f"{self.root}/images/v{v}")
+        df = self._stored("images", self.pointers()["images"])
         if set(MEDIA_DEFAULTS) <= set(df.columns):
             return False
         self.commit({"images": df})
@@ -134,23 +140,26 @@ class Library:
 
     # Mutation.
     def append(self, rows: dict[str, DataFrame]) -> None:
-        self.commit({t: self._conform(t, self.table(t)).unionByName(self._conform(t, df)) for t, df in rows.items()})
+        """Writes these rows alone."""
+        self.commit({}, added=rows)
 
     def updated(self, name: str, where: Column, values: dict[str, Column]) -> DataFrame:
-        df = self.table(name)
-        hit = F.coalesce(where, F.lit(False))
-        return df.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns])
+        return changed(self.table(name), where, values)
 
     def update(self, name: str, where: Column, values: dict[str, Column]) -> None:
         self.commit({name: self.updated(name, where, values)})
 
     def without(self, name: str, keys: DataFrame, on: str) -> DataFrame:
-        return self.table(name).join(keys.select(on).distinct(), on, "left_anti")
+        return without(self.table(name), keys, on)
 
     def remove_images(self, ids: DataFrame, cascade: bool = True) -> None:
         """Images with their faces and texts; with cascade, album items too."""
+        self.replace_images(ids, {}, cascade)
+
+    def replace_images(self, gone: DataFrame | None, rows: dict[str, DataFrame], cascade: bool = False) -> None:
+        """Removes images and adds rows in one commit, so that no reader misses a changed file."""
         names = ["images", "faces", "ocr"] + ["album_items"] * cascade
-        self.commit({t: self.without(t, ids, "image_id") for t in names if self.has(t)})
+        self.commit({t: self.without(t, gone, "image_id") for t in names if gone is not None and self.has(t)}, added=rows)
 
     def next_id(self, name: str, key: str) -> int:
         top = self.table(name).agg(F.max(key)).first()[0]
@@ -168,16 +177,34 @@ class Library:
         nth = F.row_number().over(Window.partitionBy("__part").orderBy("__at"))
         return marked.join(F.broadcast(offsets), "__part").withColumn(key, (F.lit(start - 1) + F.col("__before") + nth).cast("bigint")).drop("__part", "__at", "__before")
 
-    def compact(self, files: int = 1, keep: int = 1) -> None:
-        """Rewrites tables in few files and drops old versions and commits."""
-        self.commit({t: self.table(t).coalesce(files) for t in self.pointers()})
+    def _bytes(self, name: str, folder: str) -> int:
+        return self._fs.getContentSummary(self._path(f"{self.root}/{name}/{folder}")).getLength()
+
+    def compact(self, file_bytes: int = 128 << 20, keep: int = 1) -> None:
+        """Rewrites tables in files of about this size, then drops old commits and the folders that only they name."""
         now = self.pointers()
-        for t, v in now.items():
+        files = {t: max(1, -(-sum(self._bytes(t, x) for x in p["dirs"]) // file_bytes)) for t, p in now.items()}
+        self.commit({t: self.table(t).coalesce(1) if n == 1 else self.table(t).repartition(n) for t, n in files.items()})
+        commits = self._commits()
+        for n in commits[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/_commits/{n}.json"), True)
+        live = [json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/_commits/{n}.json").collect())) for n in commits[-keep:]]
+        for t in now:
+            used = {x for p in live for x in p.get(t, {}).get("dirs", [])}
             for s in self._fs.listStatus(self._path(f"{self.root}/{t}")):
-                if int(s.getPath().getName()[1:]) <= v - keep:
+                if s.getPath().getName() not in used:
                     self._fs.delete(s.getPath(), True)
-        for n in self._commits()[:-keep]:
-            self._fs.delete(self._path(f"{self.root}/_commits/{n}.json"), True)
+
+
+def changed(df: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:
+    """Rows with new values where the condition holds; null does not hold."""
+    hit = F.coalesce(where, F.lit(False))
+    return df.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns])
+
+
+def without(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is not among these."""
+    return df.join(keys.select(on).distinct(), on, "left_anti")
 
 
 def all_of(conditions: list[Column]) -> Column:

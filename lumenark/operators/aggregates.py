@@ -85,7 +85,7 @@ def people_in_images(images: DataFrame, ids: DataFrame) -> DataFrame:
     return images.join(ids, "image_id", "left_semi").select(F.explode("people_ids").alias("person_id")).distinct()
 
 
-def centroids(faces: DataFrame, group: str = "person_id", cap: int = 10_000) -> DataFrame:
+def centroids(faces: DataFrame, group: str = "person_id") -> DataFrame:
     """Quality-weighted mean direction, number of faces and best face of each group. Sums are taken by vector position, so a group is never gathered; weights are floored."""
     w = F.greatest(F.coalesce(F.col("quality").cast("double"), F.lit(0.0)), F.lit(1e-3))
     rows = faces.where(F.col("vector").isNotNull()).select(group, "face_id", w.alias("w"), "vector")

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..library import all_of
+from . import vectors as V
 
-PAGE, MAX_PAGE = 60, 200
+PAGE, MAX_PAGE, CANDIDATES = 60, 200, 1000
 KM_PER_DEGREE = 111.32
 
 
@@ -49,18 +50,19 @@ class Filters:
     def is_empty(self) -> bool:
         return self == Filters(people_mode=self.people_mode, radius_km=self.radius_km)
 
-    def column(self) -> Column:
-        on = []
-        people = F.coalesce("people_ids", F.array().cast("array<int>"))
+    def column(self, people: bool = True) -> Column:
+        """As one predicate; without the people's if those are met by a join."""
+        on, wanted = [], self.people if people else ()
+        named = F.coalesce("people_ids", F.array().cast("array<int>"))
         located = F.col("lat").isNotNull() & ~F.isnan("lat")
         if self.start:
             on.append(F.col("taken_at") >= F.lit(_naive(self.start)).cast("timestamp_ntz"))
         if self.end:
             on.append(F.col("taken_at") <= F.lit(_naive(self.end)).cast("timestamp_ntz"))
-        if self.people and self.people_mode == "all":
-            on += [F.array_contains(people, p) for p in self.people]
-        elif self.people:
-            on.append(F.arrays_overlap(people, F.array(*[F.lit(p).cast("int") for p in self.people])))
+        if wanted and self.people_mode == "all":
+            on += [F.array_contains(named, p) for p in wanted]
+        elif wanted:
+            on.append(F.arrays_overlap(named, F.array(*[F.lit(p).cast("int") for p in wanted])))
         if self.has_location is not None:
             on.append(located if self.has_location else ~located)
         if self.near:
@@ -74,7 +76,7 @@ class Filters:
             video = F.coalesce(F.col("media_type"), F.lit("image")) == "video"
             on.append(video if self.media == "video" else ~video)
         if self.untagged:
-            on.append((F.coalesce("face_count", F.lit(0)) > 0) & (F.size(people) == 0))
+            on.append((F.coalesce("face_count", F.lit(0)) > 0) & (F.size(named) == 0))
         if self.camera:
             on.append(F.lower(F.trim("camera")) == self.camera.strip().lower())
         if self.folder is not None:
@@ -82,8 +84,15 @@ class Filters:
         return all_of(on)
 
 
-def select(images: DataFrame, filters: Filters) -> DataFrame:
-    return images.where(filters.column())
+def select(images: DataFrame, filters: Filters, faces: DataFrame | None = None) -> DataFrame:
+    """Images that pass. With faces, people are looked up there: the other filters reach the scan of images, the people's that of faces, and no list of people is made."""
+    if faces is None or not filters.people:
+        return images.where(filters.column())
+    left = images.where(filters.column(people=False))
+    hits = faces.where(F.col("person_id").isin(*filters.people)).select("image_id", "person_id")
+    if filters.people_mode == "all":
+        hits = hits.groupBy("image_id").agg(F.countDistinct("person_id").alias("n")).where(F.col("n") == len(set(filters.people)))
+    return left.join(hits.select("image_id"), "image_id", "left_semi")
 
 
 ORDERS = {
@@ -142,23 +151,27 @@ def hybrid(text_hits: DataFrame, semantic: DataFrame) -> DataFrame:
     """Text hits first, then semantic hits that are not text hits, which alone have a score. Inputs: image_id, and image_id with score."""
     first = text_hits.select("image_id", F.lit(0).alias("tier"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("text_match"))
     rest = semantic.join(text_hits.select("image_id"), "image_id", "left_anti")
-    return first.unionByName(rest.select("image_id", F.lit(1).alias("tier"), F.round("score", 4).alias("score"), F.lit(False).alias("text_match")))
+    return first.unionByName(rest.select("image_id", F.lit(1).alias("tier"), "score", F.lit(False).alias("text_match")))
 
 
-def search(images: DataFrame, ocr: DataFrame | None, query: str | None, scored: DataFrame | None, filters: Filters = Filters(), sort: str = "relevance", number: int = 1, per_page: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(all hits, one page). scored: image_id and score of the semantic candidates. With another order than relevance both kinds of hits are one set without scores."""
-    chosen = select(images, filters)
-    if not query:
+def search(images: DataFrame, ocr: DataFrame | None, query: str | None, vectors: DataFrame | None = None, vector: list[float] | None = None, filters: Filters = Filters(), sort: str = "relevance", number: int = 1, per_page: int | None = None, min_score: float | None = None, candidates: int = CANDIDATES, faces: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(all hits, one page). Filters come first: text hits and the best `candidates` by vector (image_id, vector) are taken among images that pass.
+
+    By relevance, text hits come before the rest, newest first, then the rest by score.
+    With another order both kinds of hits are one set without scores.
+    """
+    chosen = select(images, filters, faces)
+    if not (query and query.strip()):
         return chosen, page(chosen, ordering(sort), number, per_page)
-    hits = text_match(ocr, query).join(chosen.select("image_id"), "image_id", "left_semi").select("image_id") if ocr is not None else chosen.select("image_id").limit(0)
-    semantic = scored.join(chosen.select("image_id"), "image_id", "left_semi") if scored is not None else chosen.select("image_id", F.lit(0.0).alias("score")).limit(0)
-    both = hybrid(hits, semantic)
-    found = chosen.join(both, "image_id")
+    ids = chosen.select("image_id")
+    hits = text_match(ocr, query).join(ids, "image_id", "left_semi").select("image_id") if ocr is not None else ids.limit(0)
+    near = V.top_k(vectors, vector, candidates, allowed=ids, min_score=min_score) if vectors is not None and vector is not None else ids.limit(0).select("image_id", F.lit(0.0).alias("score"))
+    found = chosen.join(hybrid(hits, near), "image_id")
     if sort != "relevance":
         found = found.drop("score", "tier", "text_match")
         return found, page(found, ordering(sort), number, per_page)
     order = [F.asc("tier"), F.desc_nulls_last("score"), *ordering("date_desc")]
-    return found, page(found, order, number, per_page)
+    return V.shown(found), V.shown(page(found, order, number, per_page))
 
 
 def card(images: DataFrame) -> DataFrame:

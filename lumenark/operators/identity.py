@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..library import Library, NotFound
+from ..library import Library, NotFound, changed
 from ..schemas import UNASSIGNED
 from ..shipping import ship
 from . import vectors
@@ -74,7 +74,7 @@ def merge_suggestions(people: DataFrame, images: DataFrame, limit: int = 20, min
     who = people.join(photos, "person_id", "left").select(F.col("person_id").cast("bigint").alias("id"), F.struct((F.trim(F.coalesce("name", F.lit(""))) != "").alias("named"), F.coalesce("photos", F.lit(0)).alias("photos"), (-F.col("person_id")).alias("old")).alias("rank"))
     both = pairs.join(who.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(who.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
     first = F.col("ra") >= F.col("rb")
-    return both.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("source_id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("target_id"), "score").orderBy(F.desc("score"), "source_id", "target_id").limit(limit)
+    return both.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("source_id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("target_id"), "score").orderBy(F.desc("score"), "source_id", "target_id").limit(limit).transform(vectors.shown)
 
 
 def mutual_knn_clusters(faces: DataFrame, k: int = NEIGHBOURS, threshold: float = CLUSTER, id_: str = "face_id", vector: str = "vector") -> DataFrame:
@@ -92,16 +92,17 @@ class Reclustered:
 def recluster(faces: DataFrame, people: DataFrame, k: int = NEIGHBOURS, threshold: float = CLUSTER, min_size: int = 2, respect_confirmed: bool = True) -> Reclustered:
     """People made anew from face clusters.
 
-    A cluster stays if it has min_size usable faces or a confirmed one. A confirmed
-    member's person (the one with most confirmed members, then the smallest id) anchors
-    the cluster and keeps its name; other clusters are numbered after the confirmed ids.
+    A cluster stays if it has min_size usable faces or a confirmed one. If its confirmed
+    members are of one person, that person anchors it and keeps the name; clusters with
+    none, or with two, are numbered after the confirmed ids. Usable faces make the
+    centroid and the cover, or all faces where none is usable.
     """
     spark = faces.sparkSession
     from ..storage import saved
 
     labelled = faces.join(mutual_knn_clusters(faces, k, threshold), "face_id")
     confirmed = F.coalesce("confirmed", F.lit(False)) & F.lit(respect_confirmed)
-    anchors = labelled.where(confirmed & (F.col("person_id") >= 0)).groupBy("label", "person_id").agg(F.count("*").alias("n")).groupBy("label").agg(F.max_by("person_id", F.struct("n", -F.col("person_id"))).alias("anchor"))
+    anchors = labelled.where(confirmed & (F.col("person_id") >= 0)).groupBy("label").agg(F.min("person_id").alias("anchor"), F.max("person_id").alias("other")).where("anchor = other").drop("other")
     stat = labelled.groupBy("label").agg(F.count_if(F.coalesce("quality", F.lit(0.0)) >= MIN_QUALITY).alias("usable"), F.count_if(confirmed).alias("confirmed"))
     kept = stat.where((F.col("usable") >= min_size) | (F.col("confirmed") > 0)).join(anchors, "label", "left")
     top = faces.where(confirmed).agg(F.max("person_id")).first()[0]
@@ -117,7 +118,10 @@ def recluster(faces: DataFrame, people: DataFrame, k: int = NEIGHBOURS, threshol
     out = faces.join(assigned.select("face_id", "new_id"), "face_id", "left").withColumn("person_id", F.coalesce("new_id", F.lit(UNASSIGNED)).cast("int")).select(*faces.columns)
     out = saved(spark, out, "faces")
     names = people.join(anchors.select(F.col("anchor").alias("person_id")).distinct(), "person_id", "left_semi").select("person_id", "name")
-    made = centroids(out.where("person_id >= 0")).join(names, "person_id", "left")
+    of, good = out.where("person_id >= 0"), F.coalesce("quality", F.lit(0.0)) >= MIN_QUALITY
+    sizes = of.groupBy("person_id").agg(F.count("*").alias("members"), F.count_if(good).alias("usable"))
+    defining = of.join(sizes.where("usable = 0").select("person_id", F.lit(True).alias("poor")), "person_id", "left").where(good | F.col("poor"))
+    made = centroids(defining).drop("face_count").join(sizes.select("person_id", F.col("members").alias("face_count")), "person_id").join(names, "person_id", "left")
     rows = made.select("person_id", F.coalesce("name", F.lit("")).alias("name"), F.col("centroid").cast("array<float>").alias("centroid"), F.col("face_count").cast("int").alias("face_count"), "cover_face_id", F.localtimestamp().alias("created_at"), F.lit(False).alias("hidden"))
     return Reclustered(rows, out)
 
@@ -197,12 +201,12 @@ class Assigner:
 
 
 def load_states(people: DataFrame, faces: DataFrame | None = None) -> list[PersonState]:
-    """States of known people; a stored person's weight is taken as 0.6 a face, and its cover is open."""
+    """States of known people; a stored person's weight is taken as 0.6 a face, one face at least."""
     kept: dict[int, list[tuple[float, np.ndarray]]] = {}
     if faces is not None:
         for r in exemplars(faces).select("person_id", "quality", "vector").collect():  # six a person
             kept.setdefault(r.person_id, []).append((float(r.quality or 0), np.asarray(r.vector, float)))
-    return [PersonState(r.person_id, np.asarray(r.centroid, float), 0.6 * (r.face_count or 0), r.face_count or 0, r.cover_face_id if r.cover_face_id is not None else -1, exemplars=kept.get(r.person_id, [])) for r in people.where(F.col("centroid").isNotNull()).select("person_id", "centroid", "face_count", "cover_face_id").collect()]
+    return [PersonState(r.person_id, np.asarray(r.centroid, float), 0.6 * max(r.face_count or 0, 1), r.face_count or 0, r.cover_face_id if r.cover_face_id is not None else -1, exemplars=kept.get(r.person_id, [])) for r in people.where(F.col("centroid").isNotNull()).select("person_id", "centroid", "face_count", "cover_face_id").collect()]
 
 
 def assign_online(faces: DataFrame, people: DataFrame, known_faces: DataFrame | None = None, next_id: int | None = None) -> DataFrame:
@@ -229,6 +233,11 @@ def assign_online(faces: DataFrame, people: DataFrame, known_faces: DataFrame |
     return ordered.mapInPandas(run, "face_id bigint, person_id int")
 
 
+def merged(faces: DataFrame, source: int, target: int) -> DataFrame:
+    """Faces with one person's given to another."""
+    return changed(faces, F.col("person_id") == source, {"person_id": F.lit(target).cast("int")})
+
+
 class People:
     """Mutations on people and their faces; each is one commit, with the denormalised lists brought up to date."""
 
@@ -266,8 +275,7 @@ class People:
         if source == target:
             raise ValueError("a person cannot be merged with itself")
         self._need(source), self._need(target)
-        faces = self.lib.updated("faces", F.col("person_id") == source, {"person_id": F.lit(target)})
-        self._commit(faces, self.lib.table("people").where(F.col("person_id") != source), (target,))
+        self._commit(merged(self.lib.table("faces"), source, target), self.lib.table("people").where(F.col("person_id") != source), (target,))
 
     def delete(self, person_id: int) -> list[int]:
         """Faces become unassigned; the images it was on."""

@@ -1,4 +1,8 @@
-"""Vector search: exact masked top-k, blocked all-pairs kNN, a cell index."""
+"""Vector search: exact masked top-k, blocked all-pairs kNN, a cell index.
+
+Ranks and thresholds go by the whole score (12 places, so that the order of a sum makes
+no ties or breaks them); 4 places are shown.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,12 @@ from ..storage import saved
 
 #: Vectors that are broadcast at most; larger sides meet block by block.
 BROADCAST_BYTES, BLOCK = 64 << 20, 2048
+PLACES, SHOWN = 12, 4
+
+
+def shown(df: DataFrame, score: str = "score") -> DataFrame:
+    """Scores as results give them."""
+    return df.withColumn(score, F.round(score, SHOWN))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,7 +50,7 @@ def ivf_params(rows: int, dim: int) -> tuple[int, int]:
 
 
 def top_k(rows: DataFrame, query: list[float] | Column, k: int, id_: str = "image_id", vector: str = "vector", allowed: Column | DataFrame | None = None, min_score: float | None = None, exclude: int | None = None) -> DataFrame:
-    """Exact cosine top-k among allowed rows: filtered first, then a distributed top-k; ties by id. Zero vectors score 0."""
+    """Exact cosine top-k among allowed rows: filtered first, then a distributed top-k; ties by id. Zero vectors score 0. Scores are whole; `shown` rounds them."""
     if isinstance(allowed, DataFrame):
         rows = rows.join(allowed.select(id_), id_, "left_semi")
     elif allowed is not None:
@@ -48,7 +58,7 @@ def top_k(rows: DataFrame, query: list[float] | Column, k: int, id_: str = "imag
     if exclude is not None:
         rows = rows.where(F.col(id_) != exclude)
     q = query if isinstance(query, Column) else literal(query)
-    score = F.round(dot(F.col(vector), q) / (norm(F.col(vector)) * norm(q)), 4)
+    score = F.round(dot(F.col(vector), q) / (norm(F.col(vector)) * norm(q)), PLACES)
     df = rows.where(F.col(vector).isNotNull()).select(id_, score.alias("score"))
     if min_score is not None:
         df = df.where(F.col("score") >= min_score)
@@ -73,7 +83,7 @@ def mean_direction(rows: DataFrame, vector: str = "vector") -> list[float] | Non
 def _best(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.ndarray, k: int, threshold: float) -> pd.DataFrame:
     out = []
     for lo in range(0, len(ids) if len(other) else 0, BLOCK):
-        s = np.round(x[lo : lo + BLOCK] @ other.T, 4)
+        s = np.round(x[lo : lo + BLOCK] @ other.T, PLACES)
         s[ids[lo : lo + BLOCK, None] == other_ids[None, :]] = -np.inf
         r, c = np.nonzero(s >= threshold)
         d = pd.DataFrame({"a": ids[lo + r], "b": other_ids[c], "score": s[r, c]}).sort_values(["a", "score", "b"], ascending=[True, False, True])
@@ -128,7 +138,7 @@ def mutual(edges: DataFrame) -> DataFrame:
 
 
 class CellIndex:
-    """Approximate search: k-means cells as a partition column; the nearest cells are scanned and ranked exactly."""
+    """Approximate search: rows sorted by k-means cells, so that a scan of the nearest cells skips most row groups; those are ranked exactly."""
 
     def __init__(self, spark: SparkSession, rows: DataFrame, id_: str = "image_id", vector: str = "vector", sample: int = 50_000, cells: int | None = None, seed: int = 1):
         """Fitted on at most `sample` rows, chosen by hash of the id; every row is indexed."""
@@ -203,6 +213,6 @@ class CellIndex:
         types = dict(src.dtypes)
         asked = src.mapInPandas(cells, f"query_id {types['query_id']}, q array<double>, near array<int>").select("query_id", "q", F.explode("near").alias("cell"))
         pairs = self.rows.join(asked, "cell").where(F.col(id_) != F.col("query_id"))
-        scored = pairs.select("query_id", id_, F.round(dot(normalize(F.col(vector)), F.col("q")), 4).alias("score"))
+        scored = pairs.select("query_id", id_, F.round(dot(normalize(F.col(vector)), F.col("q")), PLACES).alias("score"))
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_)
         return scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import library as LB
 from ..functions import parsing as P
 from ..operators import aggregates as A
 from ..operators import albums as AL
@@ -57,7 +58,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Filters, orders and pages.
 @_query(f"SELECT image_id, {_ISO} AS taken_at, folder FROM images WHERE {_RANGE} AND {_ANY} ORDER BY images.taken_at DESC NULLS LAST, image_id DESC LIMIT 60")
 def browse_page(spark, d):
-    df = B.select(W.images(spark, d), B.Filters(start=_START, end=_END, people=(3, 5, 7)))
+    df = B.select(W.narrow(spark, d), B.Filters(start=_START, end=_END, people=(3, 5, 7)), W.faces(spark, d))
     return B.page(df, B.ordering("date_desc")).select("image_id", _iso(), "folder")
 
 
@@ -68,12 +69,12 @@ def filter_dates(spark, d):
 
 @_query(f"SELECT image_id FROM images WHERE {_ANY}")
 def filter_people_any(spark, d):
-    return B.select(W.images(spark, d), B.Filters(people=(3, 5, 7))).select("image_id")
+    return B.select(W.narrow(spark, d), B.Filters(people=(3, 5, 7)), W.faces(spark, d)).select("image_id")
 
 
 @_query("SELECT image_id FROM images WHERE list_contains(people_ids, 3) AND list_contains(people_ids, 5)")
 def filter_people_all(spark, d):
-    return B.select(W.images(spark, d), B.Filters(people=(3, 5), people_mode="all")).select("image_id")
+    return B.select(W.narrow(spark, d), B.Filters(people=(3, 5), people_mode="all"), W.faces(spark, d)).select("image_id")
 
 
 @_query("SELECT image_id FROM images WHERE lat IS NOT NULL")
@@ -113,7 +114,7 @@ def filter_folder(spark, d):
 
 @_query(f"SELECT image_id, {_ISO} AS taken_at FROM images WHERE {_RANGE} AND {_ANY} AND lat IS NOT NULL ORDER BY images.taken_at ASC NULLS LAST, image_id LIMIT 60 OFFSET 60")
 def filter_combined_page2(spark, d):
-    df = B.select(W.images(spark, d), B.Filters(start=_START, end=_END, people=(3, 5, 7), has_location=True))
+    df = B.select(W.narrow(spark, d), B.Filters(start=_START, end=_END, people=(3, 5, 7), has_location=True), W.faces(spark, d))
     return B.page(df, B.ordering("date_asc"), 2).select("image_id", _iso())
 
 
@@ -204,14 +205,8 @@ def keep_largest(spark, d):
     return A.keep_largest(groups, docs.select(F.col("doc_id").alias("image_id"), F.col("n_chars").alias("file_size")))
 
 
-@_query("SELECT DISTINCT p AS person_id FROM (SELECT unnest(people_ids) AS p FROM images WHERE image_id % 100 = 1)")
-def people_in_images(spark, d):
-    df = W.images(spark, d)
-    return A.people_in_images(df, df.where("image_id % 100 = 1").select("image_id"))
-
-
 @_query("SELECT DISTINCT p AS person_id FROM (SELECT unnest(people_ids) AS p FROM images)")
-def people_in_all_images(spark, d):
+def people_in_images(spark, d):
     df = W.images(spark, d)
     return A.people_in_images(df, df.select("image_id"))
 
@@ -280,8 +275,8 @@ def export_names(spark, d):
 # Faces and people.
 @_query("SELECT image_id, part, round(quality, 4) AS quality FROM faces WHERE person_id = -1 AND quality >= 0.3 ORDER BY faces.quality DESC, image_id, part LIMIT 60")
 def unassigned_faces(spark, d):
-    df = W.faces(spark, d).where((F.col("person_id") == -1) & (F.col("quality") >= 0.3))
-    return df.orderBy(F.desc("quality"), "image_id", "part").limit(60).select("image_id", "part", F.round("quality", 4).alias("quality"))
+    df = W.faces(spark, d).withColumn("face_id", F.col("image_id") * 100000 + F.col("part"))
+    return I.best_faces(df, None, 60, 0.3).select("image_id", "part", F.round("quality", 4).alias("quality"))
 
 
 @_query("SELECT person_id, image_id, part, rank FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY quality DESC, image_id * 100000 + part) AS rank FROM (SELECT DISTINCT person_id, image_id, part, quality FROM faces WHERE person_id >= 0)) WHERE rank <= 6")
@@ -290,31 +285,26 @@ def person_exemplars(spark, d):
     return I.exemplars(df).select("person_id", "image_id", "part", F.col("rank").cast("bigint").alias("rank"))
 
 
-@_query("SELECT image_id, f.person_id, name, min(part) AS first_face FROM faces f JOIN people p ON f.person_id = p.person_id WHERE image_id % 10 = 1 GROUP BY ALL")
-def people_on_images(spark, d):
-    return DT.people_on_images(W.faces(spark, d).where("image_id % 10 = 1"), W.people(spark, d), "part")
-
-
 @_query("SELECT image_id, f.person_id, name, min(part) AS first_face FROM faces f JOIN people p ON f.person_id = p.person_id GROUP BY ALL")
-def people_on_all_images(spark, d):
+def people_on_images(spark, d):
     return DT.people_on_images(W.faces(spark, d), W.people(spark, d), "part")
 
 
 _UNIT = "list_transform(CAST(vector AS DOUBLE[]), lambda x: x / greatest(sqrt(list_inner_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[]))), 1e-12))"
 _Q5 = "(SELECT CAST(vector AS DOUBLE[]) FROM vectors WHERE image_id = 5)"
-_SIM = f"round(list_inner_product(CAST(vector AS DOUBLE[]), {_Q5}) / (greatest(sqrt(list_inner_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[]))), 1e-12) * greatest(sqrt(list_inner_product({_Q5}, {_Q5})), 1e-12)), 4)"
+_SIM = f"round(list_inner_product(CAST(vector AS DOUBLE[]), {_Q5}) / (greatest(sqrt(list_inner_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[]))), 1e-12) * greatest(sqrt(list_inner_product({_Q5}, {_Q5})), 1e-12)), 12)"
 
 
-@_query(f"SELECT image_id, {_SIM} AS score FROM vectors WHERE image_id <> 5 ORDER BY score DESC, image_id LIMIT 24")
+@_query(f"SELECT image_id, round(s, 4) AS score FROM (SELECT image_id, {_SIM} AS s FROM vectors WHERE image_id <> 5) ORDER BY s DESC, image_id LIMIT 24")
 def similar_images(spark, d):
-    return V.similar(W.vectors(spark, d), 5)
+    return V.shown(V.similar(W.vectors(spark, d), 5))
 
 
-@_query(f"SELECT image_id, score FROM (SELECT image_id, {_SIM} AS score FROM vectors WHERE label % 2 = 0) WHERE score >= 0.1 ORDER BY score DESC, image_id LIMIT 40")
+@_query(f"SELECT image_id, round(s, 4) AS score FROM (SELECT image_id, {_SIM} AS s FROM vectors WHERE label % 2 = 0) WHERE s >= 0.1 ORDER BY s DESC, image_id LIMIT 40")
 def vector_top_k(spark, d):
     df = W.vectors(spark, d)
     q = df.where("image_id = 5").select("vector").head()[0]
-    return V.top_k(df, list(q), 40, allowed=F.col("label") % 2 == 0, min_score=0.1)
+    return V.shown(V.top_k(df, list(q), 40, allowed=F.col("label") % 2 == 0, min_score=0.1))
 
 
 @_query(f"SELECT image_id, list_transform({_UNIT}, lambda x: round(x, 6)) AS v FROM vectors")
@@ -329,17 +319,17 @@ def centroids(spark, d):
     return got.select("label", F.posexplode("centroid").alias("p", "x")).select("label", (F.col("p") + 1).cast("bigint").alias("pos"), F.round("x", 4).alias("v"))
 
 
-_PAIRS = "sims AS (SELECT a.image_id AS a, b.image_id AS b, round(list_inner_product(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])), 4) AS score FROM vectors a JOIN vectors b ON a.image_id <> b.image_id), ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM sims WHERE score >= 0.42), near AS (SELECT a, b, score FROM ranked WHERE r <= 20)"
+_PAIRS = "sims AS (SELECT a.image_id AS a, b.image_id AS b, round(list_inner_product(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])) / (sqrt(list_inner_product(CAST(a.vector AS DOUBLE[]), CAST(a.vector AS DOUBLE[]))) * sqrt(list_inner_product(CAST(b.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])))), 12) AS score FROM vectors a JOIN vectors b ON a.image_id <> b.image_id), ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM sims WHERE score >= 0.42), near AS (SELECT a, b, score FROM ranked WHERE r <= 20)"
 
 
-@_query(f"WITH {_PAIRS} SELECT a, b, score FROM near")
+@_query(f"WITH {_PAIRS} SELECT a, b, round(score, 4) AS score FROM near")
 def knn_edges(spark, d):
-    return V.knn(W.vectors(spark, d))
+    return V.shown(V.knn(W.vectors(spark, d)))
 
 
-@_query(f"WITH {_PAIRS} SELECT x.a, x.b, x.score FROM near x JOIN near y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b")
+@_query(f"WITH {_PAIRS} SELECT x.a, x.b, round(x.score, 4) AS score FROM near x JOIN near y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b")
 def mutual_knn(spark, d):
-    return V.mutual(V.knn(W.vectors(spark, d)))
+    return V.shown(V.mutual(V.knn(W.vectors(spark, d))))
 
 
 @_query(f"WITH RECURSIVE {_PAIRS}, edge AS (SELECT x.a, x.b FROM near x JOIN near y ON x.a = y.b AND x.b = y.a), reach(n, m) AS (SELECT image_id, image_id FROM vectors UNION SELECT r.n, e.b FROM reach r JOIN edge e ON r.m = e.a) SELECT n AS image_id, min(m) AS label FROM reach GROUP BY n")
@@ -347,35 +337,72 @@ def face_clusters(spark, d):
     return I.mutual_knn_clusters(W.vectors(spark, d), id_="image_id")
 
 
-@_query(f"WITH {_PAIRS}, named AS (SELECT image_id AS id, image_id % 3 <> 0 AS named FROM vectors), p AS (SELECT a, b, score FROM sims WHERE a < b AND score >= 0.42 AND (a + b) % 5 <> 0) SELECT CASE WHEN x.named >= y.named THEN b ELSE a END AS source_id, CASE WHEN x.named >= y.named THEN a ELSE b END AS target_id, score FROM p JOIN named x ON x.id = a JOIN named y ON y.id = b ORDER BY score DESC, source_id, target_id LIMIT 20")
+@_query(f"""WITH {_PAIRS}, named AS (SELECT image_id AS id, image_id % 3 <> 0 AS named, image_id % 4 AS photos FROM vectors),
+ sides AS (SELECT 10000 + a AS i, a AS p FROM sims WHERE a < b AND (a + b) % 4 = 1 UNION SELECT 10000 + a, b FROM sims WHERE a < b AND (a + b) % 4 = 1),
+ photos AS (SELECT p, count(DISTINCT i) AS n FROM sides GROUP BY p),
+ k AS (SELECT id, named, coalesce(n, 0) AS n FROM named LEFT JOIN photos ON p = id),
+ p AS (SELECT a, b, score FROM sims WHERE a < b AND score >= 0.42 AND (a + b) % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM sides x JOIN sides y ON x.i = y.i WHERE x.p = sims.a AND y.p = sims.b))
+ SELECT CASE WHEN x.named > y.named OR x.named = y.named AND x.n >= y.n THEN b ELSE a END AS source_id, CASE WHEN x.named > y.named OR x.named = y.named AND x.n >= y.n THEN a ELSE b END AS target_id, round(p.score, 4) AS score
+ FROM p JOIN k x ON x.id = a JOIN k y ON y.id = b ORDER BY p.score DESC, source_id, target_id LIMIT 20""")
 def merge_suggestions(spark, d):
     v = W.vectors(spark, d)
     people = v.select(F.col("image_id").cast("int").alias("person_id"), F.when(F.col("image_id") % 3 != 0, F.lit("x")).otherwise("").alias("name"), F.lit(False).alias("hidden"), F.col("vector").alias("centroid"))
-    none = spark.range(0).select(F.col("id").alias("image_id"), F.array().cast("array<int>").alias("people_ids"))
+    # Photos that hold a person and all later ones with which the sum of ids leaves 1 when divided by 4.
+    ids = v.select(F.col("image_id").cast("int").alias("p"))
+    pairs = ids.alias("a").join(ids.alias("b"), (F.pmod(F.col("a.p"), F.lit(4)) == F.pmod(F.lit(1) - F.col("b.p"), F.lit(4))) & (F.col("a.p") < F.col("b.p")))
+    photos = pairs.groupBy((F.col("a.p") + 10000).cast("bigint").alias("image_id")).agg(F.array_union(F.array(F.min("a.p")), F.collect_list("b.p")).alias("people_ids"))
     near = V.knn(v, k=1 << 30).where("a < b AND (a + b) % 5 = 0").select("a", "b")
-    return I.merge_suggestions(people, none, dismissed=near)
+    return I.merge_suggestions(people, photos, dismissed=near)
 
 
-@_query("WITH m AS (SELECT a.image_id AS a, a.vector AS v FROM vectors a WHERE a.image_id < 30), e AS (SELECT unnest(v) AS v, generate_subscripts(v, 1) AS pos FROM m), q AS (SELECT list(x ORDER BY pos) AS q FROM (SELECT pos, avg(CAST(v AS DOUBLE)) AS x FROM e GROUP BY pos)) SELECT image_id, round(list_inner_product(CAST(vector AS DOUBLE[]), q) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[])))), 4) AS score FROM vectors, q WHERE image_id >= 30 ORDER BY score DESC, image_id LIMIT 24")
+@_query("WITH m AS (SELECT a.image_id AS a, a.vector AS v FROM vectors a WHERE a.image_id < 30), e AS (SELECT unnest(v) AS v, generate_subscripts(v, 1) AS pos FROM m), q AS (SELECT list(x ORDER BY pos) AS q FROM (SELECT pos, avg(CAST(v AS DOUBLE)) AS x FROM e GROUP BY pos)) SELECT image_id, round(s, 4) AS score FROM (SELECT image_id, round(list_inner_product(CAST(vector AS DOUBLE[]), q) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[])))), 12) AS s FROM vectors, q WHERE image_id >= 30) ORDER BY s DESC, image_id LIMIT 24")
 def album_suggestions(spark, d):
     v = W.vectors(spark, d).withColumn("taken_at", F.lit(None).cast("timestamp_ntz"))
     items = v.where("image_id < 30").select(F.lit(1).alias("album_id"), "image_id", F.lit(None).cast("timestamp_ntz").alias("added_at"))
-    return AL.album_suggestions(items, v, 1)
+    return V.shown(AL.album_suggestions(items, v, 1))
 
 
 @_query(f"WITH t AS (SELECT image_id FROM ocr WHERE contains(lower(text), 'thing')), s AS (SELECT image_id, {_SIM} AS score FROM vectors ORDER BY score DESC, image_id LIMIT 100) SELECT image_id, 0 AS tier, CAST(NULL AS DOUBLE) AS score, TRUE AS text_match FROM t UNION ALL SELECT image_id, 1, round(score, 4), FALSE FROM s WHERE image_id NOT IN (SELECT image_id FROM t)")
 def hybrid_search(spark, d):
     v = W.vectors(spark, d)
     q = v.where("image_id = 5").select("vector").head()[0]
-    return B.hybrid(B.text_match(W.ocr(spark, d), "thing"), V.top_k(v, list(q), 100))
+    return V.shown(B.hybrid(B.text_match(W.ocr(spark, d), "thing"), V.top_k(v, list(q), 100)))
+
+
+_HITS = f"""located AS (SELECT * FROM narrow WHERE lat IS NOT NULL), hits AS (SELECT image_id FROM ocr JOIN located USING (image_id) WHERE contains(lower(text), 'thing')),
+ s AS (SELECT image_id, {_SIM} AS score FROM vectors JOIN located USING (image_id)), near AS (SELECT * FROM s WHERE score >= -0.05 ORDER BY score DESC, image_id LIMIT 100)"""
 
 
-@_query(f"WITH hits AS (SELECT image_id FROM ocr WHERE contains(lower(text), 'thing')), s AS (SELECT image_id FROM (SELECT image_id, {_SIM} AS score FROM vectors ORDER BY score DESC, image_id LIMIT 100)) SELECT image_id, {_ISO} AS taken_at FROM narrow WHERE image_id IN (SELECT image_id FROM hits UNION SELECT image_id FROM s) AND lat IS NOT NULL ORDER BY narrow.taken_at DESC NULLS LAST, image_id DESC LIMIT 60")
+def _search(spark, d, sort):
+    v = W.vectors(spark, d)
+    q = v.where("image_id = 5").select("vector").head()[0]
+    return B.search(W.narrow(spark, d), W.ocr(spark, d), "thing", v, list(q), B.Filters(has_location=True), sort, min_score=-0.05, candidates=100)[1]
+
+
+@_query(f"WITH {_HITS} SELECT image_id, {_ISO} AS taken_at FROM narrow WHERE image_id IN (SELECT image_id FROM hits UNION SELECT image_id FROM near) ORDER BY narrow.taken_at DESC NULLS LAST, image_id DESC LIMIT 60")
 def search_by_date(spark, d):
+    return _search(spark, d, "date_desc").select("image_id", _iso())
+
+
+@_query(f"WITH {_HITS}, u AS (SELECT image_id, 0 AS tier, CAST(NULL AS DOUBLE) AS score FROM hits UNION ALL SELECT image_id, 1, score FROM near WHERE image_id NOT IN (SELECT image_id FROM hits)) SELECT image_id, tier, round(score, 4) AS score, tier = 0 AS text_match FROM u JOIN narrow USING (image_id) ORDER BY tier, u.score DESC NULLS LAST, narrow.taken_at DESC NULLS LAST, image_id DESC LIMIT 60")
+def search_relevance(spark, d):
+    return _search(spark, d, "relevance").select("image_id", "tier", "score", "text_match")
+
+
+@_query(f"SELECT image_id AS face_id, round(s, 4) AS score FROM (SELECT image_id, {_SIM} AS s FROM vectors WHERE label % 3 <> 0) WHERE s >= 0.3 ORDER BY s DESC, image_id LIMIT 60")
+def face_search_unassigned(spark, d):
     v = W.vectors(spark, d)
     q = v.where("image_id = 5").select("vector").head()[0]
-    _, found = B.search(W.narrow(spark, d), W.ocr(spark, d), "thing", V.top_k(v, list(q), 100), B.Filters(has_location=True), "date_desc")
-    return found.select("image_id", _iso())
+    faces = v.select(F.col("image_id").alias("face_id"), "vector", F.when(F.col("label") % 3 == 0, 1).otherwise(-1).alias("person_id"))
+    return V.shown(I.face_search(faces, list(q), unassigned_only=True))
+
+
+@_query(f"SELECT image_id AS face_id, round(s, 4) AS score FROM (SELECT image_id, {_SIM} AS s FROM vectors WHERE label % 3 <> 0 AND image_id % 4 <> 0) WHERE s >= 0.38 ORDER BY s DESC, image_id LIMIT 60")
+def person_face_suggestions(spark, d):
+    v = W.vectors(spark, d)
+    q = v.where("image_id = 5").select("vector").head()[0]
+    faces = v.select(F.col("image_id").alias("face_id"), "vector", F.when(F.col("label") % 3 == 0, 1).otherwise(-1).alias("person_id"), (F.col("image_id") % 4 == 0).alias("confirmed"))
+    return V.shown(I.person_suggestions(faces, list(q)))
 
 
 # Hashes.
@@ -421,13 +448,12 @@ def near_duplicate_groups_whole(spark, d):
 @_query("SELECT image_id FROM narrow WHERE image_id NOT IN (SELECT image_id FROM narrow WHERE folder = '/lib/F/1' OR starts_with(folder, '/lib/F/1/'))")
 def delete_images(spark, d):
     df = W.narrow(spark, d)
-    gone = B.select(df, B.Filters(folder="/lib/F/1")).select("image_id")
-    return df.join(gone, "image_id", "left_anti").select("image_id")
+    return LB.without(df, B.select(df, B.Filters(folder="/lib/F/1")), "image_id").select("image_id")
 
 
 @_query("SELECT image_id, part, CAST(CASE WHEN person_id = 3 THEN 5 ELSE person_id END AS INT) AS person_id FROM faces")
 def merge_people(spark, d):
-    return W.faces(spark, d).select("image_id", "part", F.when(F.col("person_id") == 3, F.lit(5)).otherwise(F.col("person_id")).cast("int").alias("person_id"))
+    return I.merged(W.faces(spark, d), 3, 5).select("image_id", "part", "person_id")
 
 
 # Scalar functions.
@@ -455,13 +481,8 @@ def camera_function(spark, d):
     return c.select(F.col("c_custkey").alias("id"), P.camera(F.substring("c_name", 1, 8), F.col("c_name")).alias("same"), P.camera(F.col("c_mktsegment"), F.col("c_name")).alias("joined"))
 
 
-@_query("SELECT doc_id, list_count(regexp_extract_all(lower(substr(text, 1, 2000)), '[a-z0-9]+')) AS n_words FROM documents WHERE lang = 'en'")
-def word_function(spark, d):
-    return W.table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(P.words(F.substring("text", 1, 2000))).cast("bigint").alias("n_words"))
-
-
 @_query("SELECT doc_id, list_count(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_words FROM documents")
-def word_function_whole(spark, d):
+def word_function(spark, d):
     return W.table(spark, d, "documents").select("doc_id", F.size(P.words(F.col("text"))).cast("bigint").alias("n_words"))
 
 
@@ -488,7 +509,7 @@ def online_people(spark, d):
 def cell_search(spark, d):
     df = W.vectors(spark, d)
     index, asked = V.CellIndex(spark, df), df.where("image_id % 50 = 0")
-    return index.search_all(asked, 20, index.probes_for(asked, 20))
+    return V.shown(index.search_all(asked, 20, index.probes_for(asked, 20)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder. Only where it is unset (tests, one machine) a temporary one is made."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='lumenark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -25,12 +25,11 @@ def ingest(library: Library, found: DataFrame, to_rows: Callable[[DataFrame], di
     todo, stale = upsert_plan(found, known, prune, root)
     todo, stale = todo.cache(), stale.cache()
     counts = {"added": todo.count(), "removed": stale.count()}
-    if counts["removed"]:
-        library.remove_images(stale, cascade=False)
-    if counts["added"]:
-        rows = to_rows(todo)
-        images = library.allocate(rows["images"], "images", "image_id")
-        library.append({"images": images} | {t: df for t, df in rows.items() if t != "images"})
+    rows = to_rows(todo) if counts["added"] else {}
+    if rows:
+        rows = rows | {"images": library.allocate(rows["images"], "images", "image_id")}
+    if rows or counts["removed"]:
+        library.replace_images(stale if counts["removed"] else None, rows)
     todo.unpersist(), stale.unpersist()
     return counts
 

@@ -41,7 +41,7 @@ def test_words_of_whole_texts(spark):
     import re
 
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = {r.doc_id: r.n_words for r in catalogue.word_function_whole(spark, SF).collect()}
+    got = {r.doc_id: r.n_words for r in catalogue.word_function(spark, SF).collect()}
     assert any(len(t) > 2000 for t in docs.values())
     assert got == {i: len(re.findall("[a-z0-9]+", t.lower())) for i, t in docs.items()}
 
@@ -49,8 +49,8 @@ def test_words_of_whole_texts(spark):
 def test_people_of_every_image(spark):
     faces = catalogue.W.faces(spark, SF).where("person_id >= 0").join(catalogue.W.people(spark, SF), "person_id")
     want = {(r.image_id, r.person_id) for r in faces.collect()}
-    assert {(r.image_id, r.person_id) for r in catalogue.people_on_all_images(spark, SF).collect()} == want
-    assert {r.person_id for r in catalogue.people_in_all_images(spark, SF).collect()} == {p for _, p in want}
+    assert {(r.image_id, r.person_id) for r in catalogue.people_on_images(spark, SF).collect()} == want
+    assert {r.person_id for r in catalogue.people_in_images(spark, SF).collect()} == {p for _, p in want}
 
 
 def test_near_duplicates_at_the_default_distance(spark):

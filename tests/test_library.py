@@ -221,6 +221,77 @@ def test_parsing(spark):
     r = spark.range(1).select(parsing.duration_ms(banner).alias("d"), parsing.video_size(banner).alias("s"), parsing.camera(F.lit("Canon"), F.lit("Canon EOS")).alias("c"), parsing.canonical_text(F.lit("A  b,C!")).alias("t")).head()
     assert (r.d, tuple(r.s), r.c, r.t) == (62500, (1080, 1920), "Canon EOS", "a bc")
     assert backends.laplacian_variance(np.ones((5, 5))) == 0 and backends.phash_pixels(np.arange(1024).reshape(32, 32)) != 0
+    got = spark.range(1).select(parsing.dms(F.lit(180.0), F.lit(0.0), F.lit(1.0), F.lit("E")).alias("a"), parsing.dms(F.lit(10.0), F.lit(30.0), F.lit(0.0), F.lit("s")).alias("b")).head()
+    assert (got.a, got.b) == (None, -10.5)
+
+
+def test_phash_literal_values():
+    from math import cos, pi, sqrt
+
+    pictures = [np.random.default_rng(s).integers(0, 256, (32, 32)) for s in range(3)]
+    for p in pictures:  # the sum for each coefficient, written out
+        b = [[cos(pi * (2 * i + 1) * k / 64) / (sqrt(2) if i == 0 else 1) for k in range(32)] for i in range(8)]
+        low = [sum(b[u][y] * b[v][x] * float(p[y][x]) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+        middle = sorted(low[1:])[31]
+        value = int("".join("1" if c > middle else "0" for c in low), 2)
+        assert backends.phash_pixels(p) == value - (1 << 64) * (value >> 63)
+
+
+def test_export_names_are_free(spark):
+    rows = [(1, "/x/a.jpg"), (2, "/y/A.jpg"), (3, "/z/a (2).jpg"), (4, "/x/b.png"), (5, "/y/b.png"), (6, "/z/b.png"), (7, "/x/.hidden"), (8, "/x/c.gif")]
+    df = spark.createDataFrame(rows, "image_id bigint, path string")
+    got = {r.image_id: r.target for r in albums.export_names(df, "/out/").collect()}
+    assert got == {1: "/out/a.jpg", 2: "/out/A (2).jpg", 3: "/out/a (2) (2).jpg", 4: "/out/b.png", 5: "/out/b (2).png", 6: "/out/b (3).png", 7: "/out/.hidden", 8: "/out/c.gif"}
+    there = spark.createDataFrame([("C.gif",), ("b (3).png",), ("other",)], "name string")
+    got = {r.image_id: r.target for r in albums.export_names(df, "/out", there).collect()}
+    assert (got[6], got[8], got[1]) == ("/out/b (4).png", "/out/c (2).gif", "/out/a.jpg")
+
+
+def test_appends_write_their_own_rows(spark, lib):
+    before = sum(lib._bytes("people", x) for x in lib.pointers()["people"]["dirs"])
+    for i in range(10):
+        lib.append({"people": spark.createDataFrame([(100 + i, "p")], "person_id int, name string")})
+    dirs = lib.pointers()["people"]["dirs"]
+    rows = [spark.read.parquet(f"{lib.root}/people/{x}").count() for x in dirs[-10:]]
+    assert rows == [1] * 10 and before > 0 and lib.table("people").count() == 12
+    lib.compact()
+    assert len(lib.pointers()["people"]["dirs"]) == 1 and lib.table("people").count() == 12
+    assert len(lib._fs.listStatus(lib._path(f"{lib.root}/people"))) == 1
+
+
+def test_two_writers_do_not_clobber(spark, lib, monkeypatch):
+    other = Library(spark, lib.root)
+    seen = lib._commits()
+    other.append({"people": spark.createDataFrame([(50, "first")], "person_id int, name string")})
+    monkeypatch.setattr(lib, "_commits", lambda: seen)
+    with pytest.raises(RuntimeError):
+        lib.append({"people": spark.createDataFrame([(51, "second")], "person_id int, name string")})
+    monkeypatch.undo()
+    assert sorted(ids(lib.table("people"), "person_id")) == [0, 1, 50]
+
+
+def test_search_filters_before_ranking(spark):
+    rows = [(i, None if i % 3 else 1.0, unit(i), datetime(2020, 1, 1 + i % 28)) for i in range(60)]
+    df = spark.createDataFrame(rows, "image_id bigint, lat double, vector array<float>, taken_at timestamp_ntz").withColumns({"people_ids": F.array().cast("array<int>"), "face_count": F.lit(0), "media_type": F.lit("image")})
+    texts = spark.createDataFrame([(3, "a word"), (4, "a word"), (9, "a word")], "image_id bigint, text string")
+    all_, first = browse.search(df, texts, "word", df, unit(5), browse.Filters(has_location=True), candidates=10)
+    got = first.collect()
+    near = {r.image_id for r in vectors.top_k(df, unit(5), 10, allowed=F.col("lat").isNotNull()).collect()}
+    assert [r.image_id for r in got[:2]] == [9, 3] and {r.image_id for r in got} == near | {3, 9} and all_.count() == len(near | {3, 9})
+    scores = [r.score for r in got[2:]]
+    assert scores == sorted(scores, reverse=True) and all(r.image_id % 3 == 0 for r in got)
+    assert browse.search(df, None, "word", df, unit(5), min_score=2.0)[0].count() == 0
+
+
+def test_two_confirmed_people_in_a_cluster_make_a_fresh_one(spark, lib):
+    p = identity.People(lib)
+    p.assign([0], 0)
+    p.assign([1], 1)
+    p.recluster()
+    f = {r.face_id: r.person_id for r in lib.table("faces").collect()}
+    assert f[0] == f[1] > 1
+    row = lib.row("people", "person_id", f[0])
+    assert row.face_count == 2 and row.cover_face_id == 0 and row.name == ""
 
 
 def test_files_and_backends(spark, tmp_path):
