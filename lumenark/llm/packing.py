@@ -8,7 +8,8 @@ result is exactly that of placing one document after another. Executors then loo
 up each piece by its length and its rank among pieces of that length.
 
 Ranks come from per-task running counts and a prefix sum over (task, length)
-pairs, so no task sees all pieces of a common length.
+pairs, so no task sees all pieces of a common length. The sums travel as one packed
+array a task where they take few bytes, else pieces meet them by (task, length).
 
 Defined results: a null text is empty and gives one piece, the end token; repeated
 documents give repeated rows; an empty table gives no sequences; extra columns are
@@ -26,12 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import storage
 from .bytekit import arrow_batches
-from .storage import saved
+from .storage import bounded, saved
 
 CAPACITY, END_ID = 2048, 0
-#: Rank offsets are broadcast up to this many rows (about 40 MB), joined by shuffle beyond it.
-BROADCAST_ROWS = 500_000
 #: The word pattern of the byte-level pre-tokeniser (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -205,11 +205,16 @@ def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     places = spark.createDataFrame(rows, "length bigint, lo bigint, hi bigint, bin bigint, each bigint, at bigint")
     ordered = Window.partitionBy("length").orderBy("task")
     before = by_task.select("task", "length", (F.sum("n").over(ordered) - F.col("n")).alias("before"))
-    if by_task.count() <= BROADCAST_ROWS:
-        before = F.broadcast(before)
-    rank = F.col("before") + F.col("task_rank")
-    ranked = cut.join(before, ["task", "length"]).withColumn("rank", rank)
-    p = F.broadcast(places).alias("p")  # runs of the plan: bounded by lengths, not by documents
+    before = saved(spark, before, "ranks")
+    packed = before.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("m"))
+    packed = packed.select("task", F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0))).alias("before"))
+    tasks = by_task.select("task").distinct().count()
+    if tasks * (capacity + 4) * 8 <= storage.BROADCAST_BYTES:
+        ranked = cut.join(F.broadcast(packed), "task").withColumn("before", F.get("before", F.col("length").cast("int")))
+    else:
+        ranked = cut.join(before, ["task", "length"])
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("task_rank"))
+    p = bounded(places).alias("p")  # runs of the plan: bounded by lengths, not by documents
     placed = ranked.alias("r").join(p, (F.col("r.length") == F.col("p.length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     nth = F.col("rank") - F.col("lo")
     return placed.select(
