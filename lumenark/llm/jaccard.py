@@ -273,6 +273,12 @@ def survey(docs: DataFrame, spec: Spec, text_bytes: int) -> DataFrame:
     return packed.repartition(parts, "bucket").mapInArrow(meet, f"{facts}, tile bigint, member bigint, low boolean, c bigint")
 
 
+def _mixed(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of tiles with two different names."""
+    tiles = rows.groupBy("tile").agg(F.min(name).alias("lo"), F.max(name).alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("tile", "m", F.lit(True).alias("mixed"))
+    return attach(rows, saved(rows.sparkSession, tiles, "mixed-tiles"), "tile", "m").where("mixed").select(*rows.columns)
+
+
 def pruned(met: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tile, node) without the tiles that sets can spare and sets without a tile left; and (node, tile): the fullest tile of each set that stays."""
     listed = met.groupBy(F.col("member").alias("node")).agg(F.collect_list(F.struct("c", "tile", "low")).alias("l"))  # as many as a document has keys
@@ -285,8 +291,7 @@ def pruned(met: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     stay = listed.select("node", F.array_max("l")["tile"].alias("home"), F.concat(rarest(False, "spare0"), rarest(True, "spare1")).alias("l")).where(F.size("l") > 0)
     stay = saved(met.sparkSession, stay.select("node", "home", F.transform("l", lambda x: x["tile"]).alias("tiles")), "stay")
     rows = stay.select("node", F.explode("tiles").alias("tile"))
-    shared = rows.groupBy("tile").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("tile")
-    return saved(met.sparkSession, rows.join(shared, "tile", "left_semi"), "shared"), stay.select("node", F.col("home").alias("tile"))
+    return saved(met.sparkSession, _mixed(rows, "node"), "shared"), stay.select("node", F.col("home").alias("tile"))
 
 
 def members(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -355,9 +360,9 @@ def _arrays(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
 
 def _first_round(src: DataFrame, home: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
     """(a, b): each candidate node and what it is connected to inside its fullest tile. Sets move once, straight from the texts."""
-    placed = home.join(nodes.select("node", "n", "id", "h"), "node")
+    placed = saved(src.sparkSession, home.join(nodes.select("node", "n", "id", "h"), "node"), "placed")
     totals = placed.groupBy("tile").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where(F.col("m") > 1)
-    placed = placed.join(totals, "tile")
+    placed = attach(placed, saved(src.sparkSession, totals.withColumn("rows", F.col("m")), "totals"), "tile", "rows").where("m IS NOT NULL")
     salts = F.ceil(F.col("total") / TILE_SHINGLES).cast("int")
     bridge = (salts > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("m")) < BRIDGES)
     salt = F.when(bridge, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), salts).cast("int")))
@@ -376,8 +381,7 @@ def _first_round(src: DataFrame, home: DataFrame, nodes: DataFrame, spec: Spec)
 def _named(met: DataFrame, comp: DataFrame) -> DataFrame:
     """(tile, node, comp) of the tiles that still hold different components."""
     named = met.join(comp, "node", "left").select("tile", "node", F.coalesce("label", "node").alias("comp"))
-    mixed = named.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tile")
-    return named.join(mixed, "tile", "left_semi")
+    return _mixed(named, "comp")
 
 
 def _merge_round(named: DataFrame, sets: DataFrame, spec: Spec, turn: int) -> DataFrame:
