@@ -98,6 +98,11 @@ def test_entry_point_without_the_llm_folder(tmp_path):
     root = Path(catalogue.__file__).parents[2]
     shutil.copytree(root / "lumenark", tmp_path / "lumenark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
-    assert said.returncode == 0, said.stderr
-    assert "False" in said.stdout
+    for pipeline in (True, False):  # left behind, and removed as well
+        if pipeline and (root / "corpus_pipeline.py").exists():
+            shutil.copy(root / "corpus_pipeline.py", tmp_path)
+        else:
+            (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+        said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+        assert said.returncode == 0, said.stderr
+        assert "False" in said.stdout
