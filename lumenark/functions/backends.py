@@ -135,9 +135,31 @@ def recognise(files: DataFrame, make, engine: str) -> DataFrame:
         model = make()
         for b in batches:
             got = _each(lambda b=b: [model.extract(c, p) for c, p in zip(b["content"], b["path"], strict=True)], [lambda c=c, p=p: model.extract(c, p) for c, p in zip(b["content"], b["path"], strict=True)])
-            yield pd.DataFrame({"path": list(b["path"]), "text": [t or "" for t in got]})
+            yield pd.DataFrame({"path": list(b["path"]), "text": [t or "" for t in got], "failed": [t is None for t in got]})
 
-    return files.select("path", "content").mapInPandas(run, "path string, text string").withColumn("engine", F.lit(engine))
+    return files.select("path", "content").mapInPandas(run, "path string, text string, failed boolean").withColumn("engine", F.lit(engine))
+
+
+def self_check(model: Embedder, golden: dict[str, list[float]], tolerance: float = 1e-3) -> float:
+    """The largest departure from stored vectors of texts; a model beyond the tolerance (2e-2 suits 8-bit weights) is refused."""
+    texts = sorted(golden)
+    off = float(np.abs(model.embed_texts(texts) - np.array([golden[t] for t in texts])).max()) if texts else 0.0
+    if not off <= tolerance:
+        raise ValueError(f"vectors depart by {off:.4g}, more than {tolerance:.4g}")
+    return off
+
+
+def load_rgb(content: bytes, max_side: int | None = None) -> np.ndarray:
+    """Pixels, upright, as red, green and blue; needs Pillow."""
+    import io
+
+    from PIL import Image, ImageOps
+
+    with Image.open(io.BytesIO(content)) as picture:
+        upright = ImageOps.exif_transpose(picture).convert("RGB")
+    if max_side and max(upright.size) > max_side:
+        upright.thumbnail((max_side, max_side))
+    return np.asarray(upright)
 
 
 def phash_pixels(grey: np.ndarray) -> int:

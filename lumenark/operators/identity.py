@@ -138,6 +138,7 @@ class PersonState:
     cover_quality: float = -1.0
     exemplars: list[tuple[float, np.ndarray]] = field(default_factory=list)
     fresh: bool = False
+    dirty: bool = False
 
     def absorb(self, v: np.ndarray, quality: float) -> None:
         w = max(quality, 1e-3)
@@ -189,7 +190,7 @@ class Assigner:
                 self.next_id += 1
             if who != UNASSIGNED:
                 p = self.people[who]
-                p.faces += 1
+                p.faces, p.dirty = p.faces + 1, True
                 if quality > p.cover_quality:
                     p.cover, p.cover_quality = face, quality
                 if learn:
@@ -209,28 +210,52 @@ def load_states(people: DataFrame, faces: DataFrame | None = None) -> list[Perso
     return [PersonState(r.person_id, np.asarray(r.centroid, float), 0.6 * max(r.face_count or 0, 1), r.face_count or 0, r.cover_face_id if r.cover_face_id is not None else -1, exemplars=kept.get(r.person_id, [])) for r in people.where(F.col("centroid").isNotNull()).select("person_id", "centroid", "face_count", "cover_face_id").collect()]
 
 
+STATE = "centroid array<float>, face_count int, cover_face_id bigint, fresh boolean"
+
+
 def assign_online(faces: DataFrame, people: DataFrame, known_faces: DataFrame | None = None, next_id: int | None = None) -> DataFrame:
     """(face_id, person_id) of new faces, in order of image. A micro-batch is one sequence: order decides, so one task works on it."""
+    return assign_states(faces, people, known_faces, next_id).where("face_id IS NOT NULL").select("face_id", "person_id")
+
+
+def assign_states(faces: DataFrame, people: DataFrame, known_faces: DataFrame | None = None, next_id: int | None = None) -> DataFrame:
+    """Rows of assign_online and, without a face id, the state of each person that is new or has changed."""
     ship(faces.sparkSession)
     states = load_states(people, known_faces)
     start = next_id if next_id is not None else max([p.person_id for p in states], default=-1) + 1
 
+    columns = ["face_id", "person_id", "centroid", "face_count", "cover_face_id", "fresh"]
+
+    def given(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*r, *[None] * (len(columns) - len(r))) for r in rows], columns=columns).astype({"face_id": "Int64", "person_id": "Int32", "face_count": "Int32", "cover_face_id": "Int64", "fresh": "boolean"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = Assigner(states, start)
         image, held = None, []
         for b in batches:
             for r in b.itertuples(index=False):
                 if r.image_id != image and held:
-                    yield pd.DataFrame(a.assign(held), columns=["face_id", "person_id"])
+                    yield given(a.assign(held))
                     held = []
                 v = np.asarray(r.vector, float)
                 image = r.image_id
                 held.append((r.face_id, v / max(np.linalg.norm(v), 1e-12), float(r.quality or 0), float(r.det_score or 0)))
         if held:
-            yield pd.DataFrame(a.assign(held), columns=["face_id", "person_id"])
+            yield given(a.assign(held))
+        if told := [(None, p.person_id, p.centroid.astype(np.float32), p.faces, p.cover, p.fresh) for p in a.people.values() if p.dirty]:
+            yield given(told)
 
     ordered = faces.select("image_id", "face_id", "vector", "quality", "det_score").coalesce(1).sortWithinPartitions("image_id", "face_id")
-    return ordered.mapInPandas(run, "face_id bigint, person_id int")
+    return ordered.mapInPandas(run, f"face_id bigint, person_id int, {STATE}")
+
+
+def flushed(people: DataFrame, states: DataFrame) -> DataFrame:
+    """People with the centroids, counts and covers of their new states, and the new people."""
+    new = states.where("face_id IS NULL").select("person_id", *(F.col(c).alias(f"__{c}") for c in ("centroid", "face_count", "cover_face_id")), F.col("fresh"))
+    df = people.join(new.where("NOT fresh").drop("fresh"), "person_id", "left")
+    old = df.select(*[F.coalesce(f"__{c}", c).alias(c) if f"__{c}" in df.columns else F.col(c) for c in people.columns])
+    made = new.where("fresh").select("person_id", F.lit("").alias("name"), F.col("__centroid").alias("centroid"), F.col("__face_count").alias("face_count"), F.col("__cover_face_id").alias("cover_face_id"), F.localtimestamp().alias("created_at"), F.lit(False).alias("hidden"))
+    return old.unionByName(made)
 
 
 def merged(faces: DataFrame, source: int, target: int) -> DataFrame:

@@ -73,6 +73,11 @@ def similar(rows: DataFrame, id_value: int, k: int = 24, id_: str = "image_id",
     return top_k(rows, list(got[0]), k, id_, vector, exclude=id_value, **kw)
 
 
+def text_top_k(rows: DataFrame, model, text: str, k: int, **kw) -> DataFrame:
+    """Nearest rows to a text, by a model with embed_texts; the one query is embedded on the driver."""
+    return top_k(rows, [float(x) for x in model.embed_texts([text])[0]], k, **kw)
+
+
 def mean_direction(rows: DataFrame, vector: str = "vector") -> list[float] | None:
     """Normalised mean of a bounded set of vectors."""
     got = rows.select(F.posexplode(vector).alias("pos", "v")).groupBy("pos").agg(F.avg(F.col("v").cast("double")).alias("v")).orderBy("pos").collect()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import library as LB
 from ..functions import parsing as P
+from ..functions.backends import StubEmbedder
 from ..operators import aggregates as A
 from ..operators import albums as AL
 from ..operators import browse as B
@@ -267,6 +268,27 @@ def curation_overlap(spark, d):
     return AL.overlap(who, df)
 
 
+_KEYED = "h AS (SELECT image_id, 'h' || CAST(file_size AS STRING) AS c, people_ids FROM images), e AS (SELECT c, image_id, unnest(people_ids) AS p FROM h)"
+
+
+def _curation(spark, d):
+    df = W.images(spark, d).withColumn("content_hash", F.concat(F.lit("h"), F.col("file_size").cast("string")))
+    return df, *AL.export_curation(df, W.people(spark, d), W.albums(spark, d), W.album_items(spark, d))
+
+
+@_query(f"""WITH {_KEYED}, st AS (SELECT DISTINCT p AS b, c FROM e WHERE p IN (SELECT person_id FROM people WHERE trim(name) <> '' OR hidden)), w AS (SELECT DISTINCT b, image_id FROM st JOIN h USING (c)), t AS (SELECT b, count(*) AS wanted FROM w GROUP BY b)
+ SELECT w.b AS backup_id, e.p AS person_id, count(*) AS shared, t.wanted AS wanted FROM w JOIN e ON w.image_id = e.image_id JOIN t ON t.b = w.b GROUP BY ALL HAVING count(*) * 2 >= t.wanted""")
+def curation_claims(spark, d):
+    df, who, _ = _curation(spark, d)
+    return AL.claims(who, df)
+
+
+@_query(f"WITH {_KEYED}, st AS (SELECT DISTINCT album_id, c FROM album_items JOIN h USING (image_id)) SELECT DISTINCT album_id, image_id FROM st JOIN h USING (c)")
+def album_restore(spark, d):
+    df, _, what = _curation(spark, d)
+    return AL.photos_of(what, df, "album_id")
+
+
 @_query("SELECT image_id, path, '/out/' || regexp_replace(n, '[.][^.]*$', '') || CASE WHEN r > 1 THEN ' (' || CAST(r AS STRING) || ')' ELSE '' END || '.jpg' AS target FROM (SELECT image_id, path, n, row_number() OVER (PARTITION BY lower(n) ORDER BY image_id) AS r FROM (SELECT image_id, folder || '.jpg' AS path, regexp_extract(folder || '.jpg', '([^/]*)$', 1) AS n FROM narrow))")
 def export_names(spark, d):
     return AL.export_names(W.narrow(spark, d).withColumn("path", F.concat("folder", F.lit(".jpg"))), "/out/")
@@ -397,6 +419,17 @@ def face_search_unassigned(spark, d):
     return V.shown(I.face_search(faces, list(q), unassigned_only=True))
 
 
+@_query(f"SELECT image_id AS face_id, round(s, 4) AS score FROM (SELECT image_id, {_SIM} AS s FROM vectors WHERE image_id <> 5) WHERE s >= 0.1 ORDER BY s DESC, image_id LIMIT 60")
+def similar_faces(spark, d):
+    faces = W.vectors(spark, d).select(F.col("image_id").alias("face_id"), "vector")
+    return V.shown(V.similar(faces, 5, 60, "face_id", min_score=0.1))
+
+
+@_query()
+def text_query(spark, d):
+    return V.shown(V.text_top_k(W.vectors(spark, d), StubEmbedder(64), "a word of the thing", 60))
+
+
 @_query(f"SELECT image_id AS face_id, round(s, 4) AS score FROM (SELECT image_id, {_SIM} AS s FROM vectors WHERE label % 3 <> 0 AND image_id % 4 <> 0) WHERE s >= 0.38 ORDER BY s DESC, image_id LIMIT 60")
 def person_face_suggestions(spark, d):
     v = W.vectors(spark, d)
@@ -432,6 +465,12 @@ def near_duplicate_groups(spark, d):
     return D.groups(h, D.exact_pairs(h, 2))
 
 
+@_query(f"WITH RECURSIVE {_HASHES}, e AS (SELECT x.image_id AS a, y.image_id AS b FROM hashes x JOIN hashes y ON x.image_id <> y.image_id WHERE x.phash <> 0 AND y.phash <> 0 AND bit_count(xor(x.phash, y.phash)) <= 2), reach(n, m) AS (SELECT image_id, image_id FROM hashes UNION SELECT r.n, e.b FROM reach r JOIN e ON r.m = e.a), g AS (SELECT n, min(m) AS label FROM reach GROUP BY n), ex AS (SELECT list_sort(list(doc_id)) AS ids FROM documents GROUP BY sha256(text) HAVING count(*) > 1), mem AS (SELECT unnest(ids) AS i FROM ex) SELECT 'exact' AS kind, ids FROM ex UNION ALL SELECT 'near', list_sort(list(n)) FROM g WHERE n NOT IN (SELECT i FROM mem) GROUP BY label HAVING count(*) > 1")
+def duplicates_listing(spark, d):
+    docs = W.table(spark, d, "documents").select(F.col("doc_id").alias("image_id"), P.content_key(F.col("text")).alias("content_hash"))
+    return D.duplicates(docs.join(_hashes(spark, d), "image_id"), 2, exact=True)
+
+
 @_query()
 def near_duplicate_pairs_whole(spark, d):
     """At the operator's own distance, whatever the buckets hold."""

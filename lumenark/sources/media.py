@@ -62,5 +62,27 @@ def write_roots(spark: SparkSession, path: str, roots: list[str]) -> None:
     spark.createDataFrame([(r,) for r in roots], "root string").coalesce(1).write.mode("overwrite").json(path)
 
 
+def with_root(roots: list[str], root: str) -> list[str]:
+    """Roots with one more; a name that is there in other case stays as it is."""
+    root = root.rstrip("/")
+    return roots if root.lower() in {r.lower() for r in roots} else [*roots, root]
+
+
+def without_root(roots: list[str], root: str) -> list[str]:
+    return [r for r in roots if r.lower() != root.rstrip("/").lower()]
+
+
 def read_curation(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("person_id int, name string, hidden boolean, hashes array<string>").json(path)
+
+
+def write_backup(path: str, people: DataFrame, albums: DataFrame, roots: list[str]) -> None:
+    """A curation backup: people and albums as JSON lines, one a person or album, and the roots."""
+    people.select("person_id", "name", "hidden", "hashes").write.mode("overwrite").json(f"{path}/people")
+    albums.select("album_id", "name", "hashes").write.mode("overwrite").json(f"{path}/albums")
+    write_roots(people.sparkSession, f"{path}/roots", roots)
+
+
+def read_backup(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    albums = spark.read.schema("album_id int, name string, hashes array<string>").json(f"{path}/albums")
+    return read_curation(spark, f"{path}/people"), albums, read_roots(spark, f"{path}/roots")

@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import backends, metadata
+from ..functions import parsing as P
 from ..library import Library
-from ..sources.media import changes
+from ..operators import identity
+from ..sources.media import changes, is_video, media_files
+from ..storage import saved
 
 
 def upsert_plan(found: DataFrame, known: DataFrame, prune: bool = False, root: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -40,6 +44,68 @@ def ingest_stream(spark: SparkSession, library: Library, directory: str, schema:
     return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: ingest(library, df, to_rows)).start()
 
 
+def image_rows(files: DataFrame, make_embedder) -> DataFrame:
+    """Rows of images, but for ids and people, from files (path, file_size, mtime, content). Pictures that cannot be embedded give no row."""
+    vectors = backends.embed_files(files, make_embedder).where("vector IS NOT NULL")
+    known = metadata.metadata(metadata.read_tags(files))
+    facts = files.select("path", "file_size", "mtime", P.content_key(F.col("content")).alias("content_hash"))
+    name, folder = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"/[^/]*$", "")
+    kind = F.when(is_video(F.col("path")), "video").otherwise("image")
+    return facts.join(vectors, "path").join(known, "path").select("*", name.alias("filename"), folder.alias("folder"), F.localtimestamp().alias("added_at"), kind.alias("media_type"), F.lit(0).cast("bigint").alias("duration_ms"), F.lit("").alias("place"))
+
+
+def index_directory(library: Library, root: str, make_embedder, make_faces, prune: bool = False) -> dict[str, int]:
+    """New and changed files under root become images, faces and people in one commit; what was there is kept.
+
+    Contents are read for those files alone, several times rather than kept. Faces go to
+    people in order of image, in one task; its state is people, not faces.
+    """
+    spark = library.spark
+    todo, stale = upsert_plan(media_files(spark, root), library.table("images", ("image_id", "path", "file_size", "mtime")), prune, root)
+    todo, stale = saved(spark, todo, "todo"), saved(spark, stale, "stale")
+    counts = {"added": 0, "removed": stale.count(), "faces": 0, "people_created": 0}
+    files = media_files(spark, root, content=True).join(todo.select("path"), "path", "left_semi")
+    rows = saved(spark, library.allocate(image_rows(files, make_embedder), "images", "image_id"), "image-rows")
+    found = backends.detect_faces(files, make_faces).join(rows.select("path", "image_id"), "path")
+    found = saved(spark, library.allocate(found.repartitionByRange("image_id").sortWithinPartitions("image_id", F.desc("quality")), "faces", "face_id"), "face-rows")
+    counts |= {"added": rows.count(), "faces": found.count()}
+    if not (counts["added"] or counts["removed"]):
+        return counts
+    old_faces = library.without("faces", stale, "image_id")
+    people = library.table("people")
+    states = saved(spark, identity.assign_states(found, people, old_faces.where("person_id >= 0"), library.next_id("people", "person_id")), "states")
+    given = found.join(states.where("face_id IS NOT NULL").select("face_id", "person_id"), "face_id").withColumns({"confirmed": F.lit(False), "crop_path": F.lit("")})
+    counts["people_created"] = states.where("fresh").count()
+    of_image = identity.people_of_images(given)
+    images = rows.join(of_image, "image_id", "left").withColumns({"people_ids": F.coalesce("people_ids", F.array().cast("array<int>")), "face_count": F.coalesce("face_count", F.lit(0))})
+    gone = {t: library.without(t, stale, "image_id") for t in ("images", "faces", "ocr") if counts["removed"] and library.has(t)}
+    library.commit(gone | {"people": identity.flushed(people, states)}, added={"images": images, "faces": given})
+    return counts
+
+
+def ocr_backfill(library: Library, files: DataFrame, make, engine: str, batch: int = 4096) -> dict[str, int]:
+    """Scans images without a text, newest first, `batch` a commit, so that a stopped run goes on where it was.
+
+    Each image gets one row: a file that fails, or is not among files (path, content), an empty text.
+    """
+    library.ensure("ocr")
+    before = library.table("ocr").select("image_id").distinct().count()
+    todo = saved(library.spark, ocr_todo(library.table("images", ("image_id", "path")), library.table("ocr")), "ocr-todo")
+    out, last = {"scanned": 0, "with_text": 0, "failed": 0, "already_scanned": before}, None
+    while True:
+        left = todo if last is None else todo.where(F.col("image_id") < last)
+        part = saved(library.spark, left.orderBy(F.desc("image_id")).limit(batch), "ocr-part")
+        n, last = part.agg(F.count("*"), F.min("image_id")).first()
+        if not n:
+            return out
+        texts = backends.recognise(files.join(part.select("path"), "path", "left_semi"), make, engine).drop("engine")
+        rows = part.join(texts, "path", "left").select("image_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(engine).alias("engine"), F.localtimestamp().alias("updated_at"), F.coalesce("failed", F.lit(True)).alias("failed"))
+        rows = saved(library.spark, rows, "ocr-rows")
+        library.append({"ocr": rows.drop("failed")})
+        some, bad = rows.agg(F.count_if(F.col("text") != ""), F.count_if("failed")).first()
+        out |= {"scanned": out["scanned"] + n, "with_text": out["with_text"] + some, "failed": out["failed"] + bad}
+
+
 def ocr_todo(images: DataFrame, ocr: DataFrame) -> DataFrame:
     """Images without a scan, newest id first."""
     return images.join(ocr.select("image_id"), "image_id", "left_anti").orderBy(F.desc("image_id"))
