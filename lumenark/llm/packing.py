@@ -206,8 +206,10 @@ def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     ordered = Window.partitionBy("length").orderBy("task")
     before = by_task.select("task", "length", (F.sum("n").over(ordered) - F.col("n")).alias("before"))
     before = saved(spark, before, "ranks")
-    packed = before.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("m"))
-    packed = packed.select("task", F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0))).alias("before"))
+    # One array a task, with a place for every length.
+    blank = by_task.select("task").distinct().select("task", F.explode(F.expr(f"sequence(0L, {capacity}L)")).alias("length"), F.lit(0).cast("bigint").alias("before"))
+    dense = before.unionByName(blank).groupBy("task", "length").agg(F.max("before").alias("before"))
+    packed = dense.groupBy("task").agg(F.transform(F.sort_array(F.collect_list(F.struct("length", "before"))), lambda x: x["before"]).alias("before"))
     tasks = by_task.select("task").distinct().count()
     if tasks * (capacity + 4) * 8 <= storage.BROADCAST_BYTES:
         ranked = cut.join(F.broadcast(packed), "task").withColumn("before", F.get("before", F.col("length").cast("int")))
