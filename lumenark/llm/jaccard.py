@@ -227,7 +227,7 @@ def survey(docs: DataFrame, spec: Spec, text_bytes: int) -> DataFrame:
                     count = 0
             if n:
                 size, name, can = np.concatenate(n), np.concatenate(node), np.concatenate(spare, 1)
-                place = pa.array((mix(name) >> U64(24)).view(np.int64) + (1 << 41))
+                place = pa.array((mix(name + U64(task << 1)) >> U64(24)).view(np.int64) + (1 << 41))  # copies of one text are dealt apart by task
                 blank = [pa.nulls(len(size), pa.binary())] * 3
                 yield pa.RecordBatch.from_arrays([place, *blank, b.column(0), b.column(1), pa.array(size), pa.array(name.view(np.int64), mask=size == 0), pa.array(can[0]), pa.array(can[1])], names=names)
         if count:
