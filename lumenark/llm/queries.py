@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, license_scan, packing, pii, quality_classifier, quality_rules, secret_scan, storage, warc
+from . import centroids, chat, decontamination, jaccard, license_scan, packing, phrases, pii, quality_classifier, quality_rules, secret_scan, storage, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.described(centroids.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+#: Rules of op13, the longest first to win.
+URL_RULES = [url_filter.Rule("block", "net"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    listed = url_filter.cascade(url_filter.all_keys(pages), url_filter.tracked_keys(pages))
+    return url_filter.judge(pages, URL_RULES, listed)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -97,4 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_chat": op9_chat,
         "op10_packing": op10_packing,
+        "op11_phrases": op11_phrases,
+        "op12_centroids": op12_centroids,
+        "op13_url_filter": op13_url_filter,
     }
