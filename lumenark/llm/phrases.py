@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .bytekit import TABLE, U64, Words, arrow_batches, byte_class, grams, mix, string_bytes
 from .storage import bounded, discard, saved
 
-UNIT_BYTES, SLICE_BITS = 4 << 20, 20
+UNIT_BYTES, CHUNK_BYTES, SLICE_BITS = 2 << 20, 1 << 18, 20
 _UPPER, _CUTS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:!?\x0b\x0c\r"
 _WORD = ~byte_class((0x20, 0x20), (0x0A, 0x0A))
 
@@ -90,8 +90,19 @@ def units(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return src.mapInArrow(run, "unit bigint, lang string, text binary")
 
 
-def _runs(text: bytes, lang: str, longest: int, bits: int) -> tuple[Words, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Words, and for each length: the first words of runs inside one piece, their fingerprints and their cells."""
+def _chunks(text: bytes) -> Iterator[bytes]:
+    """Parts of about CHUNK_BYTES, cut between pieces."""
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > CHUNK_BYTES:
+            end = text.rfind(b"\n", at, at + CHUNK_BYTES) + 1 or text.find(b"\n", at + CHUNK_BYTES) + 1 or end
+        yield text[at:end]
+        at = end
+
+
+def _runs(text: bytes, lang: str, longest: int) -> tuple[Words, list[tuple[np.ndarray, np.ndarray]]]:
+    """Words, and for each length: the first words of runs inside one piece and their fingerprints."""
     data = np.frombuffer(text, np.uint8)
     w = Words(data, np.array([0, len(data)]), _WORD)
     h = w.hashes()
@@ -103,7 +114,7 @@ def _runs(text: bytes, lang: str, longest: int, bits: int) -> tuple[Words, list[
     for n in range(1, longest + 1):
         g = mix(grams(h, n) ^ salt)
         at = np.flatnonzero(piece[: len(g)] == piece[n - 1 : n - 1 + len(g)]) if len(g) else np.zeros(0, np.int64)
-        out.append((at, g[at], g[at] >> U64(64 - bits)))
+        out.append((at, g[at]))
     return w, out
 
 
@@ -124,7 +135,9 @@ def candidate_cells(src: DataFrame, spec: Spec, bits: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for unit, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                cells, n = np.unique(np.concatenate([c for _, _, c in _runs(text, lang, spec.longest, bits)[1]]), return_counts=True)
+                every = [g >> U64(64 - bits) for part in _chunks(text) for _, g in _runs(part, lang, spec.longest)[1]]
+                cells, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
+                del every
                 n = np.minimum(n, spec.least).astype(cap)
                 at = np.searchsorted(cells, np.arange(slices + 1, dtype=np.uint64) << U64(SLICE_BITS))
                 full = np.flatnonzero(np.diff(at))
@@ -165,24 +178,30 @@ def unit_counts(src: DataFrame, cells: DataFrame, spec: Spec, bits: int) -> Data
 
         for b in batches:
             for lang, text, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                w, runs = _runs(text, lang, spec.longest, bits)
                 hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *((np.frombuffer(x["cells"], np.uint32).astype(np.uint64) | (U64(x["slice"]) << U64(SLICE_BITS))) for x in own or [])]))
-                automaton, phrases, words = ahocorasick.Automaton(), [], []
-                for n, (at, g, cell) in enumerate(runs, 1):
-                    pick = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, cell), len(hot) - 1)] == cell) if len(hot) else []
-                    once = at[pick][np.unique(g[pick], return_index=True)[1]] if len(pick) else []
-                    for i in once:
-                        phrase = text[w.starts[i] : w.ends[i + n - 1]].decode()
-                        if automaton.add_word(f" {phrase} ", len(phrases)):
-                            phrases.append(phrase)
-                            words.append(n)
+                automaton, phrases, words, total = ahocorasick.Automaton(), [], [], 0
+                seen = np.zeros(0, np.uint64)
+                for part in _chunks(text):
+                    w, runs = _runs(part, lang, spec.longest)
+                    total += len(w.starts)
+                    for n, (at, g) in enumerate(runs if len(hot) else [], 1):
+                        cell = g >> U64(64 - bits)
+                        pick = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, cell), len(hot) - 1)] == cell)
+                        g, first = np.unique(g[pick], return_index=True)
+                        fresh = ~np.isin(g, seen)
+                        seen = np.concatenate([seen, g[fresh]])
+                        for i in at[pick[first[fresh]]]:
+                            phrase = part[w.starts[i] : w.ends[i + n - 1]].decode()
+                            if automaton.add_word(f" {phrase} ", len(phrases)):
+                                phrases.append(phrase)
+                                words.append(n)
                 n_of = np.zeros(0, np.int64)
                 if phrases:
                     automaton.make_automaton()
                     guarded = f" {text.decode()} ".replace("\n", " \n ")
                     n_of = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(guarded)), np.int64), minlength=len(phrases))
                 size = len(phrases) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * size), pa.array([*phrases, None], pa.string()), pa.array([*words, 0], pa.int32()), pa.array([*n_of.tolist(), len(w.starts)], pa.int64())], names=["lang", "phrase", "words", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * size), pa.array([*phrases, None], pa.string()), pa.array([*words, 0], pa.int32()), pa.array([*n_of.tolist(), total], pa.int64())], names=["lang", "phrase", "words", "n"])
 
     return both.mapInArrow(scan, "lang string, phrase string, words int, n bigint")
 
@@ -228,7 +247,7 @@ def contained(runs: DataFrame, spec: Spec = Spec()) -> DataFrame:
 def mine(docs: DataFrame, spec: Spec = Spec(), lang: str = "lang", text: str = "text") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases."""
     runs = frequent(docs, spec, lang, text)
-    rows = scored(runs, spec).join(bounded(contained(runs, spec)), ["lang", "phrase"], "left")
+    rows = scored(runs, spec).join(contained(runs, spec), ["lang", "phrase"], "left")
     rows = rows.where(F.col("longer").isNull() | (F.lit(100).cast("decimal(3,0)") * F.col("longer") < F.lit(spec.inside).cast("decimal(3,0)") * F.col("a")))
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     # The best of each of 64 parts first, so that no task sorts all of a language.

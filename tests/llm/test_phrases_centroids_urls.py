@@ -59,6 +59,7 @@ def test_phrases(spark, monkeypatch):
     for spec in (phrases.Spec(least=5), phrases.Spec(least=2, top=7, inside=50), phrases.Spec(least=300)):  # 300: counts wider than a byte
         want = brute_phrases(rows, spec)
         assert mined(df, spec) == want and want
+    monkeypatch.setattr(phrases, "CHUNK_BYTES", 90)
     monkeypatch.setattr(phrases, "UNIT_BYTES", 700)  # units of a few texts, long texts cut between pieces
     assert mined(df, phrases.Spec(least=5)) == brute_phrases(rows, phrases.Spec(least=5))
     assert phrases.mine(df.limit(0)).count() == 0
