@@ -4,8 +4,8 @@ Texts are lower-cased (A-Z) and cut at delimiters into pieces, pieces into words
 
 1. Each task joins the texts of a language to units of a few MB, written once. A unit's
    runs of 1 to 4 words are hashed and counted; (cell, count) goes to the slice of a
-   count sketch that holds the cell. The sketch has about a cell for each run of the
-   corpus, so it grows with it; each slice is one task's work.
+   count sketch that holds the cell. The sketch has a cell for every few runs of
+   the corpus, so it grows with it; each slice is one task's work.
 2. A cell whose sum reaches the threshold bounds from above the counts of its runs. The
    slice sends each unit the cells that the unit itself met: nothing is broadcast, and
    no task holds more than its unit's own candidates.
@@ -21,6 +21,7 @@ texts are cut between pieces, which loses no run. Scores are decimals of 38 digi
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import itemgetter
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .bytekit import TABLE, U64, Words, arrow_batches, byte_class, grams, mix, string_bytes
 from .storage import bounded, discard, saved
 
-UNIT_BYTES, CHUNK_BYTES, SLICE_BITS = 2 << 20, 1 << 18, 20
+UNIT_BYTES, CHUNK_BYTES, SLICE_BITS = 4 << 20, 1 << 18, 20
 _UPPER, _CUTS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:!?\x0b\x0c\r"
 _WORD = ~byte_class((0x20, 0x20), (0x0A, 0x0A))
 
@@ -48,8 +49,20 @@ class Spec:
     top: int = 2000
 
 
+def _squeezed(b: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(1).compress(b)
+
+
+def _plain(b: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
 def units(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """unit, lang, text: the pieces of a task's texts by language, one a line, in units of about UNIT_BYTES."""
+    """unit, lang, size, text (zstd): the pieces of a task's texts by language, one a line, in units of about UNIT_BYTES."""
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     t = F.translate(t, _UPPER + _CUTS + "\t", _UPPER.lower() + "\n" * len(_CUTS) + " ")
     src = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.regexp_replace(t, " {2,}", " ").alias("t"))
@@ -69,7 +82,7 @@ def units(docs: DataFrame, lang: str, text: str) -> DataFrame:
                 cut = len(blob)
                 if cut > 2 * UNIT_BYTES:
                     cut = blob.rfind(b"\n", 0, UNIT_BYTES) + 1 or blob.find(b"\n", UNIT_BYTES) + 1 or cut
-                yield pa.RecordBatch.from_arrays([pa.array([(task << 24) + serial], pa.int64()), pa.array([lang]), pa.array([blob[:cut]], pa.binary())], names=["unit", "lang", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 24) + serial], pa.int64()), pa.array([lang]), pa.array([cut], pa.int64()), pa.array([_squeezed(blob[:cut])], pa.binary())], names=["unit", "lang", "size", "text"])
                 serial, blob = serial + 1, blob[cut:]
 
         for b in batches:
@@ -87,7 +100,7 @@ def units(docs: DataFrame, lang: str, text: str) -> DataFrame:
         for name in list(held):
             yield from out(name)
 
-    return src.mapInArrow(run, "unit bigint, lang string, text binary")
+    return src.mapInArrow(run, "unit bigint, lang string, size bigint, text binary")
 
 
 def _chunks(text: bytes) -> Iterator[bytes]:
@@ -119,12 +132,12 @@ def _runs(text: bytes, lang: str, longest: int) -> tuple[Words, list[tuple[np.nd
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers as gaps, byte by byte, so that they compress well."""
-    return np.diff(x.astype(np.int64), prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Sorted 32-bit numbers as gaps, byte by byte, compressed."""
+    return _squeezed(np.diff(x.astype(np.int64), prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unplaned(b: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64))
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(_plain(b), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64))
 
 
 def candidate_cells(src: DataFrame, spec: Spec, bits: int) -> DataFrame:
@@ -135,14 +148,14 @@ def candidate_cells(src: DataFrame, spec: Spec, bits: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for unit, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                every = [g >> U64(64 - bits) for part in _chunks(text) for _, g in _runs(part, lang, spec.longest)[1]]
+                every = [g >> U64(64 - bits) for part in _chunks(_plain(text)) for _, g in _runs(part, lang, spec.longest)[1]]
                 cells, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
                 del every
                 n = np.minimum(n, spec.least).astype(cap)
                 at = np.searchsorted(cells, np.arange(slices + 1, dtype=np.uint64) << U64(SLICE_BITS))
                 full = np.flatnonzero(np.diff(at))
                 low = (cells & U64((1 << SLICE_BITS) - 1)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(np.full(len(full), unit), pa.int64()), pa.array([_planes(low[at[i] : at[i + 1]]) for i in full], pa.binary()), pa.array([n[at[i] : at[i + 1]].tobytes() for i in full], pa.binary())], names=["slice", "unit", "cells", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(np.full(len(full), unit), pa.int64()), pa.array([_planes(low[at[i] : at[i + 1]]) for i in full], pa.binary()), pa.array([_squeezed(n[at[i] : at[i + 1]].tobytes()) for i in full], pa.binary())], names=["slice", "unit", "cells", "counts"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lots: dict[int, list[tuple[int, bytes, bytes]]] = {}  # of the few slices that one task is dealt
@@ -153,18 +166,18 @@ def candidate_cells(src: DataFrame, spec: Spec, bits: int) -> DataFrame:
             s, lot = lots.popitem()
             total = np.zeros(1 << SLICE_BITS, np.int64)
             for _, cells, n in lot:
-                total[_unplaned(cells)] += np.frombuffer(n, cap)  # cells of one unit are distinct
+                total[_unplaned(cells)] += np.frombuffer(_plain(n), cap)  # cells of one unit are distinct
             high = total >= spec.least
             unit, found = [], []
             for u, cells, _ in lot:
                 x = _unplaned(cells)
                 if len(x := x[high[x]]):
                     unit.append(u)
-                    found.append(x.astype(np.uint32).tobytes())
+                    found.append(_planes(x))
             yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(np.full(len(unit), s), pa.int64()), pa.array(found, pa.binary())], names=["unit", "slice", "cells"])
 
     parts = max(int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")), slices // 2)
-    dealt = src.mapInArrow(count, "slice bigint, unit bigint, cells binary, counts binary").repartition(parts, "slice")
+    dealt = src.select("unit", "lang", "text").mapInArrow(count, "slice bigint, unit bigint, cells binary, counts binary").repartition(parts, "slice")
     return dealt.mapInArrow(meet, "unit bigint, slice bigint, cells binary")
 
 
@@ -178,28 +191,40 @@ def unit_counts(src: DataFrame, cells: DataFrame, spec: Spec, bits: int) -> Data
 
         for b in batches:
             for lang, text, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *((np.frombuffer(x["cells"], np.uint32).astype(np.uint64) | (U64(x["slice"]) << U64(SLICE_BITS))) for x in own or [])]))
-                automaton, phrases, words, total = ahocorasick.Automaton(), [], [], 0
-                seen = np.zeros(0, np.uint64)
-                for part in _chunks(text):
+                hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *((_unplaned(x["cells"]).astype(np.uint64) | (U64(x["slice"]) << U64(SLICE_BITS))) for x in own or [])]))
+                text, automaton = _plain(text), ahocorasick.Automaton()
+                spans, offset = [np.zeros((4, 0), np.int64)], 0
+                maybe = np.zeros(1 << 22, bool)
+                maybe[(hot & U64((1 << 22) - 1)).astype(np.int64)] = True
+                for part in _chunks(text) if len(hot) else ():
                     w, runs = _runs(part, lang, spec.longest)
-                    total += len(w.starts)
-                    for n, (at, g) in enumerate(runs if len(hot) else [], 1):
+                    for n, (at, g) in enumerate(runs, 1):
                         cell = g >> U64(64 - bits)
-                        pick = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, cell), len(hot) - 1)] == cell)
+                        pick = np.flatnonzero(maybe[(cell & U64((1 << 22) - 1)).astype(np.int64)])
+                        pick = pick[hot[np.minimum(np.searchsorted(hot, cell[pick]), len(hot) - 1)] == cell[pick]]
                         g, first = np.unique(g[pick], return_index=True)
-                        fresh = ~np.isin(g, seen)
-                        seen = np.concatenate([seen, g[fresh]])
-                        for i in at[pick[first[fresh]]]:
-                            phrase = part[w.starts[i] : w.ends[i + n - 1]].decode()
-                            if automaton.add_word(f" {phrase} ", len(phrases)):
-                                phrases.append(phrase)
-                                words.append(n)
-                n_of = np.zeros(0, np.int64)
-                if phrases:
+                        at = at[pick[first]]
+                        spans.append(np.stack([g.view(np.int64), offset + w.starts[at], offset + w.ends[at + n - 1], np.full(len(at), n)]))
+                    offset += len(part)
+                span = np.concatenate(spans, 1)
+                span = span[:, np.unique(span[0], return_index=True)[1]]
+                phrases = [text[i:j].decode() for i, j in zip(span[1].tolist(), span[2].tolist(), strict=True)]
+                words = span[3].tolist()
+                # Single words are no candidates, only parts of them: they are counted as words.
+                string = text.decode()
+                single = Counter(string.replace("\n", " ").split(" "))
+                single.pop("", None)
+                n_of = np.zeros(len(phrases), np.int64)
+                for i, phrase in enumerate(phrases):
+                    if words[i] > 1:
+                        automaton.add_word(f" {phrase} ", i)
+                    else:
+                        n_of[i] = single[phrase]
+                if len(automaton):
                     automaton.make_automaton()
-                    guarded = f" {text.decode()} ".replace("\n", " \n ")
-                    n_of = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(guarded)), np.int64), minlength=len(phrases))
+                    guarded = f" {string} ".replace("\n", " \n ")
+                    n_of += np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(guarded)), np.int64), minlength=len(phrases))
+                total = single.total()
                 size = len(phrases) + 1
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * size), pa.array([*phrases, None], pa.string()), pa.array([*words, 0], pa.int32()), pa.array([*n_of.tolist(), total], pa.int64())], names=["lang", "phrase", "words", "n"])
 
@@ -211,8 +236,8 @@ def frequent(docs: DataFrame, spec: Spec = Spec(), lang: str = "lang", text: str
     spark = docs.sparkSession
     arrow_batches(spark)
     src = saved(spark, units(docs, lang, text), "units")
-    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = SLICE_BITS + max(6, int(np.ceil(np.log2(max(1.0, size / 2) / (1 << SLICE_BITS)))))
+    size = src.agg(F.sum("size")).first()[0] or 0
+    bits = SLICE_BITS + max(6, int(np.ceil(np.log2(max(1.0, size / 8) / (1 << SLICE_BITS)))))
     cells = candidate_cells(src, spec, min(bits, SLICE_BITS + 32))
     counted = unit_counts(src, cells, spec, min(bits, SLICE_BITS + 32)).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
     out = saved(spark, counted.where(F.col("phrase").isNull() | (F.col("n") >= spec.least)), "runs")
