@@ -25,9 +25,11 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import itemgetter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,14 +183,56 @@ def candidate_cells(src: DataFrame, spec: Spec, bits: int) -> DataFrame:
     return dealt.mapInArrow(meet, "unit bigint, slice bigint, cells binary")
 
 
-def unit_counts(src: DataFrame, cells: DataFrame, spec: Spec, bits: int) -> DataFrame:
-    """lang, phrase, words, n: exact counts of each unit's candidates; and, without a phrase, of all its words."""
+def _bucket(phrases: list[str], buckets: int) -> np.ndarray:
+    return np.fromiter((crc32(p.encode()) % buckets for p in phrases), np.int64, len(phrases))
+
+
+def unit_counts(src: DataFrame, cells: DataFrame, spec: Spec, bits: int, buckets: int) -> DataFrame:
+    """lang, phrase, words, n: exact counts of all units' candidates together; and, without a phrase, of all words.
+
+    Counts travel packed: each task sums those of some units, and sends each bucket of
+    phrases its own in one compressed piece. A bucket's task sums piece by piece.
+    """
     by_unit = cells.groupBy("unit").agg(F.collect_list(F.struct("slice", "cells")).alias("own"))  # as many as the unit's text has
     both = src.join(by_unit, "unit", "left").select("lang", "text", "own")
 
+    def packed(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for lang, count in held.items():
+            phrases = sorted(count)
+            at = _bucket(phrases, buckets)
+            for b in np.unique(at).tolist():
+                mine = [phrases[i] for i in np.flatnonzero(at == b).tolist()]
+                rows.append((b, lang, _squeezed("\n".join(mine).encode()), _squeezed(np.array([count[p] for p in mine], "<i8").tobytes())))
+        held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary(), pa.binary()))], names=["bucket", "lang", "phrases", "counts"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, total = [], 0, None
+
+        def merged() -> pa.Table:
+            parts = [pa.table([pa.array([lang] * len(n)), pa.array(phrases), pa.array(n)], names=["lang", "phrase", "n"]) for lang, phrases, n in held]
+            held.clear()
+            every = pa.concat_tables([*parts, *([total] if total is not None else [])])
+            return every.group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
+
+        for b in batches:
+            for lang, phrases, n in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                held.append((lang, _plain(phrases).decode().split("\n"), np.frombuffer(_plain(n), "<i8")))
+                size += len(held[-1][1])
+                if size > 200_000:
+                    total, size = merged(), 0
+        if held or total is not None:
+            total = merged()
+            for b in total.combine_chunks().to_batches(10_000):
+                words = pa.array(np.fromiter((p.count(" ") + 1 if p else 0 for p in b.column(1).to_pylist()), np.int32, b.num_rows))
+                phrase = pa.compute.if_else(pa.compute.equal(b.column(1), ""), None, b.column(1))
+                yield pa.RecordBatch.from_arrays([b.column(0), phrase, words, b.column(2)], names=["lang", "phrase", "words", "n"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
+        held: dict[str, Counter] = {}
         for b in batches:
             for lang, text, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *((_unplaned(x["cells"]).astype(np.uint64) | (U64(x["slice"]) << U64(SLICE_BITS))) for x in own or [])]))
@@ -224,11 +268,14 @@ def unit_counts(src: DataFrame, cells: DataFrame, spec: Spec, bits: int) -> Data
                     automaton.make_automaton()
                     guarded = f" {string} ".replace("\n", " \n ")
                     n_of += np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(guarded)), np.int64), minlength=len(phrases))
-                total = single.total()
-                size = len(phrases) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * size), pa.array([*phrases, None], pa.string()), pa.array([*words, 0], pa.int32()), pa.array([*n_of.tolist(), total], pa.int64())], names=["lang", "phrase", "words", "n"])
+                held.setdefault(lang, Counter()).update(dict(zip(phrases, n_of.tolist(), strict=True)) | {"": single.total()})
+                if sum(map(len, held.values())) > 200_000:
+                    yield from packed(held)
+        if held:
+            yield from packed(held)
 
-    return both.mapInArrow(scan, "lang string, phrase string, words int, n bigint")
+    parts = both.mapInArrow(scan, "bucket bigint, lang string, phrases binary, counts binary")
+    return parts.repartition(buckets, "bucket").mapInArrow(merge, "lang string, phrase string, words int, n bigint")
 
 
 def frequent(docs: DataFrame, spec: Spec = Spec(), lang: str = "lang", text: str = "text") -> DataFrame:
@@ -239,7 +286,8 @@ def frequent(docs: DataFrame, spec: Spec = Spec(), lang: str = "lang", text: str
     size = src.agg(F.sum("size")).first()[0] or 0
     bits = SLICE_BITS + max(6, int(np.ceil(np.log2(max(1.0, size / 8) / (1 << SLICE_BITS)))))
     cells = candidate_cells(src, spec, min(bits, SLICE_BITS + 32))
-    counted = unit_counts(src, cells, spec, min(bits, SLICE_BITS + 32)).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 25)
+    counted = unit_counts(src, cells, spec, min(bits, SLICE_BITS + 32), buckets)
     out = saved(spark, counted.where(F.col("phrase").isNull() | (F.col("n") >= spec.least)), "runs")
     discard(src)
     return out
@@ -253,7 +301,7 @@ def scored(runs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     side = lambda lo, n: F.array_join(F.slice("w", lo, n), " ")
     cut = cut.select("lang", "phrase", "words", "a", "k", side(F.lit(1), F.col("k")).alias("left"), side(F.col("k") + 1, F.col("words") - F.col("k")).alias("right"))
     # Parts occur at least as often as the whole, so they are among the runs.
-    table = bounded(known.select("lang", "phrase", "n"))
+    table = known.select("lang", "phrase", "n")
     cut = cut.join(table.select("lang", F.col("phrase").alias("left"), F.col("n").alias("l")), ["lang", "left"])
     cut = cut.join(table.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r")), ["lang", "right"])
     score = F.expr(f"CAST({spec.scale} AS DECIMAL(8, 0)) * CAST(a AS DECIMAL(19, 0)) DIV (CAST(l AS DECIMAL(19, 0)) + CAST(r AS DECIMAL(19, 0)))")
