@@ -70,9 +70,6 @@ def trash_images(lib: Library, ids: list[int], send: Callable[[str], bool | None
         gone.append((r.image_id,))
     if gone:
         left = lib.spark.createDataFrame(gone, "image_id bigint")
-        touched = [r[0] for r in lib.table("faces").join(F.broadcast(left), "image_id").where("person_id >= 0").select("person_id").distinct().collect()]
-        lib.remove_images(left)
-        if touched:
-            People(lib)._commit(lib.table("faces"), lib.table("people"), tuple(touched))
+        People(lib).remove_images(left)
         out["removed"] = len(gone)
     return out

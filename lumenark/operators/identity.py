@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..library import Library, NotFound, changed
+from ..library import Library, NotFound, Snapshot, changed
 from ..schemas import UNASSIGNED
 from ..shipping import ship
 from . import vectors
@@ -264,20 +264,33 @@ def merged(faces: DataFrame, source: int, target: int) -> DataFrame:
 
 
 class People:
-    """Mutations on people and their faces; each is one commit, with the denormalised lists brought up to date."""
+    """Mutations on people and their faces; each is one commit, which writes the buckets of the touched faces, their images and the people alone."""
 
     def __init__(self, library: Library):
         self.lib, self.spark = library, library.spark
 
-    def _commit(self, faces: DataFrame, people: DataFrame, recompute: tuple[int, ...] = ()) -> None:
-        if recompute:
-            made = centroids(faces.where(F.col("person_id").isin(*recompute))).select("person_id", F.col("centroid").alias("c"), F.col("face_count").alias("n"), F.col("cover_face_id").alias("f"))
-            df = people.join(made, "person_id", "left")
-            mine = F.col("person_id").isin(*recompute)
-            # A person who lost all faces keeps the old centroid.
-            new = {"centroid": F.coalesce(F.col("c").cast("array<float>"), "centroid"), "face_count": F.coalesce(F.col("n").cast("int"), F.lit(0)), "cover_face_id": F.coalesce("f", F.lit(-1).cast("bigint"))}
-            people = df.select(*[F.when(mine, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in people.columns])
-        self.lib.commit({"faces": faces, "people": people, "images": denormalised(self.lib.table("images"), faces)})
+    def commit_faces(self, at: Snapshot, hit: Column, values: dict[str, Column], recompute: tuple[int, ...] = (), gone: int | None = None, made: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        """Faces where `hit` holds get new values (or, removed: the faces of these images go, with all rows of them); lists of people of their images and the people to recompute follow; a person goes or is made."""
+        which = at.touched("faces", removed if removed is not None else hit)
+        patched = self.lib.parts_without(at, removed, ["images", "faces", "ocr", "album_items"]) if removed is not None else {}
+        if which != [] and removed is None:
+            faces = changed(at.table("faces", buckets=which), hit, values)
+            patched["faces"] = which, faces
+            shared = which if at.buckets("images") == at.buckets("faces") else None
+            # Faces of an image are in its bucket.
+            patched["images"] = shared, denormalised(at.table("images", buckets=shared), faces if shared is not None or which is None else patched_table(at, "faces", which, faces))
+        added = {"people": made} if made is not None else {}
+        mine = sorted({*recompute} | ({gone} if gone is not None else set()))
+        if mine:
+            where = at.touched("people", self.spark.createDataFrame([(i,) for i in mine], "person_id int"))
+            people = at.table("people", buckets=where)
+            if made is not None:  # a new person is counted with the others, in one write
+                fresh = at.touched("people", made)
+                where = None if where is None else sorted({*where, *fresh})
+                people, added = at.table("people", buckets=where).unionByName(made, allowMissingColumns=True), {}
+            now = patched_table(at, "faces", *patched["faces"]) if "faces" in patched else at.table("faces")
+            patched["people"] = where, recounted(people if gone is None else people.where(F.col("person_id") != gone), now, recompute)
+        self.lib.commit({}, added=added, patched=patched, at=at, unchanged=("faces", "people") if mine or made is not None else ("faces",))
 
     def _need(self, person_id: int) -> None:
         self.lib.row("people", "person_id", person_id, ("person_id",))
@@ -290,46 +303,76 @@ class People:
         self._need(person_id)
         self.lib.update("people", F.col("person_id") == person_id, {"hidden": F.lit(hidden)})
 
+    def _fresh(self, at: Snapshot, name: str) -> tuple[int, DataFrame]:
+        top = at.table("people").agg(F.max("person_id")).first()[0]
+        new = 0 if top is None else top + 1
+        return new, self.spark.range(1).select(F.lit(new).alias("person_id"), F.lit(name.strip()).alias("name"), F.lit(0).alias("face_count"), F.lit(-1).cast("bigint").alias("cover_face_id"), F.localtimestamp().alias("created_at"), F.lit(False).alias("hidden"))
+
     def create(self, name: str = "") -> int:
-        new = self.lib.next_id("people", "person_id")
-        row = self.spark.range(1).select(F.lit(new).alias("person_id"), F.lit(name.strip()).alias("name"), F.lit(0).alias("face_count"), F.lit(-1).alias("cover_face_id"), F.localtimestamp().alias("created_at"), F.lit(False).alias("hidden"))
-        self.lib.append({"people": row})
+        at = self.lib.snapshot()
+        new, row = self._fresh(at, name)
+        self.lib.append({"people": row}, at=at, unchanged=("people",))
         return new
 
     def merge(self, source: int, target: int) -> None:
         if source == target:
             raise ValueError("a person cannot be merged with itself")
+        at = self.lib.snapshot()
         self._need(source), self._need(target)
-        self._commit(merged(self.lib.table("faces"), source, target), self.lib.table("people").where(F.col("person_id") != source), (target,))
+        self.commit_faces(at, F.col("person_id") == source, {"person_id": F.lit(target).cast("int")}, (target,), gone=source)
 
     def delete(self, person_id: int) -> list[int]:
         """Faces become unassigned; the images it was on."""
+        at = self.lib.snapshot()
         self._need(person_id)
-        images = sorted(r[0] for r in self.lib.table("faces").where(F.col("person_id") == person_id).select("image_id").distinct().collect())
-        faces = self.lib.updated("faces", F.col("person_id") == person_id, {"person_id": F.lit(UNASSIGNED)})
-        self._commit(faces, self.lib.table("people").where(F.col("person_id") != person_id))
+        images = sorted(r[0] for r in at.table("faces").where(F.col("person_id") == person_id).select("image_id").distinct().collect())
+        self.commit_faces(at, F.col("person_id") == person_id, {"person_id": F.lit(UNASSIGNED)}, gone=person_id)
         return images
 
     def assign(self, face_ids: list[int], person_id: int | None = None, name: str = "") -> int:
         """Confirms faces as a person's, an existing or a new one."""
-        hit = F.col("face_id").isin(*face_ids)
-        old = [r[0] for r in self.lib.table("faces").where(hit).select("person_id").distinct().collect()]
+        at, hit = self.lib.snapshot(), F.col("face_id").isin(*face_ids)
+        old = [r[0] for r in at.table("faces").where(hit).select("person_id").distinct().collect()]
         if not old:
             raise NotFound("faces")
+        made = None
         if person_id is None:
-            person_id = self.create(name)
-        self._need(person_id)
-        faces = self.lib.updated("faces", hit, {"person_id": F.lit(person_id), "confirmed": F.lit(True)})
-        self._commit(faces, self.lib.table("people"), tuple({*old, person_id} - {UNASSIGNED}))
+            person_id, made = self._fresh(at, name)
+        else:
+            self._need(person_id)
+        self.commit_faces(at, hit, {"person_id": F.lit(person_id), "confirmed": F.lit(True)}, tuple({*old, person_id} - {UNASSIGNED}), made=made)
         return person_id
 
     def detach(self, face_ids: list[int]) -> None:
         """Faces that are nobody's, and stay so."""
-        hit = F.col("face_id").isin(*face_ids)
-        old = [r[0] for r in self.lib.table("faces").where(hit).select("person_id").distinct().collect()]
-        faces = self.lib.updated("faces", hit, {"person_id": F.lit(UNASSIGNED), "confirmed": F.lit(True)})
-        self._commit(faces, self.lib.table("people"), tuple({*old} - {UNASSIGNED}))
+        at, hit = self.lib.snapshot(), F.col("face_id").isin(*face_ids)
+        old = [r[0] for r in at.table("faces").where(hit).select("person_id").distinct().collect()]
+        self.commit_faces(at, hit, {"person_id": F.lit(UNASSIGNED), "confirmed": F.lit(True)}, tuple({*old} - {UNASSIGNED}))
+
+    def remove_images(self, ids: DataFrame) -> None:
+        """Images with all their rows; people on them are counted anew, in the same commit."""
+        at = self.lib.snapshot()
+        touched = [r[0] for r in at.table("faces").join(F.broadcast(ids), "image_id").where("person_id >= 0").select("person_id").distinct().collect()]
+        self.commit_faces(at, F.lit(True), {}, tuple(touched), removed=ids)
 
     def recluster(self, **kw) -> None:
-        made = recluster(self.lib.table("faces"), self.lib.table("people"), **kw)
-        self.lib.commit({"faces": made.faces, "people": made.people, "images": denormalised(self.lib.table("images"), made.faces)})
+        at = self.lib.snapshot()
+        made = recluster(at.table("faces"), at.table("people"), **kw)
+        self.lib.commit({"faces": made.faces, "people": made.people, "images": denormalised(at.table("images"), made.faces)}, at=at)
+
+
+def patched_table(at: Snapshot, name: str, which: list[int] | None, rows: DataFrame) -> DataFrame:
+    """A table with new rows in some buckets."""
+    rest = [] if which is None else [b for b in range(at.buckets(name)) if b not in which]
+    return rows.unionByName(at.table(name, buckets=rest)) if rest else rows
+
+
+def recounted(people: DataFrame, faces: DataFrame, ids: tuple[int, ...]) -> DataFrame:
+    """People with the centroids, counts and covers of their faces made anew for some; one who lost all faces keeps the old centroid."""
+    if not ids:
+        return people
+    mine = F.col("person_id").isin(*ids)
+    made = centroids(faces.where(mine)).select("person_id", F.col("centroid").alias("c"), F.col("face_count").alias("n"), F.col("cover_face_id").alias("f"))
+    df = people.join(made, "person_id", "left")
+    new = {"centroid": F.coalesce(F.col("c").cast("array<float>"), "centroid"), "face_count": F.coalesce(F.col("n").cast("int"), F.lit(0)), "cover_face_id": F.coalesce("f", F.lit(-1).cast("bigint"))}
+    return df.select(*[F.when(mine, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in people.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import backends, metadata
 from ..functions import parsing as P
-from ..library import Library
+from ..library import Library, without
 from ..operators import identity
 from ..sources.media import changes, is_video, media_files
 from ..storage import saved
@@ -25,7 +25,8 @@ def upsert_plan(found: DataFrame, known: DataFrame, prune: bool = False, root: s
 
 def ingest(library: Library, found: DataFrame, to_rows: Callable[[DataFrame], dict[str, DataFrame]], prune: bool = False, root: str | None = None) -> dict[str, int]:
     """One incremental pass. to_rows makes the rows of each table from new files, without image ids."""
-    known = library.table("images", ("image_id", "path", "file_size", "mtime"))
+    at = library.snapshot()
+    known = at.table("images", ("image_id", "path", "file_size", "mtime"))
     todo, stale = upsert_plan(found, known, prune, root)
     todo, stale = todo.cache(), stale.cache()
     counts = {"added": todo.count(), "removed": stale.count()}
@@ -33,7 +34,7 @@ def ingest(library: Library, found: DataFrame, to_rows: Callable[[DataFrame], di
     if rows:
         rows = rows | {"images": library.allocate(rows["images"], "images", "image_id")}
     if rows or counts["removed"]:
-        library.replace_images(stale if counts["removed"] else None, rows)
+        library.replace_images(stale if counts["removed"] else None, rows, at=at)
     todo.unpersist(), stale.unpersist()
     return counts
 
@@ -60,8 +61,8 @@ def index_directory(library: Library, root: str, make_embedder, make_faces, prun
     Contents are read for those files alone, several times rather than kept. Faces go to
     people in order of image, in one task; its state is people, not faces.
     """
-    spark = library.spark
-    todo, stale = upsert_plan(media_files(spark, root), library.table("images", ("image_id", "path", "file_size", "mtime")), prune, root)
+    spark, at = library.spark, library.snapshot()
+    todo, stale = upsert_plan(media_files(spark, root), at.table("images", ("image_id", "path", "file_size", "mtime")), prune, root)
     todo, stale = saved(spark, todo, "todo"), saved(spark, stale, "stale")
     counts = {"added": 0, "removed": stale.count(), "faces": 0, "people_created": 0}
     files = media_files(spark, root, content=True).join(todo.select("path"), "path", "left_semi")
@@ -71,15 +72,18 @@ def index_directory(library: Library, root: str, make_embedder, make_faces, prun
     counts |= {"added": rows.count(), "faces": found.count()}
     if not (counts["added"] or counts["removed"]):
         return counts
-    old_faces = library.without("faces", stale, "image_id")
-    people = library.table("people")
+    old_faces = without(at.table("faces"), stale, "image_id")
+    people = at.table("people")
     states = saved(spark, identity.assign_states(found, people, old_faces.where("person_id >= 0"), library.next_id("people", "person_id")), "states")
     given = found.join(states.where("face_id IS NOT NULL").select("face_id", "person_id"), "face_id").withColumns({"confirmed": F.lit(False), "crop_path": F.lit("")})
     counts["people_created"] = states.where("fresh").count()
     of_image = identity.people_of_images(given)
     images = rows.join(of_image, "image_id", "left").withColumns({"people_ids": F.coalesce("people_ids", F.array().cast("array<int>")), "face_count": F.coalesce("face_count", F.lit(0))})
-    gone = {t: library.without(t, stale, "image_id") for t in ("images", "faces", "ocr") if counts["removed"] and library.has(t)}
-    library.commit(gone | {"people": identity.flushed(people, states)}, added={"images": images, "faces": given})
+    gone = library.parts_without(at, stale, ["images", "faces", "ocr"]) if counts["removed"] else {}
+    changed = states.where("face_id IS NULL").select("person_id").distinct()
+    if (which := at.touched("people", changed)) != []:
+        gone["people"] = which, identity.flushed(at.table("people", buckets=which), states)
+    library.commit({}, added={"images": images, "faces": given}, patched=gone, at=at, unchanged=("images", "faces", "people"))
     return counts
 
 
