@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +38,68 @@ def near_pairs(rows: DataFrame, max_distance: int = 6, id_: str = "image_id", ke
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), distance.alias("distance")).distinct()
 
 
+def _probes(max_distance: int) -> tuple[list[int], int]:
+    """Cuts of the 64 bits into parts, and the distance within which one part of any pair must agree (pigeonhole): four parts with up to 2 bits flipped, else one part more than the distance, equal."""
+    parts = 4 if max_distance < 12 else min(max_distance + 1, 64)
+    return [64 * i // parts for i in range(parts + 1)], max_distance // parts
+
+
+def _piece(h: str | Column, lo: int, hi: int) -> Column:
+    return F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
+
+
+def near_hashes(hashes: DataFrame, max_distance: int = 6, key: str = "phash", count: bool = False) -> DataFrame:
+    """(x, y, distance), x < y: all pairs of different hashes within the distance. hashes: may repeat; null and 0 take no part.
+
+    Each part of a hash is looked up together with its neighbours of up to `radius`
+    flipped bits, so keys stay long (16 bits at distance 6). A pair is made in the first
+    part that agrees only, so nothing has to be deduplicated. count: the pairs that meet, before distances are looked at.
+    """
+    cuts, radius = _probes(max_distance)
+    one = hashes.where(F.col(key).isNotNull() & (F.col(key) != 0)).select(F.col(key).alias("h")).distinct()
+    spans = list(zip(cuts, cuts[1:], strict=False))
+
+    def flips(width: int) -> list[int]:
+        out = [0]
+        for r in range(1, radius + 1):
+            out += [sum(1 << i for i in c) for c in combinations(range(width), r)]
+        return out
+
+    def around(p: int, lo: int, hi: int) -> Column:
+        return F.transform(F.array(*map(F.lit, flips(hi - lo))), lambda m: F.struct(F.lit(p).alias("part"), _piece("h", lo, hi).bitwiseXOR(m.cast("bigint")).alias("key")))
+
+    asked = F.flatten(F.array(*[around(p, lo, hi) for p, (lo, hi) in enumerate(spans)]))
+    kept = F.array(*[F.struct(F.lit(p).alias("part"), _piece("h", lo, hi).alias("key")) for p, (lo, hi) in enumerate(spans)])
+    x = one.select(F.col("h").alias("x"), F.explode(asked).alias("k")).select("x", "k.*")
+    y = one.select(F.col("h").alias("y"), F.explode(kept).alias("k")).select("y", "k.*")
+    met = x.join(y, ["part", "key"]).where("x < y")
+    if count:
+        return met
+    apart = F.col("x").bitwiseXOR(F.col("y"))
+    agrees = [F.bit_count(_piece(apart, lo, hi)) <= radius for lo, hi in spans]
+    first = F.lit(len(spans) - 1)
+    for p in reversed(range(len(spans) - 1)):
+        first = F.when(agrees[p], p).otherwise(first)
+    return met.where((F.bit_count(apart) <= max_distance) & (F.col("part") == first)).select("x", "y", F.bit_count(apart).alias("distance"))
+
+
 def exact_pairs(rows: DataFrame, max_distance: int = 6, id_: str = "image_id", key: str = "phash") -> DataFrame:
-    """All pairs within the distance: the bits are cut into max_distance + 1 parts, one of which must be equal (pigeonhole)."""
-    parts = min(max_distance + 1, 64)
-    cuts = [64 * i // parts for i in range(parts + 1)]
+    """(a, b, distance), a < b: all pairs of rows within the distance; equal hashes are one node until the end. `hash_groups` needs no pairs of rows."""
     src = rows.where(F.col(key).isNotNull() & (F.col(key) != 0)).select(F.col(id_).alias("id"), F.col(key).alias("h"))
-    piece = lambda lo, hi: F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
-    keyed = src.select("id", "h", F.posexplode(F.array(*[piece(lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False)])).alias("part", "key"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    distance = hamming(F.col("x.h"), F.col("y.h"))
-    pairs = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (distance <= max_distance))
-    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), distance.alias("distance")).distinct()
+    near = near_hashes(src, max_distance, "h")
+    left, right = src.select(F.col("id").alias("i"), F.col("h").alias("x")), src.select(F.col("id").alias("j"), F.col("h").alias("y"))
+    apart = near.join(left, "x").join(right, "y").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance").where("a <> b")
+    same = left.join(right, F.col("x") == F.col("y")).where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(0).alias("distance"))
+    return apart.unionByName(same)
+
+
+def hash_groups(rows: DataFrame, max_distance: int = 6, id_: str = "image_id", key: str = "phash") -> DataFrame:
+    """Groups that pairs within the distance connect, as of `groups`. Only different hashes meet; copies of one cost nothing."""
+    src = rows.where(F.col(key).isNotNull() & (F.col(key) != 0)).select(F.col(id_).alias("id"), F.col(key).alias("h"))
+    nodes = src.select(F.col("h").alias("node")).distinct()
+    of = with_components(nodes, near_hashes(src, max_distance, "h").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    got = src.join(of.select(F.col("node").alias("h"), "label"), "h").groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count("*").alias("n"))
+    return got.where("n > 1").select(F.element_at("ids", 1).alias("group_id"), "ids", "n")
 
 
 def groups(rows: DataFrame, pairs: DataFrame, id_: str = "image_id") -> DataFrame:
@@ -62,8 +115,8 @@ def duplicates(images: DataFrame, max_distance: int = 6, limit: int | None = Non
     same = exact_duplicates(images).select(F.lit("exact").alias("kind"), "ids")
     members = same.select(F.explode("ids").alias("image_id")).distinct()
     rest = images.join(members, "image_id", "left_anti")
-    pairs = (exact_pairs if exact else near_pairs)(images, max_distance)
-    near = groups(images, pairs).select("group_id", F.explode("ids").alias("image_id")).join(rest.select("image_id"), "image_id", "left_semi")
+    near = hash_groups(images, max_distance) if exact else groups(images, near_pairs(images, max_distance))
+    near = near.select("group_id", F.explode("ids").alias("image_id")).join(rest.select("image_id"), "image_id", "left_semi")
     near = near.groupBy("group_id").agg(F.array_sort(F.collect_list("image_id")).alias("ids")).where(F.size("ids") > 1).select(F.lit("near").alias("kind"), "ids")
     out = same.unionByName(near).orderBy("kind", F.element_at("ids", 1))
     return out.limit(limit) if limit else out

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..library import Library, NotFound, Snapshot, changed
 from ..schemas import UNASSIGNED
 from ..shipping import ship
+from ..storage import saved
 from . import vectors
 from .aggregates import centroids, photos_per_person
 from .graph import with_components
@@ -59,17 +60,30 @@ def person_suggestions(faces: DataFrame, centroid: list[float], limit: int = 60,
     return vectors.top_k(faces, centroid, limit, "face_id", allowed=allowed, min_score=min_similarity)
 
 
-def merge_suggestions(people: DataFrame, images: DataFrame, limit: int = 20, min_similarity: float = CLUSTER, dismissed: DataFrame | None = None) -> DataFrame:
-    """Pairs of visible people that look alike and never share a photo; the named, then the more photographed, then the older one is the target."""
+def merge_suggestions(people: DataFrame, images: DataFrame, limit: int = 20, min_similarity: float = CLUSTER, dismissed: DataFrame | None = None, broadcast_bytes: int = vectors.BROADCAST_BYTES) -> DataFrame:
+    """Pairs of visible people that look alike and never share a photo; the named, then the more photographed, then the older one is the target.
+
+    The most similar pairs are taken first, a few times the limit, and vetoes applied to
+    them alone. Only if too few are left are more taken, so pairs are never listed in full.
+    """
     zero = F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x) <= 0
     alive = people.where(~F.coalesce("hidden", F.lit(False)) & F.col("centroid").isNotNull() & ~zero)
-    near = vectors.knn(alive, k=1 << 30, threshold=min_similarity, id_="person_id", vector="centroid").where("a < b")
-    # Only candidate pairs are looked up in the photos; photo pairs are never made.
     sides = images.select("image_id", F.explode(F.col("people_ids").cast("array<bigint>")).alias("p"))
-    together = near.join(sides.withColumnRenamed("p", "a"), "a").select("a", "b", "image_id").join(sides.withColumnRenamed("p", "b"), ["b", "image_id"], "left_semi").select("a", "b").distinct()
-    pairs = near.join(together, ["a", "b"], "left_anti")
-    if dismissed is not None:
-        pairs = pairs.join(dismissed, ["a", "b"], "left_anti")
+    n = 8 * limit
+    while True:
+        near = saved(people.sparkSession, vectors.top_pairs(alive, n, min_similarity, "person_id", "centroid", broadcast_bytes), "pairs")
+        # Only candidate pairs are looked up in the photos; photo pairs are never made.
+        wanted = F.broadcast(near.select(F.explode(F.array("a", "b")).alias("p")).distinct())  # 2 n ids at most
+        few = sides.join(wanted, "p")
+        together = F.broadcast(near).join(few.withColumnRenamed("p", "a"), "a").select("a", "b", "image_id").join(few.withColumnRenamed("p", "b"), ["b", "image_id"], "left_semi").select("a", "b").distinct()
+        pairs = near.join(together, ["a", "b"], "left_anti")
+        if dismissed is not None:
+            pairs = pairs.join(dismissed, ["a", "b"], "left_anti")
+        pairs = saved(people.sparkSession, pairs, "pairs-left")
+        found, worst = near.agg(F.count("*"), F.min("score")).first()
+        if found < n or pairs.where(F.col("score") > worst).count() >= limit:  # what was not taken is no better
+            break
+        n *= 8
     photos = photos_per_person(images)
     who = people.join(photos, "person_id", "left").select(F.col("person_id").cast("bigint").alias("id"), F.struct((F.trim(F.coalesce("name", F.lit(""))) != "").alias("named"), F.coalesce("photos", F.lit(0)).alias("photos"), (-F.col("person_id")).alias("old")).alias("rank"))
     both = pairs.join(who.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(who.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
@@ -98,7 +112,6 @@ def recluster(faces: DataFrame, people: DataFrame, k: int = NEIGHBOURS, threshol
     centroid and the cover, or all faces where none is usable.
     """
     spark = faces.sparkSession
-    from ..storage import saved
 
     labelled = faces.join(mutual_knn_clusters(faces, k, threshold), "face_id")
     confirmed = F.coalesce("confirmed", F.lit(False)) & F.lit(respect_confirmed)

@@ -137,6 +137,57 @@ def knn(rows: DataFrame, k: int = 20, threshold: float = 0.42, id_: str = "image
     return part.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 
 
+def _top(held: pd.DataFrame, n: int) -> pd.DataFrame:
+    return held.sort_values(["score", "a", "b"], ascending=[False, True, True]).head(n)
+
+
+def _top_pairs(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.ndarray, n: int, threshold: float, held: pd.DataFrame) -> pd.DataFrame:
+    """The best n pairs a < b of held and new ones. The threshold rises to the worst of n, so few pairs are made."""
+    parts, size = [held], len(held)
+    for lo in range(0, len(ids) if len(other) else 0, BLOCK):
+        s = np.round(x[lo : lo + BLOCK] @ other.T, PLACES)
+        r, c = np.nonzero((s >= threshold) & (ids[lo : lo + BLOCK, None] < other_ids[None, :]))
+        parts.append(pd.DataFrame({"a": ids[lo + r], "b": other_ids[c], "score": s[r, c]}))
+        size += len(r)
+        if size > 2 * n:
+            parts = [_top(pd.concat(parts), n)]
+            size, threshold = n, max(threshold, float(parts[0]["score"].iloc[-1]))
+    return _top(pd.concat(parts), n)
+
+
+def top_pairs(rows: DataFrame, n: int, threshold: float, id_: str = "image_id", vector: str = "vector", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(a, b, score): the n most similar pairs of rows, a < b; ties by ids. Each task keeps n pairs, so pairs are never listed in full."""
+    spark: SparkSession = rows.sparkSession
+    ship(spark)
+    src = rows.where(F.col(vector).isNotNull()).select(F.col(id_).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    stat = src.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    schema = "a bigint, b bigint, score double"
+    none = pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64"), "score": np.zeros(0)})
+    if stat[0] * stat[1] * 8 <= broadcast_bytes:
+        local = src.toPandas()
+        sent = spark.sparkContext.broadcast((local["id"].to_numpy(), _unit(local["v"])))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, least = none, threshold
+            for b in batches:
+                held = _top_pairs(b["id"].to_numpy(), _unit(b["v"]), *sent.value, n, least, held)
+                least = max(threshold, float(held["score"].iloc[-1])) if len(held) == n else threshold
+            yield held
+
+        part = src.mapInPandas(run, schema)
+    else:
+        m = max(2, int(-(-stat[0] * stat[1] * 8 // (broadcast_bytes // 4))))
+        block = src.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int"))
+        left = block.select("id", "v", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
+        right = block.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), F.col("block").alias("j"))
+
+        def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            return _top_pairs(x["id"].to_numpy(), _unit(x["v"]), y["id"].to_numpy(), _unit(y["v"]), n, threshold, none)
+
+        part = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(pair, schema)
+    return part.orderBy(F.desc("score"), "a", "b").limit(n)
+
+
 def mutual(edges: DataFrame) -> DataFrame:
     """Edges that exist in both directions, once, a < b."""
     return edges.alias("x").join(edges.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).where("x.a < x.b").select("x.a", "x.b", "x.score")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import library as LB
+from ..functions import fingerprints as FP
 from ..functions import parsing as P
 from ..functions.backends import StubEmbedder
 from ..operators import aggregates as A
@@ -19,6 +20,7 @@ from ..operators import duplicates as D
 from ..operators import identity as I
 from ..operators import vectors as V
 from ..sources import media as M
+from ..storage import saved
 from ..streaming import ingest as S
 from . import views as W
 
@@ -471,16 +473,32 @@ def duplicates_listing(spark, d):
     return D.duplicates(docs.join(_hashes(spark, d), "image_id"), 2, exact=True)
 
 
-@_query()
+def _prints(spark, d):
+    """Fingerprints of the texts of all documents."""
+    return saved(spark, FP.text_prints(W.table(spark, d, "documents").withColumnRenamed("doc_id", "image_id"), "image_id", "text"), "prints")
+
+
+_PRINTS = r"""words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents), bits AS (SELECT doc_id, i, count(*) AS n, count(*) FILTER (WHERE ((strpos('0123456789abcdef', substr(m, 17 + CAST(i // 4 AS INT), 1)) - 1) & (8 >> CAST(i % 4 AS INT))) <> 0) AS ones FROM (SELECT doc_id, md5(w) AS m FROM words), range(64) r(i) GROUP BY doc_id, i),
+prints AS (SELECT doc_id AS image_id, CAST(CASE WHEN s >= 9223372036854775808 THEN s - 18446744073709551616 ELSE s END AS BIGINT) AS phash FROM (SELECT doc_id, sum(CASE WHEN 2 * ones > n THEN CAST(1 AS HUGEINT) << CAST(63 - i AS INT) ELSE 0 END)::HUGEINT AS s FROM bits GROUP BY doc_id))"""
+_PRINT_EDGES = f"{_PRINTS}, h AS (SELECT DISTINCT phash FROM prints WHERE phash <> 0), e AS MATERIALIZED (SELECT x.phash AS a, y.phash AS b FROM h x JOIN h y ON x.phash <> y.phash AND bit_count(xor(x.phash, y.phash)) <= 6), reach(n, m) AS (SELECT phash, phash FROM h UNION SELECT r.n, e.b FROM reach r JOIN e ON r.m = e.a), label AS (SELECT n AS phash, min(m) AS label FROM reach GROUP BY n), g AS (SELECT image_id, label FROM prints JOIN label USING (phash))"
+
+
+@_query(f"WITH {_PRINTS} SELECT x.image_id AS a, y.image_id AS b, CAST(bit_count(xor(x.phash, y.phash)) AS INT) AS distance FROM prints x JOIN prints y ON x.image_id < y.image_id WHERE x.phash <> 0 AND y.phash <> 0 AND bit_count(xor(x.phash, y.phash)) <= 6")
 def near_duplicate_pairs_whole(spark, d):
     """At the operator's own distance, whatever the buckets hold."""
-    return D.exact_pairs(_hashes(spark, d))
+    return D.exact_pairs(_prints(spark, d))
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_PRINT_EDGES} SELECT min(image_id) AS group_id, list_sort(list(image_id)) AS ids, count(*) AS n FROM g GROUP BY label HAVING count(*) > 1")
 def near_duplicate_groups_whole(spark, d):
-    h = _hashes(spark, d)
-    return D.groups(h, D.exact_pairs(h))
+    return D.hash_groups(_prints(spark, d))
+
+
+@_query(f"WITH RECURSIVE {_PRINT_EDGES}, ex AS (SELECT list_sort(list(doc_id)) AS ids FROM documents GROUP BY sha256(text) HAVING count(*) > 1), mem AS (SELECT unnest(ids) AS i FROM ex) SELECT 'exact' AS kind, ids FROM ex UNION ALL SELECT 'near', list_sort(list(image_id)) FROM g WHERE image_id NOT IN (SELECT i FROM mem) GROUP BY label HAVING count(*) > 1")
+def duplicates_listing_whole(spark, d):
+    """Exact groups, then near groups at the operator's own distance."""
+    docs = W.table(spark, d, "documents").select(F.col("doc_id").alias("image_id"), P.content_key(F.col("text")).alias("content_hash"))
+    return D.duplicates(docs.join(_prints(spark, d), "image_id"), exact=True)
 
 
 # Mutations, as the next version of a table.
