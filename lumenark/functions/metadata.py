@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import parsing as P
+from .containers import heif_parts, video_facts, webp_parts
 
 # Numbers of TIFF tags.
 MAKE, MODEL, ORIENTATION, CHANGED, EXIF_PART, GPS_PART = 0x010F, 0x0110, 0x0112, 0x0132, 0x8769, 0x8825
@@ -20,7 +21,7 @@ LAT_REF, LAT, LON_REF, LON = 1, 2, 3, 4
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 READS = {1: "B", 3: "H", 4: "I", 9: "i"}
 
-TAGS = "path string, make string, model string, original string, digitized string, changed string, orientation int, lat array<double>, lat_ref string, lon array<double>, lon_ref string, width int, height int"
+TAGS = "path string, make string, model string, original string, digitized string, changed string, orientation int, lat array<double>, lat_ref string, lon array<double>, lon_ref string, width int, height int, created string, duration_ms bigint"
 
 
 def _directory(data: bytes, at: int, order: str) -> dict[int, object]:
@@ -83,7 +84,7 @@ def _png(data: bytes) -> dict[str, object]:
 
 
 def picture_tags(data: bytes) -> dict[str, object]:
-    """Tags and size of a picture of a known format. Sizes are those shown: exchanged where the picture lies on its side."""
+    """Tags and size of a picture or video of a known format. Sizes are those shown: exchanged where the picture lies on its side."""
     if data[:2] == b"\xff\xd8":
         out = _jpeg(data)
     elif data[:8] == b"\x89PNG\r\n\x1a\n":
@@ -93,8 +94,15 @@ def picture_tags(data: bytes) -> dict[str, object]:
     elif data[:2] == b"BM":
         w, h = struct.unpack_from("<ii", data, 18)
         out = {"width": w, "height": abs(h)}
+    elif data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        block, size = webp_parts(data)
+        out = tiff_tags(block) | size
+    elif data[4:8] == b"ftyp":
+        block, size = heif_parts(data)
+        # A turned picture says so in its boxes: its tags are not followed a second time.
+        out = (tiff_tags(block) | {"orientation": None} | size) if size or block else video_facts(data)
     else:
-        out = tiff_tags(data)
+        out = tiff_tags(data) or video_facts(data)
     if out.get("orientation") in (5, 6, 7, 8) and "width" in out:
         out["width"], out["height"] = out["height"], out["width"]
     return out
@@ -115,20 +123,20 @@ def read_tags(files: DataFrame) -> DataFrame:
                     got = {}
                 rows.append([path, *(got.get(n) for n in names[1:])])
             df = pd.DataFrame(rows, columns=names)
-            yield df.astype({c: "Int32" for c in ("orientation", "width", "height")})
+            yield df.astype({c: "Int32" for c in ("orientation", "width", "height")} | {"duration_ms": "Int64"})
 
     return files.select("path", "content").mapInPandas(run, TAGS)
 
 
 def metadata(tags: DataFrame) -> DataFrame:
-    """path, taken_at, lat, lon, camera, width, height. The first good date counts: original, digitized, changed, the file's name."""
+    """path, taken_at, lat, lon, camera, width, height, duration_ms. The first good date counts: original, digitized, changed, a video's own (UTC), the file's name."""
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/\\]*)$", 1), r"\.[^.]*$", "")
-    taken = F.coalesce(*(P.exif_date(F.col(c)) for c in ("original", "digitized", "changed")), P.sane(P.filename_date(stem)))
+    taken = F.coalesce(*(P.exif_date(F.col(c)) for c in ("original", "digitized", "changed", "created")), P.sane(P.filename_date(stem)))
 
     def degrees(c: str, ref: str):
         part = lambda i: F.coalesce(F.try_element_at(c, F.lit(i)), F.lit(0.0))
         return F.when(F.try_element_at(c, F.lit(1)).isNotNull(), P.dms(part(1), part(2), part(3), F.coalesce(ref, F.lit(""))))
 
-    df = tags.select("path", taken.alias("taken_at"), degrees("lat", "lat_ref").alias("lat"), degrees("lon", "lon_ref").alias("lon"), P.camera(F.col("make"), F.col("model")).alias("camera"), "width", "height")
+    df = tags.select("path", taken.alias("taken_at"), degrees("lat", "lat_ref").alias("lat"), degrees("lon", "lon_ref").alias("lon"), P.camera(F.col("make"), F.col("model")).alias("camera"), "width", "height", "duration_ms")
     ok = P.valid_coordinates(F.col("lat"), F.col("lon"))
     return df.withColumns({"lat": F.when(ok, F.col("lat")), "lon": F.when(ok, F.col("lon"))})

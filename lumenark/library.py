@@ -29,6 +29,9 @@ from .schemas import CORE_TABLES, LAZY_TABLES, MEDIA_DEFAULTS, SCHEMA_VERSION, s
 #: What tables are dealt by; meta is a few rows in one folder.
 KEYS = {"images": "image_id", "faces": "image_id", "ocr": "image_id", "album_items": "image_id", "people": "person_id", "albums": "album_id"}
 BUCKETS, BUCKET = 16, "__bucket"
+#: How files are sorted, so that statistics of row groups skip most of them, and which other columns get bloom filters for lookups of one value.
+SORTED = {"images": "image_id", "faces": "person_id", "ocr": "image_id", "album_items": "album_id"}
+LOOKUPS = {"images": ("path", "content_hash"), "faces": ("face_id", "image_id")}
 #: Seconds after which a folder that no commit names, or a pointer file without its end, belongs to a writer that is gone.
 GRACE = 24 * 3600.0
 
@@ -148,7 +151,11 @@ class Library:
             out.write.parquet(at)
             return [folder]
         # Rows of a bucket meet in few files; large buckets are split, small ones share a task.
-        out.withColumn(BUCKET, bucket(KEYS[name], buckets)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(at)
+        dealt = out.withColumn(BUCKET, bucket(KEYS[name], buckets)).hint("rebalance", BUCKET)
+        writer = dealt.sortWithinPartitions(BUCKET, SORTED.get(name, KEYS[name])).write
+        for c in LOOKUPS.get(name, ()):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.enable.dictionary#{c}", "false")
+        writer.partitionBy(BUCKET).parquet(at)
         return sorted(f"{folder}/{s.getPath().getName()}" for s in self._fs.listStatus(self._path(at)) if s.isDirectory() and s.getPath().getName().startswith(BUCKET))
 
     def commit(self, tables: dict[str, DataFrame], drop: tuple[str, ...] = (), added: dict[str, DataFrame] | None = None, patched: dict[str, tuple[list[int] | None, DataFrame]] | None = None, at: Snapshot | None = None, unchanged: tuple[str, ...] = ()) -> None:

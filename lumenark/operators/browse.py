@@ -20,6 +20,11 @@ def _naive(t: datetime) -> datetime:
     return t.astimezone(timezone.utc).replace(tzinfo=None) if t.tzinfo else t
 
 
+def parse_bound(text: str) -> datetime:
+    """A date or time as text, with `Z`, an offset or none (UTC)."""
+    return _naive(datetime.fromisoformat(text.strip()))
+
+
 def folder_key(c: Column) -> Column:
     return F.rtrim(F.translate(F.coalesce(c, F.lit("")), "\\", "/"), F.lit("/"))
 

@@ -1,4 +1,4 @@
-"""Vector search: exact masked top-k, blocked all-pairs kNN, a cell index.
+"""Vector search: exact masked top-k, all-pairs kNN by blocks or by bounded cells, best pairs, a cell index.
 
 Ranks and thresholds go by the whole score (12 places, so that the order of a sum makes
 no ties or breaks them); 4 places are shown.
@@ -7,6 +7,7 @@ no ties or breaks them); 4 places are shown.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -101,40 +102,123 @@ def _unit(column) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def knn(rows: DataFrame, k: int = 20, threshold: float = 0.42, id_: str = "image_id", vector: str = "vector", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(a, b, score): the k most similar other rows of each row, at least as similar as the threshold; ties by id.
+def fit_cells(x: np.ndarray, k: int, seed: int = 1, rounds: int = 12) -> np.ndarray:
+    """Directions of at most k cells of unit vectors."""
+    k = min(k, len(x)) or 1
+    centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)] if len(x) else np.zeros((1, 1))
+    for _ in range(rounds if len(x) else 0):
+        at = (x @ centres.T).argmax(1)
+        for c in np.unique(at):
+            m = x[at == c].mean(0)
+            centres[c] = m / max(np.linalg.norm(m), 1e-12)
+    return centres
+
+
+@dataclass
+class CellJoin:
+    """edges of `knn`; of all pairs of cells that hold rows, how many were looked at."""
+
+    edges: DataFrame
+    pairs: int
+    made: int
+
+
+def knn_by_cells(rows: DataFrame, k: int = 20, threshold: float = 0.42, id_: str = "image_id", vector: str = "vector", cells: int | None = None, sample: int = 20_000, part_rows: int = 4096) -> CellJoin:
+    """The exact edges of `knn` for tables that cannot be broadcast.
 
-    Blocks are multiplied as matrices. A small side is broadcast; beyond the bound, rows
-    are dealt into blocks, each pair of blocks is one task's work, and only its best k
-    per row go on.
+    Rows are dealt into cells by direction (centres fitted on at most `sample` rows), large
+    cells into parts of about `part_rows`. Each cell is first joined with itself. Then a
+    pair of cells is joined only if the best cosine that their centres and widths allow
+    reaches the threshold and the worst k-th score that the first cell has so far. A task
+    has two parts; what reaches the driver are centres, and widths of cells. Vectors without
+    a direction are a cell of their own that meets all, or have no edge above 0.
     """
     spark: SparkSession = rows.sparkSession
     ship(spark)
     src = rows.where(F.col(vector).isNotNull()).select(F.col(id_).cast("bigint").alias("id"), F.col(vector).alias("v"))
-    stat = src.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    n = src.count()
     schema = "a bigint, b bigint, score double"
-    if stat[0] * stat[1] * 8 <= broadcast_bytes:
-        local = src.toPandas().sort_values("id")
-        sent = spark.sparkContext.broadcast((local["id"].to_numpy(), _unit(local["v"])))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, x = sent.value
-            for b in batches:
-                if len(b):
-                    yield _best(b["id"].to_numpy(), _unit(b["v"]), ids, x, k, threshold)
+    if not n:
+        return CellJoin(spark.createDataFrame([], schema), 0, 0)
+    centres = fit_cells(_unit(src.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()["v"]), cells or min(ivf_params(n, 8)[0], 1024))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = _unit(b["v"])
+                s, none = x @ centres.T, ~x.any(1)
+                d = b.assign(cell=np.where(none, len(centres), s.argmax(1)).astype("int32"), near=np.where(none, -1.0, s.max(1)))
+                yield d[~none] if threshold > 0 else d
+
+    dealt = saved(spark, src.mapInPandas(deal, f"id bigint, v {dict(src.dtypes)['v']}, cell int, near double"), "dealt")
+    stat = {r.cell: (r.n, r.low) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("low")).collect()}  # a row a cell
+    there = np.array(sorted(stat), int)
+    width = np.arccos(np.clip([stat[c][1] for c in there], -1, 1)) + 1e-7
+    parts = {int(c): -(-stat[c][0] // part_rows) for c in there}
+    at = np.concatenate([centres, np.zeros_like(centres[:1])])[there]
+    between = np.arccos(np.clip(at @ at.T, -1, 1)) - 1e-7
+    best = np.cos(np.maximum(between - width[:, None] - width[None, :], 0)) + 1e-9
+
+    def table(pairs: list[tuple[int, int]], of: int) -> DataFrame:
+        """Cells with their own parts and, of each partner, number and parts."""
+        lists: dict[int, list[tuple[int, int]]] = {}
+        for p in pairs:
+            lists.setdefault(p[of], []).append((p[1 - of], parts[p[1 - of]]))
+        return spark.createDataFrame([(c, parts[c], x) for c, x in sorted(lists.items())], "cell int, m int, partners array<struct<c: int, m: int>>")
+
+    def joined(pairs: list[tuple[int, int]]) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
+        names = lambda of: [f"{c}{of}" for c in ("id", "v", "i", "ip", "j", "jp")]
+
+        def side(of: int) -> DataFrame:
+            other = dealt.join(table(pairs, of), "cell").select("id", "v", F.col("cell").alias("c0"), part.alias("p0"), F.explode("partners").alias("o"))
+            mine, theirs = ("c0", "p0"), ("o.c", "q")
+            x, y = (mine, theirs) if of == 0 else (theirs, mine)
+            other = other.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("o.m") - 1)))
+            return other.select("id", "v", *x, *y).toDF(*names(of))
 
-        return src.mapInPandas(run, schema)
-    n = max(2, int(-(-stat[0] * stat[1] * 8 // (broadcast_bytes // 4))))
-    block = src.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    left = block.select("id", "v", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    right = block.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.col("block").alias("j"))
+        def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            return _best(x["id0"].to_numpy(), _unit(x["v0"]), y["id1"].to_numpy(), _unit(y["v1"]), k, threshold)
 
-    def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return _best(x["id"].to_numpy(), _unit(x["v"]), y["id"].to_numpy(), _unit(y["v"]), k, threshold)
+        return side(0).groupBy(*names(0)[2:]).cogroup(side(1).groupBy(*names(1)[2:])).applyInPandas(pair, schema)
 
-    part = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(pair, schema)
     w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return part.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+    ranked = lambda df: df.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    own = saved(spark, ranked(joined([(int(c), int(c)) for c in there])), "own-edges")
+    full = own.where(F.col("n") == k).select(F.col("a").alias("id"), "score")
+    worst = dealt.select("id", "cell").join(full, "id", "left").groupBy("cell").agg(F.min(F.coalesce("score", F.lit(-2.0))).alias("s"))
+    need = {r.cell: max(threshold, r.s) for r in worst.collect()}  # a row a cell
+    least = np.array([need[c] for c in there])
+    np.fill_diagonal(best, -9.0)
+    more = [(int(there[i]), int(there[j])) for i, j in zip(*np.nonzero(best >= least[:, None]), strict=True)]
+    edges = own.drop("n")
+    if more:
+        edges = ranked(edges.unionByName(joined(more))).drop("n")
+    return CellJoin(edges, len(there) ** 2, len(there) + len(more))
+
+
+def knn(rows: DataFrame, k: int = 20, threshold: float = 0.42, id_: str = "image_id", vector: str = "vector", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(a, b, score): the k most similar other rows of each row, at least as similar as the threshold; ties by id.
+
+    Blocks are multiplied as matrices. A table of up to broadcast_bytes is broadcast; beyond
+    that rows meet by cells (`knn_by_cells`).
+    """
+    spark: SparkSession = rows.sparkSession
+    ship(spark)
+    src = rows.where(F.col(vector).isNotNull()).select(F.col(id_).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    stat = src.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    if stat[0] * stat[1] * 8 > broadcast_bytes:
+        return knn_by_cells(rows, k, threshold, id_, vector).edges
+    local = src.toPandas().sort_values("id")
+    sent = spark.sparkContext.broadcast((local["id"].to_numpy(), _unit(local["v"])))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x = sent.value
+        for b in batches:
+            if len(b):
+                yield _best(b["id"].to_numpy(), _unit(b["v"]), ids, x, k, threshold)
+
+    return src.mapInPandas(run, "a bigint, b bigint, score double")
 
 
 def _top(held: pd.DataFrame, n: int) -> pd.DataFrame:
@@ -203,15 +287,7 @@ class CellIndex:
         src = rows.where(F.col(vector).isNotNull()).select(id_, vector)
         n = src.count()
         x = _unit(src.orderBy(F.xxhash64(id_)).limit(sample).toPandas()[vector])
-        k = min(cells or ivf_params(n, x.shape[1])[0], len(x)) or 1
-        rng = np.random.default_rng(seed)
-        self.centres = x[rng.choice(len(x), k, replace=False)] if len(x) else np.zeros((1, 1))
-        for _ in range(12):
-            at = (x @ self.centres.T).argmax(1)
-            for c in range(k):
-                if (at == c).any():
-                    m = x[at == c].mean(0)
-                    self.centres[c] = m / max(np.linalg.norm(m), 1e-12)
+        self.centres = fit_cells(x, cells or ivf_params(n, x.shape[1])[0], seed)
         centres = self.centres
 
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

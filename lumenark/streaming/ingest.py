@@ -48,11 +48,11 @@ def ingest_stream(spark: SparkSession, library: Library, directory: str, schema:
 def image_rows(files: DataFrame, make_embedder) -> DataFrame:
     """Rows of images, but for ids and people, from files (path, file_size, mtime, content). Pictures that cannot be embedded give no row."""
     vectors = backends.embed_files(files, make_embedder).where("vector IS NOT NULL")
-    known = metadata.metadata(metadata.read_tags(files))
+    known = metadata.metadata(metadata.read_tags(files)).withColumn("duration_ms", F.coalesce("duration_ms", F.lit(0)))
     facts = files.select("path", "file_size", "mtime", P.content_key(F.col("content")).alias("content_hash"))
     name, folder = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"/[^/]*$", "")
     kind = F.when(is_video(F.col("path")), "video").otherwise("image")
-    return facts.join(vectors, "path").join(known, "path").select("*", name.alias("filename"), folder.alias("folder"), F.localtimestamp().alias("added_at"), kind.alias("media_type"), F.lit(0).cast("bigint").alias("duration_ms"), F.lit("").alias("place"))
+    return facts.join(vectors, "path").join(known, "path").select("*", name.alias("filename"), folder.alias("folder"), F.localtimestamp().alias("added_at"), kind.alias("media_type"), F.lit("").alias("place"))
 
 
 def index_directory(library: Library, root: str, make_embedder, make_faces, prune: bool = False) -> dict[str, int]:

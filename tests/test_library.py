@@ -144,10 +144,10 @@ def test_albums_cascade_and_curation(spark, lib):  # T9, T26
     who, what = albums.export_curation(lib.table("images"), lib.table("people"), lib.table("albums"), lib.table("album_items"))
     assert [(r.person_id, r.hashes) for r in who.collect()] == [(0, ["h0", "h1"])] and what.head().hashes == ["h0", "h1"]
     shared = albums.overlap(who, lib.table("images"))
-    matched = albums.match_people(shared)
-    assert matched == {0: 0}
+    assert [tuple(r) for r in shared.collect()] == [(0, 0, 2), (0, 1, 1)]
     bare = lib.table("people").withColumn("name", F.lit(""))
-    assert {r.person_id: r.name for r in albums.restore_names(bare, who, matched).collect()} == {0: "Ann", 1: ""}
+    named, counts = albums.import_people(bare, lib.table("images"), who)
+    assert {r.person_id: r.name for r in named.collect()} == {0: "Ann", 1: ""} and counts == {"people_restored": 1, "people_skipped": 0}
     lib.remove_images(spark.createDataFrame([(0,)], "image_id bigint"))
     assert lib.table("album_items").count() == 1 and lib.table("faces").count() == 5
     a.delete(one)

@@ -119,12 +119,13 @@ def test_import_curation(spark, tmp_path):
     who, what, roots = media.read_backup(spark, f"file://{tmp_path}/backup")
     assert sorted(roots) == ["/x", "/y"] and media.with_root(roots, "/X/") == roots and media.without_root(roots, "/X") == ["/y"]
     # 71's best is person 1, who has another name: skipped. 72's photos show nobody; 74 has none.
-    assert albums.import_curation(lib, who, what) == {"albums_created": 2, "album_items_added": 3 + 4, "people_restored": 1, "people_skipped": 3}
+    mine = ["/X", "/z"]
+    assert albums.import_curation(lib, who, what, roots, mine) == {"albums_created": 2, "album_items_added": 3 + 4, "roots_added": 1, "people_restored": 1, "people_skipped": 3} and mine == ["/X", "/z", "/y"]
     assert {r.person_id: (r.name, r.hidden) for r in lib.table("people").collect()} == {0: ("Ann", True), 1: ("Kept", False), 2: ("", False)}
     named = {r.name: r.album_id for r in lib.table("albums").collect()}
     items = {(r.album_id, r.image_id) for r in lib.table("album_items").collect()}
     assert set(named) == {"Trip", "New", "Empty"} and items == {(trip, i) for i in range(4)} | {(named["New"], i) for i in (8, 9, 10, 11)}
-    assert albums.import_curation(lib, who, what) == {"albums_created": 0, "album_items_added": 0, "people_restored": 1, "people_skipped": 3}
+    assert albums.import_curation(lib, who, what) == {"albums_created": 0, "album_items_added": 0, "roots_added": 0, "people_restored": 1, "people_skipped": 3}
 
 
 def test_text_queries_and_golden_vectors(spark):
