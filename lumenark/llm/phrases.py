@@ -29,7 +29,6 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,9 +224,9 @@ def unit_counts(src: DataFrame, cells: DataFrame, spec: Spec, bits: int, buckets
         if held or total is not None:
             total = merged()
             for b in total.combine_chunks().to_batches(10_000):
-                words = pa.array(np.fromiter((p.count(" ") + 1 if p else 0 for p in b.column(1).to_pylist()), np.int32, b.num_rows))
-                phrase = pa.compute.if_else(pa.compute.equal(b.column(1), ""), None, b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0), phrase, words, b.column(2)], names=["lang", "phrase", "words", "n"])
+                phrases = b.column(1).to_pylist()
+                words = [p.count(" ") + 1 if p else 0 for p in phrases]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p or None for p in phrases], pa.string()), pa.array(words, pa.int32()), b.column(2)], names=["lang", "phrase", "words", "n"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick

@@ -89,6 +89,14 @@ def test_sketch_prunes(spark):
     assert counted.select("phrase").distinct().count() == 6
 
 
+def test_many_runs_in_one_bucket(spark):
+    rows = [("en", " ".join(f"r{i}" for i in range(15_000)))] * 2
+    src = phrases.units(spark.createDataFrame(rows, "lang string, text string"), "lang", "text").cache()
+    spec = phrases.Spec(least=2, longest=2)
+    counted = phrases.unit_counts(src, phrases.candidate_cells(src, spec, phrases.SLICE_BITS + 6), spec, phrases.SLICE_BITS + 6, 1).cache()
+    assert counted.where("n = 2").count() == 29_999 and counted.where("phrase IS NULL").first().n == 30_000
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     big = 6 * 10**12
     rows = [("en", None, 0, 10 * big), ("en", "a", 1, 3 * big), ("en", "b", 1, 2 * big + 1), ("en", "a b", 2, big)]
