@@ -41,6 +41,7 @@ DATE = "2024-01-01T00:00:00Z"
 _EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x02\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 _RECORD = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = re.compile(rb"\x1f\x8b\x08")
+_BLANK = re.compile(rb"\r\n\r\n")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -116,31 +117,49 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     writer.option("maxRecordsPerFile", 1).text(path)
 
 
-def _headers(raw: bytes) -> dict[str, str]:
+class _Ahead:
+    """The next place of each mark. Places are asked for in rising order, so however much is damaged, no byte is searched twice for the same mark."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found = data, {}
+
+    def next(self, mark: re.Pattern, start: int) -> int:
+        """Where the mark is next, or the end of the data."""
+        if self.found.get(mark, -1) < start:
+            m = mark.search(self.data, start)
+            self.found[mark] = m.start() if m else len(self.data)
+        return self.found[mark]
+
+
+def _headers(data: bytes, at: int, stop: int) -> dict[str, str]:
+    """Line by line, up to the first that is none: a version line among them ends it."""
     out = {}
-    for line in raw.split(b"\r\n"):
-        k, sep, v = line.partition(b":")
+    while at < stop:
+        end = data.find(b"\r\n", at, stop)
+        end = stop if end < 0 else end
+        k, sep, v = data[at:end].partition(b":")
         if not sep:
             raise ValueError("a header line without a colon")
         out[k.decode("utf-8", "replace").strip().lower()] = v.decode("utf-8", "replace").strip()
+        at = end + 2
     return out
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and end of the record at a place; raises ValueError where a check fails."""
+def parse_record(data: bytes, at: int, ahead: _Ahead | None = None) -> tuple[dict[str, str], bytes, int]:
+    """Headers, block and end of the record at a place; raises ValueError where a check fails. The block is copied only where it ends as its length says."""
     m = _RECORD.match(data, at)
     if not m:
         raise ValueError("no version line")
-    stop = data.find(b"\r\n\r\n", m.end())
-    if stop < 0:
+    stop = (ahead or _Ahead(data)).next(_BLANK, m.end())
+    if stop >= len(data):
         raise ValueError("headers are cut off")
-    head = _headers(data[m.end() : stop])
+    head = _headers(data, m.end(), stop)
     if not re.fullmatch(r"[0-9]{1,18}", head.get("content-length", "")):
         raise ValueError("no length")
     end = stop + 4 + int(head["content-length"])
-    block = data[stop + 4 : end]
     if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("the block does not end where its length says")
+    block = data[stop + 4 : end]
     if (want := head.get("warc-block-digest", "")).startswith("sha1:") and want[5:] != digest32(block):
         raise ValueError("the block's digest differs")
     return head, block, end + 4
@@ -175,16 +194,15 @@ def _before_error(data: bytes, begin: int, at: int, step: int) -> bytes:
 
 def _unpacked(inner: bytes, vouched: bool) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | None, str | None]]:
     """Like `salvage`, of what a member holds. Where the member's checksum does not vouch for its bytes, a block digest must."""
-    at = 0
+    at, ahead = 0, _Ahead(inner)
     while at < len(inner):
         try:
-            head, block, end = parse_record(inner, at)
+            head, block, end = parse_record(inner, at, ahead)
             if not vouched and not head.get("warc-block-digest", "").startswith("sha1:"):
                 raise ValueError("a damaged member's record without a digest")
             yield at, end, head, block, None
         except ValueError as e:
-            line = _RECORD.search(inner, at + 1)
-            end = line.start() if line else len(inner)
+            end = ahead.next(_RECORD, at + 1)
             yield at, end, None, None, str(e)
         at = end
 
@@ -192,14 +210,7 @@ def _unpacked(inner: bytes, vouched: bool) -> Iterator[tuple[int, int, dict[str,
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | None, str | None]]:
     """(start, end, headers, block, None) of every good record, and (start, end, None, None, reason) of every quarantined gap; bytes of the file."""
     at, bad_from, reason = 0, None, ""
-    ahead: dict = {}  # the next place of each mark: however much is damaged, no byte is searched twice
-
-    def later(mark, start: int) -> int:
-        if ahead.get(mark, -1) < start:
-            m = mark.search(data, start)
-            ahead[mark] = m.start() if m else len(data)
-        return ahead[mark]
-
+    ahead = _Ahead(data)
     saved_there: list = []  # records of the damaged member; an unpacked copy of them may lie in its stored blocks
     while at < len(data):
         good: list = []
@@ -213,13 +224,13 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
                     raise ValueError(why)
                 good = [(at, end, h, b, r and f"{r} (unpacked bytes {i} to {j})") for i, j, h, b, r in rows]
             else:
-                head, block, end = parse_record(data, at)
+                head, block, end = parse_record(data, at, ahead)
                 if (head, block) not in saved_there:
                     good = [(at, end, head, block, None)]
         except ValueError as e:
             if bad_from is None:
                 bad_from, reason = at, str(e)
-            at = min(later(_MEMBER, at + 1), later(_RECORD, at + 1))
+            at = min(ahead.next(_MEMBER, at + 1), ahead.next(_RECORD, at + 1))
             continue
         if bad_from is not None and (good or _MEMBER.match(data, at)):
             yield bad_from, at, None, None, reason

@@ -322,6 +322,27 @@ def test_salvage_inside_members():
     assert good(stored[:-3]) == [0, 1, 2, 3, 4]  # the cut follows the last one at once
 
 
+def test_salvage_takes_linear_time():
+    import time
+
+    def took(make, size):
+        data = make(size)
+        began = time.process_time()
+        n = sum(h is not None for _, _, h, _, _ in warc.salvage(data))
+        for _ in warc.salvage(warc.member(data)):
+            pass
+        return time.process_time() - began, n
+
+    lines = lambda n: b"WARC/1.1\r\n" * (n // 10)
+    named = lambda n: b"WARC/1.1\r\nA: b\r\n" * (n // 16) + b"\r\n"
+    lengths = lambda n: b"WARC/1.1\r\nContent-Length: 99999999\r\n\r\nx" * (n // 41)
+    for make in (lines, named, lengths):
+        small, large = took(make, 1 << 19)[0], took(make, 1 << 22)[0]
+        assert large < 30 * max(small, 0.2), (small, large)  # eight times the bytes
+    good = warc.record(4, "u", b"page", None)
+    assert took(lambda n: lines(n) + good + lengths(n) + good, 1 << 18)[1] == 2
+
+
 # Chat.
 def test_chat_fold_and_round_trip(spark):
     log = [
