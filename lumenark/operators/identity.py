@@ -116,7 +116,7 @@ def recluster(faces: DataFrame, people: DataFrame, k: int = NEIGHBOURS, threshol
     labelled = faces.join(mutual_knn_clusters(faces, k, threshold), "face_id")
     confirmed = F.coalesce("confirmed", F.lit(False)) & F.lit(respect_confirmed)
     anchors = labelled.where(confirmed & (F.col("person_id") >= 0)).groupBy("label").agg(F.min("person_id").alias("anchor"), F.max("person_id").alias("other")).where("anchor = other").drop("other")
-    stat = labelled.groupBy("label").agg(F.count_if(F.coalesce("quality", F.lit(0.0)) >= MIN_QUALITY).alias("usable"), F.count_if(confirmed).alias("confirmed"))
+    stat = labelled.groupBy("label").agg(F.count_if(F.coalesce("quality", F.lit(0.0)) >= MIN_QUALITY).alias("usable"), F.count_if(F.coalesce("confirmed", F.lit(False))).alias("confirmed"))
     kept = stat.where((F.col("usable") >= min_size) | (F.col("confirmed") > 0)).join(anchors, "label", "left")
     top = faces.where(confirmed).agg(F.max("person_id")).first()[0]
     start = (-1 if top is None else max(top, -1)) + 1

@@ -55,17 +55,39 @@ def image_rows(files: DataFrame, make_embedder) -> DataFrame:
     return facts.join(vectors, "path").join(known, "path").select("*", name.alias("filename"), folder.alias("folder"), F.localtimestamp().alias("added_at"), kind.alias("media_type"), F.lit("").alias("place"))
 
 
-def index_directory(library: Library, root: str, make_embedder, make_faces, prune: bool = False) -> dict[str, int]:
-    """New and changed files under root become images, faces and people in one commit; what was there is kept.
+def index_directory(library: Library, root: str, make_embedder, make_faces, prune: bool = False, batch: int = 4096) -> dict[str, int]:
+    """New and changed files under root become images, faces and people, `batch` files a commit in order of path; what was there is kept.
 
-    Contents are read for those files alone, several times rather than kept. Faces go to
-    people in order of image, in one task; its state is people, not faces.
+    A changed file's old rows go in the commit that brings its new ones, so no reader
+    misses it, and a stopped run goes on where it was. Contents are read for the files of
+    one commit alone. Their faces go to people in order of image, in one task: it holds a
+    batch, whatever the folder's size, and people as its state.
     """
     spark, at = library.spark, library.snapshot()
-    todo, stale = upsert_plan(media_files(spark, root), at.table("images", ("image_id", "path", "file_size", "mtime")), prune, root)
-    todo, stale = saved(spark, todo, "todo"), saved(spark, stale, "stale")
+    known = at.table("images", ("image_id", "path", "file_size", "mtime"))
+    todo, stale = upsert_plan(media_files(spark, root), known, prune, root)
+    todo = saved(spark, todo, "todo")
+    stale = saved(spark, known.select("image_id", "path").join(stale, "image_id"), "stale")
+    counts, last = {"added": 0, "removed": 0, "faces": 0, "people_created": 0}, None
+    missing = saved(spark, stale.join(todo.select("path"), "path", "left_anti"), "missing")
+    if n := missing.count():
+        library.remove_images(missing.select("image_id"), cascade=False)
+        counts["removed"] += n
+    while True:
+        left = todo if last is None else todo.where(F.col("path") > last)
+        part = saved(spark, left.orderBy("path").limit(batch), "todo-part")
+        last = part.agg(F.max("path")).first()[0]
+        if last is None:
+            return counts
+        for k, n in _index_batch(library, root, part, saved(spark, stale.join(part.select("path"), "path", "left_semi"), "stale-part"), make_embedder, make_faces).items():
+            counts[k] += n
+
+
+def _index_batch(library: Library, root: str, todo: DataFrame, stale: DataFrame, make_embedder, make_faces) -> dict[str, int]:
+    """One commit of index_directory."""
+    spark, at = library.spark, library.snapshot()
     counts = {"added": 0, "removed": stale.count(), "faces": 0, "people_created": 0}
-    files = media_files(spark, root, content=True).join(todo.select("path"), "path", "left_semi")
+    files = media_files(spark, root, content=True).join(F.broadcast(todo.select("path")), "path", "left_semi")
     rows = saved(spark, library.allocate(image_rows(files, make_embedder), "images", "image_id"), "image-rows")
     found = backends.detect_faces(files, make_faces).join(rows.select("path", "image_id"), "path")
     found = saved(spark, library.allocate(found.repartitionByRange("image_id").sortWithinPartitions("image_id", F.desc("quality")), "faces", "face_id"), "face-rows")

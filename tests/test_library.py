@@ -275,6 +275,13 @@ def test_search_filters_before_ranking(spark):
     assert browse.search(df, None, "word", df, unit(5), min_score=2.0)[0].count() == 0
 
 
+def test_recluster_without_regard_to_people_keeps_confirmed_clusters(lib):
+    identity.People(lib).assign([5], 1)  # alone and of poor quality
+    got = identity.recluster(lib.table("faces"), lib.table("people"), respect_confirmed=False)
+    f = {r.face_id: r.person_id for r in got.faces.collect()}
+    assert f[5] >= 0 and f[5] not in (f[0], f[2]) and {r.name for r in got.people.collect()} == {""}
+
+
 def test_two_confirmed_people_in_a_cluster_make_a_fresh_one(spark, lib):
     p = identity.People(lib)
     p.assign([0], 0)

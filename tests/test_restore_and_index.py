@@ -103,6 +103,39 @@ def test_index_directory_and_texts(spark, tmp_path, folder):
     assert len(set(ids)) == 3 and lib.table("faces").select("face_id").distinct().count() == 4
 
 
+def test_index_in_batches_goes_on_where_it_was(spark, tmp_path, folder):
+    for i in range(5):
+        folder(f"b/{i}-with-ann.jpg", b"picture %d" % i)
+    lib, root = Library(spark, f"file://{tmp_path}/lib"), f"file:{tmp_path}/m"
+    lib.create({})
+
+    begun, finish = [], ingest._index_batch
+
+    def twice(*a):
+        begun.append(a[2].count())
+        if len(begun) == 3:
+            raise KeyboardInterrupt
+        return finish(*a)
+
+    ingest._index_batch = twice
+    try:
+        with pytest.raises(KeyboardInterrupt):
+            ingest.index_directory(lib, root, backends.StubEmbedder, backends.StubFaces, batch=2)
+    finally:
+        ingest._index_batch = finish
+    assert begun == [2, 2, 2] and lib.table("images").count() == 4
+    done = {r.path: r.image_id for r in lib.table("images").collect()}
+    counts = ingest.index_directory(lib, root, backends.StubEmbedder, backends.StubFaces, batch=3)
+    assert counts["added"] == 4 and counts["removed"] == 0
+    rows = {r.path: r for r in lib.table("images").collect()}
+    assert len(rows) == 8 and len({r.image_id for r in rows.values()}) == 8 and all(rows[p].image_id == i for p, i in done.items())
+    assert lib.table("people").count() == 2 and sorted(r.face_count for r in lib.table("people").collect()) == [1, 7]
+    commits = len(lib._commits())
+    folder("b/0-with-ann.jpg", b"another")  # changed: the old row goes in the commit of the new one
+    assert ingest.index_directory(lib, root, backends.StubEmbedder, backends.StubFaces)["removed"] == 1
+    assert len(lib._commits()) == commits + 1 and lib.table("images").count() == 8 and lib.table("faces").count() == 8
+
+
 def test_import_curation(spark, tmp_path):
     lib = Library(spark, f"file://{tmp_path}/lib")
     lib.create({})
