@@ -53,16 +53,20 @@ def test_people_of_every_image(spark):
     assert {r.person_id for r in catalogue.people_in_images(spark, SF).collect()} == {p for _, p in want}
 
 
-def test_near_duplicates_at_the_default_distance(spark):
-    h = {r.image_id: r.phash for r in catalogue._hashes(spark, SF).collect() if r.phash}
+@pytest.mark.parametrize("source", ["texts", "numbers"])  # fingerprints of texts; packed numbers, of which nearly all are near
+def test_near_duplicates_at_the_default_distance(spark, source):
+    D, numbers = catalogue.D, catalogue._hashes(spark, SF)
+    rows = catalogue._prints(spark, SF) if source == "texts" else numbers
+    pairs, grouped = (catalogue.near_duplicate_pairs_whole(spark, SF), catalogue.near_duplicate_groups_whole(spark, SF)) if source == "texts" else (D.exact_pairs(numbers), D.hash_groups(numbers))
+    h = {r.image_id: r.phash for r in rows.collect() if r.phash}
     want = {(a, b, n) for a in h for b in h if a < b and (n := ((h[a] ^ h[b]) & (1 << 64) - 1).bit_count()) <= 6}
     assert any(n > 3 for _, _, n in want)
-    assert {tuple(r) for r in catalogue.near_duplicate_pairs_whole(spark, SF).select("a", "b", "distance").collect()} == want
+    assert {tuple(r) for r in pairs.select("a", "b", "distance").collect()} == want
     low = {i: i for i in h}
     while (nxt := {i: min([low[i], *(low[b if a == i else a] for a, b, _ in want if i in (a, b))]) for i in h}) != low:
         low = nxt
     groups = {g: sorted(i for i in low if low[i] == g) for g in set(low.values())}
-    assert {r.group_id: r.ids for r in catalogue.near_duplicate_groups_whole(spark, SF).collect()} == {g: x for g, x in groups.items() if len(x) > 1}
+    assert {r.group_id: r.ids for r in grouped.collect()} == {g: x for g, x in groups.items() if len(x) > 1}
 
 
 def test_cell_search_reaches_its_recall(spark):
