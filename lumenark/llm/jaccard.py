@@ -23,8 +23,11 @@ sets link when their Jaccard similarity reaches num/den. The join is exact:
 5. Tiles that still hold different components are joined again, across components
    only, with the bitmap bound in the join condition and exact checks behind it.
 
-Equal sets are one node, so copies cost nothing. Large tiles are split by a salt
-with shared bridge sets; step 5 makes the split exact. Node identity is a 63-bit
+Equal sets are one node, so copies cost nothing. Tiles of many shingles or sets are
+split by a salt with shared bridge sets; step 5 makes the split exact: there the
+pairs of such a tile are dealt as blocks of a grid, each pair in one block. Different
+sets of one size differ in two shingles or more, so where less is allowed (small
+sets) no pair of one size is looked at. Node identity is a 63-bit
 fingerprint of the set: among N distinct sets two collide with chance N^2 / 2^64.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing;
@@ -48,8 +51,10 @@ from .bytekit import LOWER_TABLE, NON_SPACE, U64, Words, arrow_batches, chunks,
 from .components import components
 from .storage import attach, bounded, discard, release, saved
 
-#: Shingles in one tile task; entries of one key that a task passes on directly.
-TILE_SHINGLES, HOT_ENTRIES, BRIDGES = 2_000_000, 16, 8
+#: Shingles and sets in one tile task; entries of one key that a task passes on directly.
+TILE_SHINGLES, TILE_SETS, HOT_ENTRIES, BRIDGES = 2_000_000, 4096, 16, 8
+#: Sets of a tile on one side of a block of pairs in the last round.
+GRID_SETS = 2048
 BUCKET_BYTES, FLUSH = 4 << 20, 1 << 19
 #: Rounds that merge components by a few of their members, before the exact one. The first finds nearly all.
 MERGE_ROUNDS = 1
@@ -180,7 +185,7 @@ def survey(docs: DataFrame, spec: Spec, text_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, serial = TaskContext.get().partitionId(), 0
+        task, serial, seen = TaskContext.get().partitionId(), 0, 0
         held_k: list[np.ndarray] = []
         held_n: list[np.ndarray] = []
         names = ["bucket", "keys", "nodes", "hot", "id", "h", "n", "node", "spare0", "spare1"]
@@ -227,7 +232,10 @@ def survey(docs: DataFrame, spec: Spec, text_bytes: int) -> DataFrame:
                     count = 0
             if n:
                 size, name, can = np.concatenate(n), np.concatenate(node), np.concatenate(spare, 1)
-                place = pa.array((mix(name) >> U64(24)).view(np.int64) + (1 << 41))
+                # Documents need no meeting: they are dealt by their place in the input, so copies of one text go apart.
+                place = (mix(np.arange(seen, seen + len(name), dtype=np.uint64) + (U64(task) << U64(40))) >> U64(24)).view(np.int64) + (1 << 41)
+                seen += len(name)
+                place = pa.array(place)
                 blank = [pa.nulls(len(size), pa.binary())] * 3
                 yield pa.RecordBatch.from_arrays([place, *blank, b.column(0), b.column(1), pa.array(size), pa.array(name.view(np.int64), mask=size == 0), pa.array(can[0]), pa.array(can[1])], names=names)
         if count:
@@ -334,9 +342,12 @@ def link_tile(nodes: np.ndarray, sets: list[np.ndarray], bitmaps: np.ndarray, sp
     label = np.arange(len(order)) if known is None else np.unique(known[order], return_inverse=True)[1]
     for i in range(1, len(order)):
         lo = int(np.searchsorted(size, -(-spec.num * size[i] // spec.den)))
-        bound = spec.differing(size[lo:i])
-        far = np.bitwise_count(bm[lo:i] ^ bm[i]).sum(1, dtype=np.int64)
-        near = lo + np.flatnonzero((far <= bound) & (label[lo:i] != label[i]))
+        hi = i if spec.differing(size[i]) >= 2 else int(np.searchsorted(size, size[i]))
+        if lo >= hi:
+            continue
+        bound = spec.differing(size[lo:hi])
+        far = np.bitwise_count(bm[lo:hi] ^ bm[i]).sum(1, dtype=np.int64)
+        near = lo + np.flatnonzero((far <= bound) & (label[lo:hi] != label[i]))
         near = near[np.argsort(far[near - lo], kind="stable")]
         while len(near):
             j = near[0]
@@ -358,12 +369,17 @@ def _arrays(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")], np.stack([table.column(f"b{i}").to_numpy().view(np.uint64) for i in range(WORDS)], 1)
 
 
+def _salts():
+    """Into how many tasks a tile of `total` shingles and `m` sets goes."""
+    return F.ceil(F.greatest(F.col("total") / TILE_SHINGLES, F.col("m") / TILE_SETS)).cast("int")
+
+
 def _first_round(src: DataFrame, home: DataFrame, nodes: DataFrame, spec: Spec) -> DataFrame:
     """(a, b): each candidate node and what it is connected to inside its fullest tile. Sets move once, straight from the texts."""
     placed = saved(src.sparkSession, home.join(nodes.select("node", "n", "id", "h"), "node"), "placed")
     totals = placed.groupBy("tile").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where(F.col("m") > 1)
     placed = attach(placed, saved(src.sparkSession, totals.withColumn("rows", F.col("m")), "totals"), "tile", "rows").where("m IS NOT NULL")
-    salts = F.ceil(F.col("total") / TILE_SHINGLES).cast("int")
+    salts = _salts()
     bridge = (salts > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("m")) < BRIDGES)
     salt = F.when(bridge, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), salts).cast("int")))
     wanted = saved(src.sparkSession, placed.select("id", "h", "node", "tile", salt.alias("salts")), "homes")
@@ -398,9 +414,9 @@ def _merge_round(named: DataFrame, sets: DataFrame, spec: Spec, turn: int) -> Da
     chosen = per.join(full, "tile").groupBy("comp").agg(F.max(rank).alias("r")).select(F.col("r.tile").alias("tile")).distinct()
     shown = per.join(chosen, "tile", "left_semi").select("tile", "comp", F.explode(F.array_distinct(F.array("x.node", "y.node"))).alias("node"))
     placed = shown.join(sets, "node")
-    totals = placed.groupBy("tile").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where(F.col("total") > TILE_SHINGLES)
-    placed = placed.join(totals, "tile", "left")
-    salts = F.coalesce(F.ceil(F.col("total") / TILE_SHINGLES), F.lit(1)).cast("int")
+    totals = placed.groupBy("tile").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where((F.col("total") > TILE_SHINGLES) | (F.col("m") > TILE_SETS))
+    placed = attach(placed, saved(sets.sparkSession, totals.withColumn("rows", F.col("m")), "full-tiles"), "tile", "rows")
+    salts = F.coalesce(_salts(), F.lit(1))
     salt = F.pmod(F.xxhash64("comp", F.lit(turn)), salts).cast("int")
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -412,14 +428,23 @@ def _merge_round(named: DataFrame, sets: DataFrame, spec: Spec, turn: int) -> Da
 
 
 def _last_round(named: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
-    """(a, b): components that a link joins, from all pairs across components of a tile that the bitmap lets through."""
+    """(a, b): components that a link joins, from all pairs across components of a tile that the bitmap lets through.
+
+    A tile of many sets is cut into g shares; the pairs of shares s <= t are block s * g + t, where share s is on the left and t on the right.
+    """
     bits = [f"b{i}" for i in range(WORDS)]
-    rows = named.join(sets.drop("set"), "node")
-    x, y = rows.alias("x"), rows.alias("y")
+    full = saved(sets.sparkSession, named.groupBy("tile").agg(F.count("*").alias("m")).where(F.col("m") > GRID_SETS).withColumn("g", F.ceil(F.col("m") / GRID_SETS)), "grids")
+    g = F.coalesce("g", F.lit(1).cast("bigint"))
+    rows = attach(named, full, "tile", "m").withColumn("g", g).withColumn("share", F.pmod(F.xxhash64("node", F.lit(11)), "g")).join(sets.drop("set"), "node")
+    last = F.col("g") - 1
+    x = rows.withColumn("block", F.explode(F.transform(F.sequence("share", last), lambda t: F.col("share") * F.col("g") + t))).alias("x")
+    y = rows.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), "share"), lambda t: t * F.col("g") + F.col("share")))).alias("y")
+    once = F.when(F.col("x.share") == F.col("y.share"), F.col("x.comp") < F.col("y.comp")).otherwise(F.col("x.comp") != F.col("y.comp"))
     less = F.least(F.col("x.n"), F.col("y.n"))
     most = F.greatest(F.col("x.n"), F.col("y.n"))
     far = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bits[1:]), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
-    near = (F.col("x.tile") == F.col("y.tile")) & (F.col("x.comp") < F.col("y.comp")) & (spec.den * less >= spec.num * most) & (spec.num * far <= (spec.den - spec.num) * less)
+    could = (F.col("x.n") != F.col("y.n")) | ((spec.den - spec.num) * less >= 2 * spec.num)
+    near = (F.col("x.tile") == F.col("y.tile")) & (F.col("x.block") == F.col("y.block")) & once & (spec.den * less >= spec.num * most) & could & (spec.num * far <= (spec.den - spec.num) * less)
     pairs = x.join(y, near).select(F.col("x.node").alias("p"), F.col("y.node").alias("q"), F.col("x.comp").alias("a"), F.col("y.comp").alias("b")).distinct()
     pairs = saved(sets.sparkSession, pairs, "pairs")
     ends = bounded(pairs.select(F.explode(F.array("p", "q")).alias("node")).distinct())

@@ -141,13 +141,46 @@ def test_jaccard_components(spark, spec, monkeypatch):
     left = {r.doc_id for r in jaccard.deduplicate(df, spec).collect()}
     assert left == {i for i, (n, c) in want.items() if c == i or not n}
     if spec.k == 5:  # tiles split by salts, hot keys and shuffled sides give the same
-        for name, value in (("TILE_SHINGLES", 200), ("HOT_ENTRIES", 2)):
+        for name, value in (("TILE_SHINGLES", 200), ("TILE_SETS", 3), ("GRID_SETS", 2), ("HOT_ENTRIES", 2)):
             monkeypatch.setattr(jaccard, name, value)
         monkeypatch.setattr(storage, "BROADCAST_BYTES", -1)
         monkeypatch.setattr(storage, "HOT_SHARE", 1)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, spec).collect()} == want
 
 
+def test_template_texts_share_tiles_and_do_not_link(spark, monkeypatch):
+    """Most of their shingles are those of one template; some link through a longer text or in pairs of equal size."""
+    monkeypatch.setattr(jaccard, "TILE_SETS", 20)
+    monkeypatch.setattr(jaccard, "GRID_SETS", 16)
+    r = random.Random(9)
+    short, long = "one two three four five six seven eight nine".split(), [f"t{i}" for i in range(16)]
+    docs = [" ".join([*short, f"name{i}"]) for i in range(150)] + [" ".join([*short, f"name{i}", "more"]) for i in range(0, 150, 5)]
+    docs += [" ".join([*long[:at], f"name{i}", *long[at:]]) for i in range(150) for at in [r.choice((0, 8, 14, 16))]]
+    docs = list(enumerate(docs))
+    r.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for spec in (jaccard.Spec(), jaccard.Spec(4, 85, 100)):
+        want = brute_links(docs, spec)
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(df, spec).collect()} == want
+        assert len({c for _, c in want.values()}) > 100 and any(c != i for i, (_, c) in want.items())
+
+
+def test_sizes_that_cannot_link():
+    """Different sets of one size are skipped only where one differing shingle is all that is allowed."""
+    rng = np.random.default_rng(3)
+    for size in (5, 7, 8, 11, 12, 20):
+        base = np.sort(rng.integers(0, 1 << 63, size + 1, dtype=np.uint64))
+        sets = [base[1:], base[:-1], base]
+        bits = np.zeros((3, jaccard.WORDS), np.uint64)  # lets every pair through
+        for spec in (jaccard.Spec(), jaccard.Spec(4, 85, 100)):
+            low = jaccard.link_tile(np.arange(3), sets, bits, spec)
+            pairs = [(i, j) for i in range(3) for j in range(i) if jaccard.linked(sets[i], sets[j], spec)]
+            label = list(range(3))
+            for i, j in [*pairs, *pairs]:
+                label = [min(label[i], label[j]) if v in (label[i], label[j]) else v for v in label]
+            assert low.tolist() == label
+
+
 def test_jaccard_odd_rows(odd):
     got = jaccard.join(odd).collect()
     assert len(got) == 9 and {r.component_id for r in got if r.doc_id == 5} == {5}
