@@ -7,7 +7,7 @@ necessary prefix is one shingle, the rarest. Documents are probed for prefix
 shingles only; a probe fixes where the window would start, which gives the
 positional and length bounds, and all its words are then compared.
 
-Words are compared by 64-bit fingerprints. The index of a block of items is
+Words are compared by 64-bit fingerprints, and equal windows are found by one. The index of a block of items is
 broadcast; blocks hold at most `block_bytes` of item text (or one item). A larger
 benchmark is probed block by block: each is an exact pass over all documents that
 writes its hits alone, and its index is destroyed before the next one is built, so
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .bytekit import ALNUM, LOWER_TABLE, U64, Words, arrow_batches, chunks, gram_starts, grams, per_text, string_bytes
 from .storage import attach, saved
 
-#: A block of item text takes about a hundred times its size on the driver while it is indexed.
-WIDTH, SHINGLE, BLOCK_BYTES = 10, 5, 2 << 20
+#: The index of a block takes some ten to twenty times its text, on the driver and in each worker.
+WIDTH, SHINGLE, BLOCK_BYTES = 10, 5, 16 << 20
 _FILTER_BITS = 22
 
 
@@ -59,32 +59,45 @@ class KeySet:
 
 
 class Index:
-    """Windows of a block of items, by the width of their shingles (under 5 words: the window itself)."""
+    """Windows of a block of items, by the width of their shingles (under 5 words: the window itself).
+
+    All of it is arrays: the words of the items one after another, the distinct
+    windows as places in them, and the items of each window.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], width: int):
         items = sorted({(str(i), t) for i, t in items if t}, key=lambda x: (x[0], x[1]))
         data, offs = string_bytes(pa.array([t for _, t in items], pa.large_string()))
-        w = Words(data, offs, ALNUM)
-        h = w.hashes(LOWER_TABLE)
         self.names = [i for i, _ in items]
-        owner: dict[tuple, set[int]] = {}
-        for i, (a, b) in enumerate(zip(w.by_text[:-1], w.by_text[1:], strict=True)):
-            n = b - a
-            for s in range(a, max(b - width, a) + 1) if n else ():
-                owner.setdefault(tuple(h[s : s + min(n, width)].tolist()), set()).add(i)
-        self.windows = [np.array(k, np.uint64) for k in owner]
-        self.items = [sorted(v) for v in owner.values()]
+        parts, count = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, j in chunks(offs):
+            w = Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ALNUM)
+            parts.append(w.hashes(LOWER_TABLE))
+            count.append(w.count)
+        self.h, n = np.concatenate(parts), np.concatenate(count)
+        first = np.cumsum(n) - n
+        windows = np.where(n > 0, np.maximum(n - width, 0) + 1, 0)
+        owner = np.repeat(np.arange(len(n)), windows)
+        start = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + first[owner]
+        length = np.minimum(n, width)[owner]
+        own = np.zeros(len(start), np.uint64)  # of a window: its words and their number
+        for size in np.unique(length).tolist():
+            at = np.flatnonzero(length == size)
+            own[at] = grams(self.h, size)[start[at]]
+        _, once, window = np.unique(own, return_index=True, return_inverse=True)
+        self.start, self.length = start[once], length[once]
+        pairs = np.unique(window.astype(np.int64) * max(len(n), 1) + owner)
+        self.owner = (pairs % max(len(n), 1)).astype(np.int32)
+        self.owners = np.searchsorted(pairs, np.arange(len(once) + 1) * max(len(n), 1))
+        by_item = np.concatenate([first, [len(self.h)]]).astype(np.int64)
         self.groups: dict[int, dict] = {}
-        for u, win in enumerate(self.windows):
-            k = min(len(win), SHINGLE)
-            for o, g in enumerate(grams(win, k).tolist()):
-                self.groups.setdefault(k, {"g": [], "u": [], "o": []})
-                for name, v in zip("guo", (g, u, o), strict=True):
-                    self.groups[k][name].append(v)
-        for x in self.groups.values():
-            x["g"] = np.array(x["g"], np.uint64)
-            x["u"], x["o"] = np.array(x["u"], np.int64), np.array(x["o"], np.int64)
-            x["all"] = KeySet(x["g"])
+        for k in np.unique(np.minimum(self.length, SHINGLE)).tolist():
+            # Shorter shingles stand for whole items alone; others for all places.
+            at = self.start[self.length == k] if k < SHINGLE else gram_starts(by_item, k)
+            self.groups[k] = {"all": KeySet(grams(self.h, k)[at])}
+
+    def items_of(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.owner[self.owners[window] : self.owners[window + 1]].tolist()]
 
     def count(self, h: np.ndarray, by_text: np.ndarray) -> dict[int, np.ndarray]:
         """Occurrences of each shingle."""
@@ -98,23 +111,23 @@ class Index:
     def choose_prefix(self, counts: dict[int, np.ndarray]) -> None:
         """Keeps, of each window, the rarest shingle (ties: the first)."""
         for k, x in self.groups.items():
-            freq = counts[k][np.searchsorted(x["all"].keys, x["g"])]
-            order = np.lexsort((x["o"], freq, x["u"]))
-            _, first = np.unique(x["u"][order], return_index=True)
-            pick = order[first]
-            g, u, o = x["g"][pick], x["u"][pick], x["o"][pick]
-            by = np.argsort(g, kind="stable")
-            x["prefix"] = KeySet(g)
-            x["u"], x["o"] = u[by], o[by]
-            x["from"] = np.searchsorted(g[by], x["prefix"].keys)
-            x["to"] = np.searchsorted(g[by], x["prefix"].keys, "right")
-            del x["g"], x["all"]
-        most = max(map(len, self.windows), default=1)
-        self.length = np.array([len(x) for x in self.windows], np.int64)
-        self.words = np.zeros((len(self.windows), most), np.uint64)
-        for u, x in enumerate(self.windows):
-            self.words[u, : len(x)] = x
-        del self.windows
+            g, keys = grams(self.h, k), x.pop("all").keys
+            mine = np.flatnonzero(np.minimum(self.length, SHINGLE) == k)
+            at = np.zeros(len(mine), np.int64)
+            for size in np.unique(self.length[mine]).tolist():
+                these = np.flatnonzero(self.length[mine] == size)
+                begin = self.start[mine[these]]
+                best = None
+                for o in range(size - k + 1):
+                    freq = counts[k][np.searchsorted(keys, g[begin + o])]
+                    better = freq < best if best is not None else np.ones(len(begin), bool)
+                    best = np.where(better, freq, best) if best is not None else freq
+                    at[these[better]] = o
+            prefix = g[self.start[mine] + at]
+            by = np.argsort(prefix, kind="stable")
+            x["prefix"], x["u"], x["o"] = KeySet(prefix), mine[by].astype(np.int32), at[by].astype(np.int16)
+            x["from"] = np.searchsorted(prefix[by], x["prefix"].keys).astype(np.int32)
+            x["to"] = np.searchsorted(prefix[by], x["prefix"].keys, "right").astype(np.int32)
 
     def probe(self, h: np.ndarray, by_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start word, window and text of every occurrence of a window."""
@@ -123,7 +136,7 @@ class Index:
         for k, x in self.groups.items():
             starts = gram_starts(by_text, k)
             at, num = x["prefix"].find(grams(h, k)[starts])
-            n = x["to"][num] - x["from"][num]
+            n = (x["to"][num] - x["from"][num]).astype(np.int64)
             pos = np.repeat(starts[at], n)
             slot = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(x["from"][num], n)
             win = x["u"][slot]
@@ -134,9 +147,9 @@ class Index:
             for lo in range(0, len(start), 1 << 17):  # bounded memory however common a passage is
                 s, u, t = start[lo : lo + (1 << 17)], win[lo : lo + (1 << 17)], text[lo : lo + (1 << 17)]
                 same = np.ones(len(s), bool)
-                for j in range(self.words.shape[1]):
+                for j in range(int(self.length[u].max())):
                     inside = self.length[u] > j
-                    same &= ~inside | (h[np.minimum(s + j, len(h) - 1)] == self.words[u, j])
+                    same &= ~inside | (h[np.minimum(s + j, len(h) - 1)] == self.h[np.minimum(self.start[u] + j, len(self.h) - 1)])
                 found.append((s[same], u[same], t[same]))
         if not found:
             z = np.zeros(0, np.int64)
@@ -175,8 +188,10 @@ def _index(docs: DataFrame, items: list, width: int) -> Index:
 
     counts = {k: np.zeros(len(x["all"].keys), np.int64) for k, x in index.groups.items()}
     if counts:
-        for r in docs.select("__text").mapInArrow(counted, "k bigint, num bigint, n bigint").groupBy("k", "num").agg(F.sum("n").alias("n")).collect():  # at most the shingles of one block
-            counts[r.k][r.num] = r.n
+        found = docs.select("__text").mapInArrow(counted, "k bigint, num bigint, n bigint").groupBy("k", "num").agg(F.sum("n").alias("n")).toArrow()  # at most the shingles of one block
+        size, num, n = (found.column(c).to_numpy() for c in ("k", "num", "n"))
+        for k, c in counts.items():
+            c[num[size == k]] = n[size == k]
     index.choose_prefix(counts)
     sent.destroy()
     return index
@@ -207,8 +222,8 @@ def _probed(docs: DataFrame, sent, all_rows: bool) -> DataFrame:
                     start, win, t = ix.probe(h, w.by_text)
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + ix.length[win], -1)
-                    for pair in np.unique(t * len(ix.items) + win).tolist() if len(t) else ():
-                        items.setdefault(pair // len(ix.items), set()).update(ix.names[k] for k in ix.items[pair % len(ix.items)])
+                    for pair in np.unique(t * len(ix.length) + win).tolist() if len(t) else ():
+                        items.setdefault(pair // len(ix.length), set()).update(ix.items_of(pair % len(ix.length)))
                 hit = np.cumsum(edge[:-1]) > 0
                 n_words.append(w.count)
                 n_hit.append(per_text(hit, w.by_text))

@@ -79,6 +79,21 @@ def test_decontamination(spark, odd):
     assert decontamination.filter_documents(odd, b).columns == odd.columns
 
 
+def test_index_is_arrays_of_bounded_size():
+    import pickle
+
+    r = random.Random(4)
+    items = [(i, " ".join(f"word{r.randrange(20000)}" for _ in range(200))) for i in range(1000)] + [(2000, "a shared item"), (2001, "A shared, item"), (2002, "one"), (2003, "..")]
+    ix = decontamination.Index(items, 10)
+    ix.choose_prefix({k: np.zeros(len(x["all"].keys), np.int64) for k, x in ix.groups.items()})
+    assert len(pickle.dumps(ix)) < 16 * sum(len(t) for _, t in items) + (16 << 20)  # the filters have a fixed size
+    data, offs = decontamination.string_bytes(decontamination.pa.array(["x a shared item one", items[7][1], ""]))
+    w = decontamination.Words(data, offs, decontamination.ALNUM)
+    start, win, text = ix.probe(w.hashes(decontamination.LOWER_TABLE), w.by_text)
+    found = sorted((int(t), sorted(ix.items_of(int(u)))) for t, u in zip(text, win, strict=True))
+    assert found == [(0, ["2000", "2001"]), (0, ["2002"]), *[(1, ["7"])] * 191]
+
+
 def test_one_index_lives_at_a_time(spark, monkeypatch):
     r = random.Random(8)
     items = [(i, " ".join(f"i{r.randrange(50)}" for _ in range(12))) for i in range(20)]
