@@ -1,18 +1,14 @@
-"""People: denormalisation, suggestions, reclustering, online assignment, mutations."""
+"""People: denormalisation, suggestions, reclustering, mutations."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..library import Library, NotFound, Snapshot, changed
 from ..schemas import UNASSIGNED
-from ..shipping import ship
 from ..storage import saved
 from . import vectors
 from .aggregates import centroids, photos_per_person
@@ -139,129 +135,6 @@ def recluster(faces: DataFrame, people: DataFrame, k: int = NEIGHBOURS, threshol
     return Reclustered(rows, out)
 
 
-@dataclass
-class PersonState:
-    """Running weighted mean of a person on the unit sphere."""
-
-    person_id: int
-    centroid: np.ndarray
-    weight: float
-    faces: int = 0
-    cover: int = -1
-    cover_quality: float = -1.0
-    exemplars: list[tuple[float, np.ndarray]] = field(default_factory=list)
-    fresh: bool = False
-    dirty: bool = False
-
-    def absorb(self, v: np.ndarray, quality: float) -> None:
-        w = max(quality, 1e-3)
-        m = self.centroid * self.weight + v * w
-        self.centroid, self.weight = m / max(np.linalg.norm(m), 1e-12), self.weight + w
-        self.exemplars = sorted([*self.exemplars, (quality, v)], key=lambda e: -e[0])[:EXEMPLARS]
-
-
-class Assigner:
-    """Sequential assignment of observed faces. Any face may match any person, so the state is one: it holds people, not faces."""
-
-    def __init__(self, people: list[PersonState], next_id: int, match: float = MATCH, strong: float = STRONG, min_quality: float = MIN_QUALITY):
-        self.people, self.next_id = {p.person_id: p for p in people}, next_id
-        self.match, self.strong, self.min_quality = match, strong, min_quality
-        self._stale = True
-
-    def candidates(self, v: np.ndarray) -> list[tuple[float, int]]:
-        """Best people, by centroid; close ones also by their exemplars."""
-        if self._stale:
-            self._ids = list(self.people)
-            self._matrix = np.stack([p.centroid for p in self.people.values()]) if self.people else np.zeros((0, len(v)))
-            self._stale = False
-        sims = self._matrix @ v if len(self._ids) else np.zeros(0)
-        out = []
-        for i in np.argsort(-sims, kind="stable")[:SHORTLIST]:
-            s, p = float(sims[i]), self.people[self._ids[i]]
-            if s >= self.match - EXEMPLAR_SLACK and p.exemplars:
-                s = max(s, max(float(e @ v) for _, e in p.exemplars))
-            out.append((s, p.person_id))
-        return sorted(out, key=lambda c: (-c[0], c[1]))
-
-    def assign(self, faces: list[tuple[int, np.ndarray, float, float]]) -> list[tuple[int, int]]:
-        """(face id, person) of the faces (id, unit vector, quality, detector score) of one image; a person is claimed once."""
-        claimed: set[int] = set()
-        out = []
-        for face, v, quality, _ in sorted(faces, key=lambda f: (-f[2], -f[3], f[0])):
-            usable = quality >= self.min_quality
-            found = [c for c in self.candidates(v) if c[1] not in claimed]
-            best = found[0] if found else (-1.0, UNASSIGNED)
-            second = found[1][0] if len(found) > 1 else -1.0
-            who, learn = UNASSIGNED, False
-            if best[0] >= self.strong or best[0] >= self.match and best[0] - second >= MARGIN:
-                who, learn = best[1], usable
-            elif best[0] >= self.match:
-                who = best[1]
-            elif usable:
-                who, learn = self.next_id, True
-                self.people[who] = PersonState(who, np.zeros_like(v), 0.0, fresh=True)
-                self.next_id += 1
-            if who != UNASSIGNED:
-                p = self.people[who]
-                p.faces, p.dirty = p.faces + 1, True
-                if quality > p.cover_quality:
-                    p.cover, p.cover_quality = face, quality
-                if learn:
-                    p.absorb(v, quality)
-                    self._stale = True
-                claimed.add(who)
-            out.append((face, who))
-        return out
-
-
-def load_states(people: DataFrame, faces: DataFrame | None = None) -> list[PersonState]:
-    """States of known people; a stored person's weight is taken as 0.6 a face, one face at least."""
-    kept: dict[int, list[tuple[float, np.ndarray]]] = {}
-    if faces is not None:
-        for r in exemplars(faces).select("person_id", "quality", "vector").collect():  # six a person
-            kept.setdefault(r.person_id, []).append((float(r.quality or 0), np.asarray(r.vector, float)))
-    return [PersonState(r.person_id, np.asarray(r.centroid, float), 0.6 * max(r.face_count or 0, 1), r.face_count or 0, r.cover_face_id if r.cover_face_id is not None else -1, exemplars=kept.get(r.person_id, [])) for r in people.where(F.col("centroid").isNotNull()).select("person_id", "centroid", "face_count", "cover_face_id").collect()]
-
-
-STATE = "centroid array<float>, face_count int, cover_face_id bigint, fresh boolean"
-
-
-def assign_online(faces: DataFrame, people: DataFrame, known_faces: DataFrame | None = None, next_id: int | None = None) -> DataFrame:
-    """(face_id, person_id) of new faces, in order of image. A micro-batch is one sequence: order decides, so one task works on it."""
-    return assign_states(faces, people, known_faces, next_id).where("face_id IS NOT NULL").select("face_id", "person_id")
-
-
-def assign_states(faces: DataFrame, people: DataFrame, known_faces: DataFrame | None = None, next_id: int | None = None) -> DataFrame:
-    """Rows of assign_online and, without a face id, the state of each person that is new or has changed."""
-    ship(faces.sparkSession)
-    states = load_states(people, known_faces)
-    start = next_id if next_id is not None else max([p.person_id for p in states], default=-1) + 1
-
-    columns = ["face_id", "person_id", "centroid", "face_count", "cover_face_id", "fresh"]
-
-    def given(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*r, *[None] * (len(columns) - len(r))) for r in rows], columns=columns).astype({"face_id": "Int64", "person_id": "Int32", "face_count": "Int32", "cover_face_id": "Int64", "fresh": "boolean"})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = Assigner(states, start)
-        image, held = None, []
-        for b in batches:
-            for r in b.itertuples(index=False):
-                if r.image_id != image and held:
-                    yield given(a.assign(held))
-                    held = []
-                v = np.asarray(r.vector, float)
-                image = r.image_id
-                held.append((r.face_id, v / max(np.linalg.norm(v), 1e-12), float(r.quality or 0), float(r.det_score or 0)))
-        if held:
-            yield given(a.assign(held))
-        if told := [(None, p.person_id, p.centroid.astype(np.float32), p.faces, p.cover, p.fresh) for p in a.people.values() if p.dirty]:
-            yield given(told)
-
-    ordered = faces.select("image_id", "face_id", "vector", "quality", "det_score").coalesce(1).sortWithinPartitions("image_id", "face_id")
-    return ordered.mapInPandas(run, f"face_id bigint, person_id int, {STATE}")
-
-
 def flushed(people: DataFrame, states: DataFrame) -> DataFrame:
     """People with the centroids, counts and covers of their new states, and the new people."""
     new = states.where("face_id IS NULL").select("person_id", *(F.col(c).alias(f"__{c}") for c in ("centroid", "face_count", "cover_face_id")), F.col("fresh"))

@@ -18,6 +18,7 @@ from ..operators import browse as B
 from ..operators import details as DT
 from ..operators import duplicates as D
 from ..operators import identity as I
+from ..operators import online
 from ..operators import vectors as V
 from ..sources import media as M
 from ..storage import saved
@@ -559,7 +560,7 @@ def event_windows(spark, d):
 def online_people(spark, d):
     v = W.vectors(spark, d).select(F.col("image_id"), F.col("image_id").alias("face_id"), "vector", F.lit(0.8).alias("quality"), F.lit(0.9).alias("det_score"))
     none = spark.range(0).select(F.col("id").cast("int").alias("person_id"), F.array().cast("array<float>").alias("centroid"), F.lit(0).alias("face_count"), F.lit(-1).cast("bigint").alias("cover_face_id"))
-    return I.assign_online(v, none)
+    return online.assign_online(v, none)
 
 
 @_query()

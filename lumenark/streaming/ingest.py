@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import backends, metadata
 from ..functions import parsing as P
 from ..library import Library, without
-from ..operators import identity
+from ..operators import identity, online
 from ..sources.media import changes, is_video, media_files
 from ..storage import saved
 
@@ -60,8 +60,8 @@ def index_directory(library: Library, root: str, make_embedder, make_faces, prun
 
     A changed file's old rows go in the commit that brings its new ones, so no reader
     misses it, and a stopped run goes on where it was. Contents are read for the files of
-    one commit alone. Their faces go to people in order of image, in one task: it holds a
-    batch, whatever the folder's size, and people as its state.
+    one commit alone. Their faces go to people in order of image; the task that decides
+    holds a batch of faces and the people near them.
     """
     spark, at = library.spark, library.snapshot()
     known = at.table("images", ("image_id", "path", "file_size", "mtime"))
@@ -96,7 +96,7 @@ def _index_batch(library: Library, root: str, todo: DataFrame, stale: DataFrame,
         return counts
     old_faces = without(at.table("faces"), stale, "image_id")
     people = at.table("people")
-    states = saved(spark, identity.assign_states(found, people, old_faces.where("person_id >= 0"), library.next_id("people", "person_id")), "states")
+    states = saved(spark, online.assign_states(found, people, old_faces.where("person_id >= 0"), library.next_id("people", "person_id")), "states")
     given = found.join(states.where("face_id IS NOT NULL").select("face_id", "person_id"), "face_id").withColumns({"confirmed": F.lit(False), "crop_path": F.lit("")})
     counts["people_created"] = states.where("fresh").count()
     of_image = identity.people_of_images(given)

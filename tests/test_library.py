@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenark.functions import backends, parsing
 from lumenark.library import Library, NotFound, SchemaMismatch
-from lumenark.operators import albums, browse, details, duplicates, graph, identity, vectors
+from lumenark.operators import albums, browse, details, duplicates, graph, identity, online, vectors
 from lumenark.sources import media
 from lumenark.streaming import ingest
 
@@ -205,7 +205,7 @@ def test_knn_blocks_agree_with_broadcast(spark):
 
 
 def test_assignment_rules():
-    a = identity.Assigner([], 0)
+    a = online.Assigner([], 0)
     v, w = np.array(unit(1)), np.array(unit(2))
     assert a.assign([(1, v, 0.9, 1.0)]) == [(1, 0)]
     assert a.assign([(2, v, 0.9, 1.0), (3, v, 0.8, 1.0)]) == [(2, 0), (3, 1)]  # one person once an image
