@@ -464,8 +464,7 @@ def near_duplicate_pairs_exact(spark, d):
 
 @_query(f"WITH RECURSIVE {_HASHES}, e AS (SELECT x.image_id AS a, y.image_id AS b FROM hashes x JOIN hashes y ON x.image_id <> y.image_id WHERE x.phash <> 0 AND y.phash <> 0 AND bit_count(xor(x.phash, y.phash)) <= 2), reach(n, m) AS (SELECT image_id, image_id FROM hashes UNION SELECT r.n, e.b FROM reach r JOIN e ON r.m = e.a), g AS (SELECT n, min(m) AS label FROM reach GROUP BY n) SELECT label AS group_id, list_sort(list(n)) AS ids, count(*) AS n FROM g GROUP BY label HAVING count(*) > 1")
 def near_duplicate_groups(spark, d):
-    h = _hashes(spark, d)
-    return D.groups(h, D.exact_pairs(h, 2))
+    return D.hash_groups(_hashes(spark, d), 2)
 
 
 @_query(f"WITH RECURSIVE {_HASHES}, e AS (SELECT x.image_id AS a, y.image_id AS b FROM hashes x JOIN hashes y ON x.image_id <> y.image_id WHERE x.phash <> 0 AND y.phash <> 0 AND bit_count(xor(x.phash, y.phash)) <= 2), reach(n, m) AS (SELECT image_id, image_id FROM hashes UNION SELECT r.n, e.b FROM reach r JOIN e ON r.m = e.a), g AS (SELECT n, min(m) AS label FROM reach GROUP BY n), ex AS (SELECT list_sort(list(doc_id)) AS ids FROM documents GROUP BY sha256(text) HAVING count(*) > 1), mem AS (SELECT unnest(ids) AS i FROM ex) SELECT 'exact' AS kind, ids FROM ex UNION ALL SELECT 'near', list_sort(list(n)) FROM g WHERE n NOT IN (SELECT i FROM mem) GROUP BY label HAVING count(*) > 1")

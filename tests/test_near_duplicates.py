@@ -77,3 +77,21 @@ def test_text_prints(spark):
     apart = lambda a, b: bin((got[a] ^ got[b]) & (2**64 - 1)).count("1")
     assert got[4] is None and got[5] is None and got[6] is not None
     assert apart(1, 3) == 0 and apart(1, 2) <= 6 and apart(1, 7) > 12
+
+
+def test_groups_of_packed_numbers_make_no_pairs_of_copies(spark):
+    """The query's own hashes: 1500 equal ones, and as many of one link, are nodes and links of hashes; before, all pairs of rows were made."""
+    from lumenark.plans import catalogue
+
+    made = []
+    whole, catalogue.D.exact_pairs = catalogue.D.exact_pairs, lambda *a, **k: made.append(a) or whole(*a, **k)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.when(F.col("id") < 1500, 4).otherwise(5).cast("bigint").alias("n_chars"))
+    table, catalogue.W.table = catalogue.W.table, lambda *_: docs
+    try:
+        got = catalogue.near_duplicate_groups(spark, "").collect()
+        rows = [(r.image_id, r.phash) for r in catalogue._hashes(spark, "").where("image_id < 1700 AND image_id > 1400").collect()]
+    finally:
+        catalogue.D.exact_pairs, catalogue.W.table = whole, table
+    assert not made and sum(r.n for r in got) <= 3000
+    df = spark.createDataFrame(rows, "image_id bigint, phash bigint")
+    assert {(r.group_id, tuple(r.ids)) for r in duplicates.hash_groups(df, 2).collect()} == brute_groups(rows, 2)
