@@ -95,3 +95,28 @@ def test_groups_of_packed_numbers_make_no_pairs_of_copies(spark):
     assert not made and sum(r.n for r in got) <= 3000
     df = spark.createDataFrame(rows, "image_id bigint, phash bigint")
     assert {(r.group_id, tuple(r.ids)) for r in duplicates.hash_groups(df, 2).collect()} == brute_groups(rows, 2)
+
+
+def test_bits_that_all_hashes_share_make_no_pairs_meet(spark):
+    """Numbers in bit fields: before, the constant part alone made all pairs meet."""
+    n = 4000
+    rows = [(i, (i * 7919 % 3001 << 32) | (i % 40 << 16) | i % 97) for i in range(1, n)]
+    df = spark.createDataFrame(rows, "image_id bigint, phash bigint")
+    for d in (2, 3):
+        assert duplicates.near_hashes(df, d, count=True).count() < n * n / 2 / 20
+    few = rows[:400]
+    assert {(r.a, r.b, r.distance) for r in duplicates.exact_pairs(spark.createDataFrame(few, "image_id bigint, phash bigint"), 3).collect()} == brute(few, 3)
+
+
+def test_a_key_of_very_many_hashes_is_cut_into_tiles(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "TILE", 40)
+    monkeypatch.setattr(duplicates, "FEW", 4)
+    rows = list(enumerate(hashes(5, 300)))
+    df = spark.createDataFrame(rows, "image_id bigint, phash bigint")
+    for d in (2, 6):
+        got = [(r.a, r.b, r.distance) for r in duplicates.exact_pairs(df, d).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, d)
+    close = [(i, i + 1) for i in range(200)]  # eight bits: all are near
+    df = spark.createDataFrame(close, "image_id bigint, phash bigint")
+    assert {(r.a, r.b, r.distance) for r in duplicates.exact_pairs(df, 6).collect()} == brute(close, 6)
+    assert {(r.group_id, tuple(r.ids)) for r in duplicates.hash_groups(df, 6).collect()} == brute_groups(close, 6)
