@@ -148,6 +148,17 @@ def near_hashes(hashes: DataFrame, max_distance: int = 6, key: str = "phash", co
             apart = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(apart)], names=["x", "y", "distance"])
 
+        def linked(low: np.ndarray) -> np.ndarray:
+            """Smallest nodes that the pairs so far reach."""
+            a, b = (node[np.concatenate(x)] if x else node[:0] for x in (xs, ys))
+            while len(a):
+                a, b = low[a], low[b]
+                a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+                np.minimum.at(low, b, a)
+                while (nxt := low[low]).tobytes() != low.tobytes():
+                    low = nxt
+            return low
+
         size = 0
         for u, v in _met(h, run, (t == j).astype(np.int8), i < j):
             if u.ndim == 2:
@@ -167,21 +178,16 @@ def near_hashes(hashes: DataFrame, max_distance: int = 6, key: str = "phash", co
                 u, v = u[first], v[first]
             if not len(u):
                 continue
-            if forest:
-                a, b = node[u], node[v]
-                while len(a):
-                    a, b = low[a], low[b]
-                    a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-                    np.minimum.at(low, b, a)
-                    while (nxt := low[low]).tobytes() != low.tobytes():
-                        low = nxt
-                continue
-            xs.append(h[u])
-            ys.append(h[v])
+            xs.append(u if forest else h[u])
+            ys.append(v if forest else h[v])
             size += len(u)
             if size > EMIT:
-                yield made()
+                if forest:
+                    low = linked(low)
+                else:
+                    yield made()
                 xs, ys, size = [], [], 0
+        low = linked(low) if forest else None
         if forest:
             at = np.flatnonzero(low != np.arange(len(low)))
             xs, ys = [label[at]], [label[low[at]]]
