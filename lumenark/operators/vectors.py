@@ -19,6 +19,8 @@ from ..storage import saved
 
 #: Vectors that are broadcast at most; larger sides meet block by block.
 BROADCAST_BYTES, BLOCK = 64 << 20, 2048
+#: Rows of a group of cells, and queries of a group, in a search.
+PART = 20_000
 PLACES, SHOWN = 12, 4
 
 
@@ -36,8 +38,15 @@ def norm(v: Column) -> Column:
 
 
 def normalize(v: Column) -> Column:
-    n = norm(v)
-    return F.transform(v.cast("array<double>"), lambda x: x / n)
+    """The norm is made once a vector: within the lambda it would be made for each component."""
+    both = F.array(F.struct(v.cast("array<double>").alias("v"), norm(v).alias("n")))
+    return F.element_at(F.transform(both, lambda p: F.transform(p["v"], lambda x: x / p["n"])), 1)
+
+
+def rounded(x: Column, places: int) -> Column:
+    """Rounded half away from 0, as the sign goes: what rounds to 0 from below is -0.0."""
+    below = (x < 0) | ((x == 0) & (x.cast("string") == "-0.0"))
+    return F.when(below, -F.round(-x, places)).otherwise(F.round(x, places))
 
 
 def literal(vector: list[float]) -> Column:
@@ -86,14 +95,38 @@ def mean_direction(rows: DataFrame, vector: str = "vector") -> list[float] | Non
     return (v / max(np.linalg.norm(v), 1e-12)).tolist() if len(v) else None
 
 
-def _best(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.ndarray, k: int, threshold: float) -> pd.DataFrame:
-    out = []
+def _pieces(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.ndarray, k: int, threshold: float) -> Iterator[pd.DataFrame]:
+    """The k best others of each row, by blocks of rows. A block meets the others by tiles of BLOCK rows; what is held of it is cut to the k best a row when it has more, and these bound what the next tiles add. With k above the number of others nothing is held."""
     for lo in range(0, len(ids) if len(other) else 0, BLOCK):
-        s = np.round(x[lo : lo + BLOCK] @ other.T, PLACES)
-        s[ids[lo : lo + BLOCK, None] == other_ids[None, :]] = -np.inf
-        r, c = np.nonzero(s >= threshold)
-        d = pd.DataFrame({"a": ids[lo + r], "b": other_ids[c], "score": s[r, c]}).sort_values(["a", "score", "b"], ascending=[True, False, True])
-        out.append(d.groupby("a", sort=False).head(k))
+        mine, least = x[lo : lo + BLOCK], np.full(min(BLOCK, len(ids) - lo), threshold)
+        held, size = [], 0
+
+        def cut(held: list[pd.DataFrame]) -> pd.DataFrame:
+            d = pd.concat(held).sort_values(["a", "score", "b"], ascending=[True, False, True])
+            return d.groupby("a", sort=False).head(k)
+
+        for at in range(0, len(other), BLOCK):
+            s = np.round(mine @ other[at : at + BLOCK].T, PLACES)
+            s[ids[lo : lo + BLOCK, None] == other_ids[None, at : at + BLOCK]] = -np.inf
+            r, c = np.nonzero(s >= least[:, None])
+            d = pd.DataFrame({"r": r, "a": ids[lo + r], "b": other_ids[at + c], "score": s[r, c]})
+            if k >= len(other):
+                yield d.drop(columns="r")
+                continue
+            held.append(d)
+            size += len(d)
+            if size > 2 * k * len(mine):
+                held = [cut(held)]
+                size = len(held[0])
+                full = held[0].groupby("r")["score"].agg(["size", "min"])
+                full = full[full["size"] >= k]
+                least[full.index] = np.maximum(threshold, full["min"])
+        if held:
+            yield cut(held).drop(columns="r")
+
+
+def _best(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.ndarray, k: int, threshold: float) -> pd.DataFrame:
+    out = list(_pieces(ids, x, other_ids, other, k, threshold))
     return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64"), "score": np.zeros(0)})
 
 
@@ -209,6 +242,7 @@ def knn(rows: DataFrame, k: int = 20, threshold: float = 0.42, id_: str = "image
     stat = src.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     if stat[0] * stat[1] * 8 > broadcast_bytes:
         return knn_by_cells(rows, k, threshold, id_, vector).edges
+    src = src.repartition(max(spark.sparkContext.defaultParallelism * 4, 1))  # the work is the product of a task's rows with all
     local = src.toPandas().sort_values("id")
     sent = spark.sparkContext.broadcast((local["id"].to_numpy(), _unit(local["v"])))
 
@@ -216,7 +250,7 @@ def knn(rows: DataFrame, k: int = 20, threshold: float = 0.42, id_: str = "image
         ids, x = sent.value
         for b in batches:
             if len(b):
-                yield _best(b["id"].to_numpy(), _unit(b["v"]), ids, x, k, threshold)
+                yield from _pieces(b["id"].to_numpy(), _unit(b["v"]), ids, x, k, threshold)
 
     return src.mapInPandas(run, "a bigint, b bigint, score double")
 
@@ -229,13 +263,14 @@ def _top_pairs(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.
     """The best n pairs a < b of held and new ones. The threshold rises to the worst of n, so few pairs are made."""
     parts, size = [held], len(held)
     for lo in range(0, len(ids) if len(other) else 0, BLOCK):
-        s = np.round(x[lo : lo + BLOCK] @ other.T, PLACES)
-        r, c = np.nonzero((s >= threshold) & (ids[lo : lo + BLOCK, None] < other_ids[None, :]))
-        parts.append(pd.DataFrame({"a": ids[lo + r], "b": other_ids[c], "score": s[r, c]}))
-        size += len(r)
-        if size > 2 * n:
-            parts = [_top(pd.concat(parts), n)]
-            size, threshold = n, max(threshold, float(parts[0]["score"].iloc[-1]))
+        for at in range(0, len(other), BLOCK):
+            s = np.round(x[lo : lo + BLOCK] @ other[at : at + BLOCK].T, PLACES)
+            r, c = np.nonzero((s >= threshold) & (ids[lo : lo + BLOCK, None] < other_ids[None, at : at + BLOCK]))
+            parts.append(pd.DataFrame({"a": ids[lo + r], "b": other_ids[at + c], "score": s[r, c]}))
+            size += len(r)
+            if size > 2 * n:
+                parts = [_top(pd.concat(parts), n)]
+                size, threshold = n, max(threshold, float(parts[0]["score"].iloc[-1]))
     return _top(pd.concat(parts), n)
 
 
@@ -273,7 +308,8 @@ def top_pairs(rows: DataFrame, n: int, threshold: float, id_: str = "image_id",
 
 
 def mutual(edges: DataFrame) -> DataFrame:
-    """Edges that exist in both directions, once, a < b."""
+    """Edges that exist in both directions, once, a < b. They are made once, not for each side."""
+    edges = saved(edges.sparkSession, edges, "edges")
     return edges.alias("x").join(edges.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).where("x.a < x.b").select("x.a", "x.b", "x.score")
 
 
@@ -332,19 +368,42 @@ class CellIndex:
         return int(need[max(int(np.ceil(target * len(need))) - 1, 0)]) + 1 if len(need) else 1
 
     def search_all(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
-        """(query_id, id, score): for each query row the k best other rows of its nearest cells; ties by id."""
-        id_, vector, centres = self.id_, self.vector, self.centres
+        """(query_id, id, score): for each query row the k best other rows of its nearest cells; ties by id.
+
+        Cells and queries are dealt into groups of about PART rows; a task multiplies a group
+        of cells with a group of queries, each cell with the queries that probe it.
+        """
+        id_, vector, centres, least = self.id_, self.vector, self.centres, -2.0
+        src = queries.where(F.col(vector).isNotNull()).select(F.col(id_).cast("bigint").alias("id"), F.col(vector).alias("v"))
+        rows = self.rows.select(F.col(id_).cast("bigint").alias("id"), F.col(vector).alias("v"), "cell")
+        many = max(-(-rows.count() // PART), min(self.spark.sparkContext.defaultParallelism, len(centres)))
+        lots = max(-(-src.count() // PART), 1)
+        kind = dict(src.dtypes)["v"]
 
         def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b):
-                    near = np.argsort(-(_unit(b["q"]) @ centres.T), axis=1, kind="stable")[:, :probes]
+                    near = np.argsort(-(_unit(b["v"]) @ centres.T), axis=1, kind="stable")[:, :probes]
                     yield b.assign(near=list(near.astype("int32")))
 
-        src = queries.where(F.col(vector).isNotNull()).select(F.col(id_).alias("query_id"), normalize(F.col(vector)).alias("q"))
-        types = dict(src.dtypes)
-        asked = src.mapInPandas(cells, f"query_id {types['query_id']}, q array<double>, near array<int>").select("query_id", "q", F.explode("near").alias("cell"))
-        pairs = self.rows.join(asked, "cell").where(F.col(id_) != F.col("query_id"))
-        scored = pairs.select("query_id", id_, F.round(dot(normalize(F.col(vector)), F.col("q")), PLACES).alias("score"))
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_)
-        return scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+        asked = src.mapInPandas(cells, f"id bigint, v {kind}, near array<int>").withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(lots)).cast("int"))
+        asked = asked.withColumn("part", F.explode(F.array_distinct(F.transform("near", lambda c: c % many))))
+        rows = rows.withColumn("part", F.col("cell") % many).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+
+        def met(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(x) and len(y):
+                q, near = _unit(x["v"]), np.zeros((len(x), len(centres)), bool)
+                np.put_along_axis(near, np.stack(x["near"].to_list()), True, 1)
+                for cell, d in y.groupby("cell"):
+                    at = np.flatnonzero(near[:, cell])
+                    if len(at):
+                        out.append(_best(x["id"].to_numpy()[at], q[at], d["id"].to_numpy(), _unit(d["v"]), k, least))
+            d = pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64"), "score": np.zeros(0)})
+            return d.sort_values(["a", "score", "b"], ascending=[True, False, True]).groupby("a", sort=False).head(k)
+
+        scored = asked.groupBy("part", "lot").cogroup(rows.groupBy("part", "lot")).applyInPandas(met, "a bigint, b bigint, score double")
+        w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+        best = scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+        types = dict(self.rows.dtypes)
+        return best.select(F.col("a").cast(types[id_]).alias("query_id"), F.col("b").cast(types[id_]).alias(id_), "score")
