@@ -334,7 +334,7 @@ def vector_top_k(spark, d):
 
 @_query(f"SELECT image_id, list_transform({_UNIT}, lambda x: round(x, 6)) AS v FROM vectors")
 def normalised_vectors(spark, d):
-    return W.vectors(spark, d).select("image_id", F.transform(V.normalize(F.col("vector")), lambda x: F.round(x, 6)).alias("v"))
+    return W.vectors(spark, d).select("image_id", F.transform(V.normalize(F.col("vector")), lambda x: V.rounded(x, 6)).alias("v"))
 
 
 @_query("WITH e AS (SELECT label, image_id, greatest((image_id % 10) / 10.0, 0.001) AS w, unnest(vector) AS v, generate_subscripts(vector, 1) AS pos FROM vectors), m AS (SELECT label, pos, sum(CAST(v AS DOUBLE) * w) / sum(w) AS v FROM e GROUP BY label, pos), n AS (SELECT label, sqrt(sum(v * v)) AS n FROM m GROUP BY label) SELECT label, pos, round(v / n, 4) AS v FROM m JOIN n USING (label)")
@@ -372,10 +372,13 @@ def face_clusters(spark, d):
 def merge_suggestions(spark, d):
     v = W.vectors(spark, d)
     people = v.select(F.col("image_id").cast("int").alias("person_id"), F.when(F.col("image_id") % 3 != 0, F.lit("x")).otherwise("").alias("name"), F.lit(False).alias("hidden"), F.col("vector").alias("centroid"))
-    # Photos that hold a person and all later ones with which the sum of ids leaves 1 when divided by 4.
+    # Photos that hold a person and all later ones with which the sum of ids leaves 1 when divided by 4; a row a photo and person, as their number grows with the square of the ids.
     ids = v.select(F.col("image_id").cast("int").alias("p"))
-    pairs = ids.alias("a").join(ids.alias("b"), (F.pmod(F.col("a.p"), F.lit(4)) == F.pmod(F.lit(1) - F.col("b.p"), F.lit(4))) & (F.col("a.p") < F.col("b.p")))
-    photos = pairs.groupBy((F.col("a.p") + 10000).cast("bigint").alias("image_id")).agg(F.array_union(F.array(F.min("a.p")), F.collect_list("b.p")).alias("people_ids"))
+    first = ids.withColumn("r", F.pmod(F.lit(1) - F.col("p"), F.lit(4))).repartition(spark.sparkContext.defaultParallelism * 4)
+    later = ids.select(F.col("p").alias("b"), F.pmod("p", F.lit(4)).alias("r"))
+    photo = (F.col("p") + 10000).cast("bigint").alias("image_id")
+    own = first.join(F.broadcast(later.groupBy("r").agg(F.max("b").alias("b"))), "r").where("p < b").select(photo, F.array("p").alias("people_ids"))
+    photos = own.unionByName(first.join(F.broadcast(later), "r").where("p < b").select(photo, F.array("b").alias("people_ids")))
     near = V.knn(v, k=1 << 30).where("a < b AND (a + b) % 5 = 0").select("a", "b")
     return I.merge_suggestions(people, photos, dismissed=near)
 
