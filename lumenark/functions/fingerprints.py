@@ -18,6 +18,18 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 KEPT = 1 << 18
 
 
+def text_print(text: bytes | None, known: dict[bytes, bytes]) -> int | None:
+    """The fingerprint of one text. known: hashes of words met before; only this text's words are looked up, so its size costs no time."""
+    words = set(_WORD.findall(text or b""))
+    if not words:
+        return None
+    for w in words:
+        if w not in known:
+            known[w] = md5(w).digest()[8:]
+    bits = np.unpackbits(np.frombuffer(b"".join([known[w] for w in words]), np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(words)).view(">i8")[0])
+
+
 def text_prints(rows: DataFrame, id_: str, text: str) -> DataFrame:
     """(id, phash): each bit is what most of the different words of a text have in the last half of their MD5 (ties: 0). Null where there is no word."""
     ship(rows.sparkSession)
@@ -27,12 +39,8 @@ def text_prints(rows: DataFrame, id_: str, text: str) -> DataFrame:
         known: dict[bytes, bytes] = {}
         for b in batches:
             out = []
-            for t in b.column(1).to_pylist():
-                words = set(_WORD.findall(t or b""))
-                for w in words - known.keys():
-                    known[w] = md5(w).digest()[8:]
-                bits = np.unpackbits(np.frombuffer(b"".join(known[w] for w in words), np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-                out.append(int(np.packbits(2 * bits > len(words)).view(">i8")[0]) if words else None)
+            for t in b.column(1):
+                out.append(text_print(t.as_py(), known))
                 if len(known) > KEPT:
                     known.clear()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["id", "phash"])

@@ -120,3 +120,18 @@ def test_a_key_of_very_many_hashes_is_cut_into_tiles(spark, monkeypatch):
     df = spark.createDataFrame(close, "image_id bigint, phash bigint")
     assert {(r.a, r.b, r.distance) for r in duplicates.exact_pairs(df, 6).collect()} == brute(close, 6)
     assert {(r.group_id, tuple(r.ids)) for r in duplicates.hash_groups(df, 6).collect()} == brute_groups(close, 6)
+
+
+def test_a_text_costs_its_own_words_alone():
+    """Before, every text went through all words met by its task."""
+
+    class Known(dict):
+        def keys(self):
+            raise AssertionError("all words are read")
+
+        __iter__ = keys
+
+    known = Known((f"w{i}".encode(), bytes(8)) for i in range(10))
+    assert fingerprints.text_print(b"w1 w2", known) == 0 and len(known) == 10
+    assert fingerprints.text_print(b" other\nw1\tother ", known) == fingerprints.text_print(b"other w1", {b"w1": bytes(8)}) and len(known) == 11
+    assert fingerprints.text_print(b" \n", known) is None and fingerprints.text_print(None, known) is None
