@@ -222,9 +222,10 @@ def groups(rows: DataFrame, pairs: DataFrame, id_: str = "image_id") -> DataFram
 
 
 def duplicates(images: DataFrame, max_distance: int = 6, limit: int | None = None, exact: bool = False) -> DataFrame:
-    """Exact groups first, then near groups without their members; by kind and smallest id."""
+    """Exact groups first, then near groups without their members; by kind and smallest id. Images are made once, for all that reads them."""
     from .aggregates import exact_duplicates
 
+    images = saved(images.sparkSession, images.select("image_id", "content_hash", "phash"), "duplicates")
     same = exact_duplicates(images).select(F.lit("exact").alias("kind"), "ids")
     members = same.select(F.explode("ids").alias("image_id")).distinct()
     rest = images.join(members, "image_id", "left_anti")

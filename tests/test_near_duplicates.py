@@ -135,3 +135,20 @@ def test_a_text_costs_its_own_words_alone():
     assert fingerprints.text_print(b"w1 w2", known) == 0 and len(known) == 10
     assert fingerprints.text_print(b" other\nw1\tother ", known) == fingerprints.text_print(b"other w1", {b"w1": bytes(8)}) and len(known) == 11
     assert fingerprints.text_print(b" \n", known) is None and fingerprints.text_print(None, known) is None
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_a_listing_makes_its_images_once(spark, tmp_path, exact):
+    """Before, content hashes and fingerprints were made anew for exact groups, for members and for near groups."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rows = [(1, "a", 7 << 20), (2, "a", 7 << 20), (3, "b", 7 << 40), (4, "c", 7 << 40 | 1), (5, "d", -9), (6, "", 7 << 40), (7, None, None)]
+    df = spark.createDataFrame(rows, "image_id bigint, content_hash string, phash bigint")
+    got = duplicates.duplicates(df.mapInPandas(counted, df.schema), 2, exact=exact).collect()
+    assert [(r.kind, r.ids) for r in got] == [("exact", [1, 2]), ("near", [3, 4, 6])]
+    assert made.value == len(rows)
