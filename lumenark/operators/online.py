@@ -22,6 +22,7 @@ from ..storage import discard, saved
 from .identity import EXEMPLAR_SLACK, EXEMPLARS, MARGIN, MATCH, MIN_QUALITY, SHORTLIST, STRONG, exemplars
 
 BATCH, KEPT, CHUNK = 4096, 8, 256  # faces a batch; people kept a face (SHORTLIST at least); people compared at a time
+LISTED = 4  # a face's list is so many times as long as what it brings to the task: what follows proves who is absent
 NO_IMAGE = -(1 << 63)
 
 
@@ -273,14 +274,17 @@ def assign_states(faces: DataFrame, people: DataFrame, known_faces: DataFrame |
         part = todo.where((F.col("nth") >= done) & (F.col("nth") < done + batch))
         held = part.select("nth", "image_id", "vector").toPandas()  # a batch
         held["vector"] = [unit(v) for v in held.vector]
-        near = saved(spark, shortlists(states, held, match - EXEMPLAR_SLACK, kept), "online-near")
+        near = saved(spark, shortlists(states, held, match - EXEMPLAR_SLACK, kept * LISTED), "online-near")
+        here = near.where(F.col("rank") <= kept).select("person_id").distinct()
         # People of the image that the last batch ended in are met as they stand there.
-        loaded = states.join(near.select("person_id").distinct(), "person_id", "left_semi")
+        loaded = states.join(here, "person_id", "left_semi")
         if known_faces is not None:
             wanted = known_faces.join(loaded.where("exemplars IS NULL").select("person_id"), "person_id", "left_semi").where("vector IS NOT NULL")
             kept_faces = exemplars(wanted).groupBy("person_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.coalesce("quality", F.lit(0.0)).cast("double").alias("quality"), F.transform("vector", lambda x: x.cast("double")).alias("vector")))).alias("found"))  # six a person
             loaded = loaded.join(kept_faces, "person_id", "left").withColumn("exemplars", F.coalesce("exemplars", F.transform("found", lambda x: F.struct(x["quality"].alias("quality"), x["vector"].alias("vector")))))
-        last = near.where(F.col("rank") == kept).select("nth", F.col("sim").alias("last_sim"), F.col("person_id").alias("last_id"))
+        # No absent person comes before the first on a face's list that no face brings, nor before the end of a full list.
+        bound = near.join(here.withColumn("here", F.lit(True)), "person_id", "left").where((F.col("rank") == kept * LISTED) | F.col("here").isNull())
+        last = bound.groupBy("nth").agg(F.min_by(F.struct("sim", "person_id"), "rank").alias("last")).select("nth", F.col("last.sim").alias("last_sim"), F.col("last.person_id").alias("last_id"))
         asked = part.join(last, "nth", "left").withColumn("batch", F.lit(0))
         run = _replay(match, strong, min_quality, next_id)
         there = loaded.select(*_COLUMNS, F.lit(0).alias("batch"))

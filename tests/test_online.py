@@ -92,3 +92,14 @@ def test_odd_faces(spark):
     got = online.assign_online(spark.createDataFrame(rows, FACES), odd)
     assert got.columns == ["face_id", "person_id"]
     assert sorted(map(tuple, got.collect())) == [(1, -1), (2, -1), (3, -1), (4, -1), (5, 3), (5, 3)]
+
+
+def test_batches_are_whole_where_no_near_person_is_absent(spark, monkeypatch):
+    """Before, a batch ended where a face's own list did not suffice, although other faces had brought all people there are."""
+    began, real = [], online.shortlists
+    monkeypatch.setattr(online, "shortlists", lambda *a: began.append(1) or real(*a))
+    vs, _ = vectors(300, 25, 24, 0.9, 3)
+    faces = [(i, i, v, 0.8, 0.9, "x") for i, v in enumerate(vs)]
+    got = online.assign_online(spark.createDataFrame(faces, FACES), spark.createDataFrame([], PEOPLE), batch=100, kept=5).collect()
+    assert {r.face_id: r.person_id for r in got} == sequential(faces, [], 0)[0]
+    assert len(began) == 3
