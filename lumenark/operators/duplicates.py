@@ -197,11 +197,14 @@ def near_hashes(hashes: DataFrame, max_distance: int = 6, key: str = "phash", co
 
 
 def exact_pairs(rows: DataFrame, max_distance: int = 6, id_: str = "image_id", key: str = "phash") -> DataFrame:
-    """(a, b, distance), a < b: all pairs of rows within the distance; equal hashes are one node until the end. `hash_groups` needs no pairs of rows."""
+    """(a, b, distance), a < b: all pairs of rows within the distance; equal hashes are one node until the end. `hash_groups` needs no pairs of rows.
+
+    Spark takes the pairs to be as few as the hashes they are made of and would broadcast them: the hints keep the rows' ids as the tables that are hashed.
+    """
     src = rows.where(F.col(key).isNotNull() & (F.col(key) != 0)).select(F.col(id_).alias("id"), F.col(key).alias("h"))
     near = near_hashes(src, max_distance, "h")
     left, right = src.select(F.col("id").alias("i"), F.col("h").alias("x")), src.select(F.col("id").alias("j"), F.col("h").alias("y"))
-    apart = near.join(left, "x").join(right, "y").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance").where("a <> b")
+    apart = near.join(left.hint("shuffle_hash"), "x").join(right.hint("shuffle_hash"), "y").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance").where("a <> b")
     same = left.join(right, F.col("x") == F.col("y")).where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(0).alias("distance"))
     return apart.unionByName(same)
 

@@ -152,3 +152,17 @@ def test_a_listing_makes_its_images_once(spark, tmp_path, exact):
     got = duplicates.duplicates(df.mapInPandas(counted, df.schema), 2, exact=exact).collect()
     assert [(r.kind, r.ids) for r in got] == [("exact", [1, 2]), ("near", [3, 4, 6])]
     assert made.value == len(rows)
+
+
+def test_pairs_are_never_broadcast(spark):
+    """Many pairs of few hashes: before, Spark took them to be as small as the hashes and sent them all through the driver."""
+    df = spark.range(40000).select(F.col("id").alias("image_id"), (F.col("id") % 200 + 1).alias("phash"))
+    got = duplicates.exact_pairs(df, 3)
+    lines = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-|"))
+    inside = None
+    for x in lines:
+        inside = None if inside is not None and depth(x) <= inside else inside
+        inside = depth(x) if inside is None and "BroadcastExchange" in x else inside
+        assert inside is None or "FlatMapGroupsInArrow" not in x
+    assert sum("ShuffledHashJoin" in x for x in lines) == 2
