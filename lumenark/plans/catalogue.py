@@ -500,8 +500,8 @@ def near_duplicate_groups_whole(spark, d):
 @_query(f"WITH RECURSIVE {_PRINT_EDGES}, ex AS (SELECT list_sort(list(doc_id)) AS ids FROM documents GROUP BY sha256(text) HAVING count(*) > 1), mem AS (SELECT unnest(ids) AS i FROM ex) SELECT 'exact' AS kind, ids FROM ex UNION ALL SELECT 'near', list_sort(list(image_id)) FROM g WHERE image_id NOT IN (SELECT i FROM mem) GROUP BY label HAVING count(*) > 1")
 def duplicates_listing_whole(spark, d):
     """Exact groups, then near groups at the operator's own distance."""
-    docs = W.table(spark, d, "documents").select(F.col("doc_id").alias("image_id"), P.content_key(F.col("text")).alias("content_hash"))
-    return D.duplicates(docs.join(_prints(spark, d), "image_id"), exact=True)
+    docs = W.table(spark, d, "documents").select(F.col("doc_id").alias("image_id"), "text", P.content_key(F.col("text")).alias("content_hash"))
+    return D.duplicates(FP.text_prints(docs, "image_id", "text", ["content_hash"]), exact=True)
 
 
 # Mutations, as the next version of a table.

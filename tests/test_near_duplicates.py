@@ -166,3 +166,38 @@ def test_pairs_are_never_broadcast(spark):
         inside = depth(x) if inside is None and "BroadcastExchange" in x else inside
         assert inside is None or "FlatMapGroupsInArrow" not in x
     assert sum("ShuffledHashJoin" in x for x in lines) == 2
+
+
+def test_texts_of_a_batch_are_hashed_together(monkeypatch):
+    """As text by text, but each different word of the batch is hashed once; before, a task of more words than it kept hashed them anew."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["w", "é", "\x00\x85", " "]) + str(r.randrange(900)) for _ in range(r.choice([1, 2, 5, 40, 300, 3000]))) for _ in range(80)]
+    rows = [None, "", " \t\n\v\f\r", "one", "  one ", *texts, "a\x1cb a\x1cb", None]
+    rows = [x and x.encode() for x in rows] + [b"\xff\xfe \xc3 word"]
+    want = [fingerprints.text_print(x, {}) for x in rows]
+    hashed = []
+    md5 = fingerprints.md5
+    monkeypatch.setattr(fingerprints, "md5", lambda w: hashed.append(w) or md5(w))
+    array = pa.array(rows, pa.binary())
+    for together in (1 << 22, 2000, 1):
+        monkeypatch.setattr(fingerprints, "TOGETHER", together)
+        hashed.clear()
+        assert fingerprints.prints(array).to_pylist() == want
+        assert together < 1 << 22 or len(hashed) == len(set(hashed))
+        assert fingerprints.prints(array.slice(3, 50)).to_pylist() == want[3:53]
+    assert fingerprints.prints(array.slice(0, 0)).to_pylist() == fingerprints.prints(pa.array([], pa.binary())).to_pylist() == [] and fingerprints.prints(array.slice(0, 3)).to_pylist() == [None] * 3
+
+
+def test_a_listing_of_texts_reads_them_once(spark):
+    """Before, the table was read for content hashes and again for fingerprints, and both were joined."""
+    from lumenark.plans import catalogue
+
+    read = []
+    table, catalogue.W.table = catalogue.W.table, lambda s, d, t: read.append(t) or s.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "d e f"), (4, "d\te f"), (5, None), (6, " ")], "doc_id bigint, text string")
+    try:
+        got = [(r.kind, r.ids) for r in catalogue.duplicates_listing_whole(spark, "").collect()]
+    finally:
+        catalogue.W.table = table
+    assert got == [("exact", [1, 2]), ("near", [3, 4])] and read == ["documents"]
