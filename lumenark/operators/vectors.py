@@ -16,11 +16,16 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from ..storage import saved
+from . import blocks
 
 #: Vectors that are broadcast at most; larger sides meet block by block.
 BROADCAST_BYTES, BLOCK = 64 << 20, 2048
 #: Rows of a group of cells, and queries of a group, in a search.
 PART = 20_000
+#: Bytes of vectors that a task of a join of blocks holds of the other side.
+HELD = 32 << 20
+#: As k: no more others than this are told apart, so none are ranked or left out.
+ALL = 1 << 30
 PLACES, SHOWN = 12, 4
 
 
@@ -156,23 +161,103 @@ class CellJoin:
     made: int
 
 
+def _candidates(x: np.ndarray, y: np.ndarray, x32: np.ndarray, y32: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of unit vectors whose score is at least that of x's row, and the scores. Single precision, with its largest error allowed for, leaves few pairs to score in full; where it leaves many, all are."""
+    s = x32 @ y32.T
+    slack = (x.shape[1] + 8) * 1.2e-7
+    at = np.flatnonzero(s >= (least - slack).astype(np.float32)[:, None] - np.float32(2e-7))
+    if len(at) * 20 > s.size:
+        s = np.round(x @ y.T, PLACES)
+        r, c = np.nonzero(s >= least[:, None])
+        return r, c, s[r, c]
+    r, c = np.divmod(at, len(y))
+    score = np.round(np.einsum("ij,ij->i", x[r], y[c]), PLACES)
+    ok = score >= least[r]
+    return r[ok], c[ok], score[ok]
+
+
+class _Nearest:
+    """The k best others of each row so far, of all that `meet` was given; cut to k a row when more than twice that are held, and these bound what later ones add."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, threshold: float):
+        self.ids, self.x, self.x32, self.k = ids, x, x.astype(np.float32), k
+        self.least, self.held, self.size = np.full(len(ids), threshold), [], 0
+
+    def meet(self, at: np.ndarray, other_ids: np.ndarray, other: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Rows `at` meet others. Yields what need not be held."""
+        other32 = other.astype(np.float32)
+        for lo in range(0, len(at), BLOCK // 4):
+            mine = at[lo : lo + BLOCK // 4]
+            x, x32 = self.x[mine], self.x32[mine]
+            for to in range(0, len(other), BLOCK):
+                r, c, score = _candidates(x, other[to : to + BLOCK], x32, other32[to : to + BLOCK], self.least[mine])
+                keep = self.ids[mine[r]] != other_ids[to + c]
+                d = pd.DataFrame({"r": mine[r[keep]], "b": other_ids[to + c[keep]], "score": score[keep]})
+                if self.k >= ALL:
+                    yield self._named(d)
+                    continue
+                self.held.append(d)
+                self.size += len(d)
+                if self.size > 2 * self.k * len(self.ids) + BLOCK:
+                    self._cut()
+
+    def _cut(self) -> None:
+        d = pd.concat(self.held).sort_values(["r", "score", "b"], ascending=[True, False, True])
+        d = d.groupby("r", sort=False).head(self.k)
+        full = d.groupby("r")["score"].agg(["size", "min"])
+        full = full[full["size"] >= self.k]
+        self.least[full.index] = np.maximum(self.least[full.index], full["min"])
+        self.held, self.size = [d], len(d)
+
+    def _named(self, d: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"a": self.ids[d["r"]], "b": d["b"], "score": d["score"]})
+
+    def best(self) -> Iterator[pd.DataFrame]:
+        if self.held:
+            self._cut()
+            yield self._named(self.held[0])
+
+
+def _packed(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, v, block, *keys) as blocks: a row a block, with ids, vectors and int keys as bytes, in the order of the keys. Vectors of floats stay such."""
+    kind = np.float32 if "float" in dict(rows.dtypes)["v"] else np.float64
+
+    def pack(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values([*keys, "id"])
+        v = np.stack([np.asarray(r, kind) for r in d["v"]])
+        out = {"ids": d["id"].to_numpy(np.int64), "v": v} | {k: d[k].to_numpy(np.int32) for k in keys}
+        return pd.DataFrame({"block": [d["block"].iloc[0]], "double": [kind is np.float64], **{k: [x.tobytes()] for k, x in out.items()}})
+
+    return rows.groupBy("block").applyInPandas(pack, ", ".join(["block int, double boolean, ids binary, v binary", *[f"{k} binary" for k in keys]]))
+
+
+def _unpacked(d: pd.Series, of: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a block."""
+    ids = np.frombuffer(d[f"ids_{of}"], np.int64)
+    v = np.frombuffer(d[f"v_{of}"], np.float64 if d[f"double_{of}"] else np.float32).reshape(len(ids), -1).astype(np.float64)
+    return ids, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
 def knn_by_cells(rows: DataFrame, k: int = 20, threshold: float = 0.42, id_: str = "image_id", vector: str = "vector", cells: int | None = None, sample: int = 20_000, part_rows: int = 4096) -> CellJoin:
     """The exact edges of `knn` for tables that cannot be broadcast.
 
     Rows are dealt into cells by direction (centres fitted on at most `sample` rows), large
-    cells into parts of about `part_rows`. Each cell is first joined with itself. Then a
-    pair of cells is joined only if the best cosine that their centres and widths allow
-    reaches the threshold and the worst k-th score that the first cell has so far. A task
-    has two parts; what reaches the driver are centres, and widths of cells. Vectors without
-    a direction are a cell of their own that meets all, or have no edge above 0.
+    cells into parts of about `part_rows`, and parts into blocks of about as many rows. Each
+    cell is first joined with itself. Then a pair of cells is joined only if the best cosine
+    that their centres and widths allow reaches the threshold and the worst k-th score that
+    the first cell has so far. Blocks meet where they lie (`blocks.met`): vectors are not
+    copied for the pairs, and a task keeps the k best of its block in HELD bytes of others.
+    What reaches the driver are centres, and widths of cells. Vectors without a direction
+    are a cell of their own that meets all, or have no edge above 0.
     """
     spark: SparkSession = rows.sparkSession
     ship(spark)
     src = rows.where(F.col(vector).isNotNull()).select(F.col(id_).cast("bigint").alias("id"), F.col(vector).alias("v"))
-    n = src.count()
+    n, dim = src.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     schema = "a bigint, b bigint, score double"
     if not n:
         return CellJoin(spark.createDataFrame([], schema), 0, 0)
+    k = k if k < n else ALL
     centres = fit_cells(_unit(src.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()["v"]), cells or min(ivf_params(n, 8)[0], 1024))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,49 +270,80 @@ def knn_by_cells(rows: DataFrame, k: int = 20, threshold: float = 0.42, id_: str
 
     dealt = saved(spark, src.mapInPandas(deal, f"id bigint, v {dict(src.dtypes)['v']}, cell int, near double"), "dealt")
     stat = {r.cell: (r.n, r.low) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("low")).collect()}  # a row a cell
+    if not stat:
+        return CellJoin(spark.createDataFrame([], schema), 0, 0)
     there = np.array(sorted(stat), int)
     width = np.arccos(np.clip([stat[c][1] for c in there], -1, 1)) + 1e-7
-    parts = {int(c): -(-stat[c][0] // part_rows) for c in there}
     at = np.concatenate([centres, np.zeros_like(centres[:1])])[there]
     between = np.arccos(np.clip(at @ at.T, -1, 1)) - 1e-7
     best = np.cos(np.maximum(between - width[:, None] - width[None, :], 0)) + 1e-9
 
-    def table(pairs: list[tuple[int, int]], of: int) -> DataFrame:
-        """Cells with their own parts and, of each partner, number and parts."""
-        lists: dict[int, list[tuple[int, int]]] = {}
-        for p in pairs:
-            lists.setdefault(p[of], []).append((p[1 - of], parts[p[1 - of]]))
-        return spark.createDataFrame([(c, parts[c], x) for c, x in sorted(lists.items())], "cell int, m int, partners array<struct<c: int, m: int>>")
-
-    def joined(pairs: list[tuple[int, int]]) -> DataFrame:
-        part = F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
-        names = lambda of: [f"{c}{of}" for c in ("id", "v", "i", "ip", "j", "jp")]
+    # Parts of cells, in the order of cells, fill one block after another.
+    lots, first, rows_ = [], 0, 0.0
+    holds: dict[int, set[int]] = {}
+    for i, c in enumerate(there.tolist()):
+        size, m = stat[c][0], -(-stat[c][0] // part_rows)
+        own = []
+        for _ in range(m):
+            if rows_ and rows_ + size / m > part_rows:
+                first, rows_ = first + 1, 0.0
+            rows_ += size / m
+            own.append(first)
+            holds.setdefault(first, set()).add(i)
+        lots.append((c, i, own))
+    total = first + 1
+    where = F.broadcast(spark.createDataFrame(lots, "cell int, at int, lots array<int>"))
+    lot = F.element_at("lots", F.pmod(F.xxhash64("id"), F.size("lots")).cast("int") + 1)
+    blocked = saved(spark, _packed(dealt.join(where, "cell").select("id", "v", lot.alias("block"), "at"), ("at",)), "blocks")
+    others = max(1, -(-n * dim * 4 // HELD), -(-4 * spark.sparkContext.defaultParallelism // total))
+    others = min(others, total)
+
+    def joined(need: np.ndarray) -> DataFrame:
+        """The best of cells i and j where need[i, j]."""
+        members = [np.array(sorted(holds.get(b, ())), int) for b in range(total)]
+        wants = np.zeros((total, len(there)), bool)
+        for b, m in enumerate(members):
+            wants[b] = need[m].any(0)
+        asks = [(b, [o for o, m in enumerate(members) if wants[b, m].any()]) for b in range(total)]
+        partners = F.broadcast(spark.createDataFrame(asks, "block int, partners array<int>"))
+        bits, shape = np.packbits(need), need.shape
 
-        def side(of: int) -> DataFrame:
-            other = dealt.join(table(pairs, of), "cell").select("id", "v", F.col("cell").alias("c0"), part.alias("p0"), F.explode("partners").alias("o"))
-            mine, theirs = ("c0", "p0"), ("o.c", "q")
-            x, y = (mine, theirs) if of == 0 else (theirs, mine)
-            other = other.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("o.m") - 1)))
-            return other.select("id", "v", *x, *y).toDF(*names(of))
-
-        def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            return _best(x["id0"].to_numpy(), _unit(x["v0"]), y["id1"].to_numpy(), _unit(y["v1"]), k, threshold)
-
-        return side(0).groupBy(*names(0)[2:]).cogroup(side(1).groupBy(*names(1)[2:])).applyInPandas(pair, schema)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            need = np.unpackbits(bits, count=shape[0] * shape[1]).reshape(shape).astype(bool)
+            now, mine = None, None
+            for batch in batches:
+                for _, d in batch.iterrows():
+                    if d["block_x"] != now:
+                        if mine is not None:
+                            yield from mine.best()
+                        now, mine, cell = d["block_x"], _Nearest(*_unpacked(d, "x"), k, threshold), np.frombuffer(d["at_x"], np.int32)
+                    ids, y = _unpacked(d, "y")
+                    theirs = np.frombuffer(d["at_y"], np.int32)
+                    cx, cy = np.unique(cell), np.unique(theirs)
+                    kinds, which = np.unique(need[np.ix_(cx, cy)], axis=0, return_inverse=True)
+                    for i, asked in enumerate(kinds):  # cells of the same partners meet them together
+                        if asked.any():
+                            rows, cols = np.isin(cell, cx[which.ravel() == i]), np.isin(theirs, cy[asked])
+                            yield from mine.meet(np.flatnonzero(rows), ids[cols], y[cols])
+            if mine is not None:
+                yield from mine.best()
+
+        x = blocked.join(partners, "block")
+        return blocks.met(x, total, blocked, others, F.array_contains("partners_x", F.col("block_y"))).mapInPandas(run, schema)
 
     w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    ranked = lambda df: df.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
-    own = saved(spark, ranked(joined([(int(c), int(c)) for c in there])), "own-edges")
+    ranked = lambda df: df.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k) if k < ALL else df.withColumn("n", F.lit(0))
+    own = saved(spark, ranked(joined(np.eye(len(there), dtype=bool))), "own-edges")
     full = own.where(F.col("n") == k).select(F.col("a").alias("id"), "score")
     worst = dealt.select("id", "cell").join(full, "id", "left").groupBy("cell").agg(F.min(F.coalesce("score", F.lit(-2.0))).alias("s"))
     need = {r.cell: max(threshold, r.s) for r in worst.collect()}  # a row a cell
     least = np.array([need[c] for c in there])
     np.fill_diagonal(best, -9.0)
-    more = [(int(there[i]), int(there[j])) for i, j in zip(*np.nonzero(best >= least[:, None]), strict=True)]
+    more = best >= least[:, None]
     edges = own.drop("n")
-    if more:
+    if more.any():
         edges = ranked(edges.unionByName(joined(more))).drop("n")
-    return CellJoin(edges, len(there) ** 2, len(there) + len(more))
+    return CellJoin(edges, len(there) ** 2, len(there) + int(more.sum()))
 
 
 def knn(rows: DataFrame, k: int = 20, threshold: float = 0.42, id_: str = "image_id", vector: str = "vector", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -26,6 +26,25 @@ def test_cells_give_the_same_edges(spark, k, threshold):
         assert edges(vectors.knn(df, k, threshold, broadcast_bytes=10)) == edges(got.edges)
 
 
+@pytest.mark.parametrize("k", [4, 1000])
+def test_blocks_of_cells_meet_without_copies(spark, monkeypatch, k):
+    """Vectors are shuffled once, not for each pair of cells; several blocks of others a task, and several tasks."""
+    monkeypatch.setattr(vectors, "HELD", 4 * 16 * 90)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    x = np.random.default_rng(6).standard_normal((240, 16)).astype(np.float32)
+    x[100] = x[7] = x[50]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "image_id bigint, vector array<float>").repartition(3)
+    got = vectors.knn_by_cells(df, k, 0.1, cells=9, part_rows=30)
+    u = vectors._unit(x)
+    s = np.round(u @ u.T, vectors.PLACES)
+    want = [(a, b) for a in range(240) for b in sorted((b for b in range(240) if b != a and s[a, b] >= 0.1), key=lambda b: (-s[a, b], b))[:k]]
+    rows = got.edges.collect()
+    assert sorted((r.a, r.b) for r in rows) == sorted(want)
+    assert max(abs(r.score - s[r.a, r.b]) for r in rows) < 1e-11
+    plan = got.edges._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
+
+
 def scanned(df):
     """Rows that the scans of a plan of one stage give."""
     plan = df._jdf.queryExecution().executedPlan()
