@@ -11,11 +11,13 @@ from ..library import Library, NotFound, Snapshot, changed
 from ..schemas import UNASSIGNED
 from ..storage import saved
 from . import vectors
-from .aggregates import centroids, photos_per_person
+from .aggregates import centroids
 from .graph import with_components
 
 MATCH, STRONG, MARGIN, MIN_QUALITY = 0.38, 0.55, 0.04, 0.25
 CLUSTER, NEIGHBOURS = 0.42, 20
+#: Candidates that are looked up as constants.
+FEW = 4096
 EXEMPLARS, SHORTLIST, EXEMPLAR_SLACK = 6, 5, 0.15
 
 
@@ -60,31 +62,42 @@ def merge_suggestions(people: DataFrame, images: DataFrame, limit: int = 20, min
     """Pairs of visible people that look alike and never share a photo; the named, then the more photographed, then the older one is the target.
 
     The most similar pairs are taken first, a few times the limit, and vetoes applied to
-    them alone. Only if too few are left are more taken, so pairs are never listed in full.
+    them alone; photos are counted for their people alone. Only if too few are left that
+    go before all others are more taken, so pairs are never listed in full.
     """
+    spark = people.sparkSession
     zero = F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x) <= 0
     alive = people.where(~F.coalesce("hidden", F.lit(False)) & F.col("centroid").isNotNull() & ~zero)
-    sides = images.select("image_id", F.explode(F.col("people_ids").cast("array<bigint>")).alias("p"))
+    lists = images.select("image_id", F.col("people_ids").cast("array<bigint>").alias("ps"))
     n = 8 * limit
     while True:
-        near = saved(people.sparkSession, vectors.top_pairs(alive, n, min_similarity, "person_id", "centroid", broadcast_bytes), "pairs")
-        # Only candidate pairs are looked up in the photos; photo pairs are never made.
-        wanted = F.broadcast(near.select(F.explode(F.array("a", "b")).alias("p")).distinct())  # 2 n ids at most
-        few = sides.join(wanted, "p")
-        together = F.broadcast(near).join(few.withColumnRenamed("p", "a"), "a").select("a", "b", "image_id").join(few.withColumnRenamed("p", "b"), ["b", "image_id"], "left_semi").select("a", "b").distinct()
+        near = saved(spark, vectors.top_pairs(alive, n, min_similarity, "person_id", "centroid", broadcast_bytes), "pairs")
+        # Only candidate pairs are looked up in the photos and among the dismissed; photo pairs are never made.
+        wanted = near.select(F.explode(F.array("a", "b")).alias("p")).distinct()  # 2 n ids at most
+        ids = [r.p for r in wanted.limit(FEW + 1).collect()]
+        few, gone = lists, dismissed
+        if len(ids) <= FEW:  # as constants they filter the tables that photos and dismissed pairs are made of
+            few = few.where(F.arrays_overlap("ps", F.lit(ids).cast("array<bigint>")))
+            gone = gone.where(F.col("a").isin(ids) & F.col("b").isin(ids)) if gone is not None else None
+        few = saved(spark, few.select("image_id", F.explode("ps").alias("p")).join(F.broadcast(wanted), "p", "left_semi"), "photos")
+        together = F.broadcast(near).join(few.withColumnRenamed("p", "a"), "a").select("a", "b", "image_id").join(few.withColumnRenamed("p", "b").hint("merge"), ["b", "image_id"], "left_semi").select("a", "b").distinct()
         pairs = near.join(together, ["a", "b"], "left_anti")
-        if dismissed is not None:
-            pairs = pairs.join(dismissed, ["a", "b"], "left_anti")
-        pairs = saved(people.sparkSession, pairs, "pairs-left")
+        if gone is not None:
+            pairs = pairs.join(gone.join(F.broadcast(near.select("a", "b")), ["a", "b"], "left_semi"), ["a", "b"], "left_anti")
+        photos = few.groupBy(F.col("p").alias("id")).agg(F.count("*").alias("photos"))
+        who = people.select(F.col("person_id").cast("bigint").alias("id"), "name").join(F.broadcast(wanted.select(F.col("p").alias("id"))), "id", "left_semi").join(photos, "id", "left")
+        who = who.select("id", F.struct((F.trim(F.coalesce("name", F.lit(""))) != "").alias("named"), F.coalesce("photos", F.lit(0)).alias("photos"), (-F.col("id")).alias("old")).alias("rank"))
+        both = pairs.join(who.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(who.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
+        first = F.col("ra") >= F.col("rb")
+        out = saved(spark, both.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("source_id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("target_id"), "score"), "pairs-left")
         found, worst = near.agg(F.count("*"), F.min("score")).first()
-        if found < n or pairs.where(F.col("score") > worst).count() >= limit:  # what was not taken is no better
+        last = near.where(F.col("score") == worst).agg(F.max("a")).first()[0] if found else None
+        # What was not taken is no better, and of the same score only with ids from the last one's on.
+        ahead = (F.col("score") > worst) | (F.col("score") == worst) & (F.col("source_id") < last)
+        if found < n or out.where(ahead).count() >= limit:
             break
         n *= 8
-    photos = photos_per_person(images)
-    who = people.join(photos, "person_id", "left").select(F.col("person_id").cast("bigint").alias("id"), F.struct((F.trim(F.coalesce("name", F.lit(""))) != "").alias("named"), F.coalesce("photos", F.lit(0)).alias("photos"), (-F.col("person_id")).alias("old")).alias("rank"))
-    both = pairs.join(who.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(who.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
-    first = F.col("ra") >= F.col("rb")
-    return both.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("source_id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("target_id"), "score").orderBy(F.desc("score"), "source_id", "target_id").limit(limit).transform(vectors.shown)
+    return out.orderBy(F.desc("score"), "source_id", "target_id").limit(limit).transform(vectors.shown)
 
 
 def mutual_knn_clusters(faces: DataFrame, k: int = NEIGHBOURS, threshold: float = CLUSTER, id_: str = "face_id", vector: str = "vector") -> DataFrame:

@@ -375,15 +375,17 @@ def _top(held: pd.DataFrame, n: int) -> pd.DataFrame:
     return held.sort_values(["score", "a", "b"], ascending=[False, True, True]).head(n)
 
 
-def _top_pairs(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.ndarray, n: int, threshold: float, held: pd.DataFrame) -> pd.DataFrame:
-    """The best n pairs a < b of held and new ones. The threshold rises to the worst of n, so few pairs are made."""
-    parts, size = [held], len(held)
-    for lo in range(0, len(ids) if len(other) else 0, BLOCK):
+def _top_pairs(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.ndarray, n: int, threshold: float, held: pd.DataFrame, apart: bool = False) -> pd.DataFrame:
+    """The best n pairs a < b of held and new ones; of rows that are apart, no row is on both sides and a may be of either. The threshold rises to the worst of n, so few pairs are made."""
+    parts, size, x32, other32 = [held], len(held), x.astype(np.float32), other.astype(np.float32)
+    for lo in range(0, len(ids) if len(other) else 0, BLOCK // 4):
         for at in range(0, len(other), BLOCK):
-            s = np.round(x[lo : lo + BLOCK] @ other[at : at + BLOCK].T, PLACES)
-            r, c = np.nonzero((s >= threshold) & (ids[lo : lo + BLOCK, None] < other_ids[None, at : at + BLOCK]))
-            parts.append(pd.DataFrame({"a": ids[lo + r], "b": other_ids[at + c], "score": s[r, c]}))
-            size += len(r)
+            i, j = slice(lo, lo + BLOCK // 4), slice(at, at + BLOCK)
+            r, c, score = _candidates(x[i], other[j], x32[i], other32[j], np.full(len(x[i]), threshold))
+            a, b = ids[lo + r], other_ids[at + c]
+            d = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": score})
+            parts.append(d if apart else d[a < b])
+            size += len(parts[-1])
             if size > 2 * n:
                 parts = [_top(pd.concat(parts), n)]
                 size, threshold = n, max(threshold, float(parts[0]["score"].iloc[-1]))
@@ -412,14 +414,14 @@ def top_pairs(rows: DataFrame, n: int, threshold: float, id_: str = "image_id",
         part = src.mapInPandas(run, schema)
     else:
         m = max(2, int(-(-stat[0] * stat[1] * 8 // (broadcast_bytes // 4))))
-        block = src.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int"))
-        left = block.select("id", "v", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
-        right = block.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), F.col("block").alias("j"))
+        blocked = saved(spark, _packed(src.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int"))), "blocks")
 
-        def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            return _top_pairs(x["id"].to_numpy(), _unit(x["v"]), y["id"].to_numpy(), _unit(y["v"]), n, threshold, none)
+        def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for _, d in batch.iterrows():
+                    yield _top_pairs(*_unpacked(d, "x"), *_unpacked(d, "y"), n, threshold, none, d["block_x"] != d["block_y"])
 
-        part = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(pair, schema)
+        part = blocks.met(blocked, m, blocked, m, F.col("block_x") <= F.col("block_y")).mapInPandas(pair, schema)
     return part.orderBy(F.desc("score"), "a", "b").limit(n)
 
 

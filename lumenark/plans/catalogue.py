@@ -380,8 +380,11 @@ def merge_suggestions(spark, d):
     photo = (F.col("p") + 10000).cast("bigint").alias("image_id")
     own = first.join(F.broadcast(later.groupBy("r").agg(F.max("b").alias("b"))), "r").where("p < b").select(photo, F.array("p").alias("people_ids"))
     photos = own.unionByName(first.join(F.broadcast(later), "r").where("p < b").select(photo, F.array("b").alias("people_ids")))
-    near = V.knn(v, k=1 << 30).where("a < b AND (a + b) % 5 = 0").select("a", "b")
-    return I.merge_suggestions(people, photos, dismissed=near)
+    # Dismissed are all pairs with sums of ids divisible by 5, near or not; they are made only where candidates are looked up.
+    left = v.select(F.col("image_id").alias("a"), F.pmod(-F.col("image_id"), F.lit(5)).alias("r")).repartition(spark.sparkContext.defaultParallelism * 4)
+    right = v.select(F.col("image_id").alias("b"), F.pmod("image_id", F.lit(5)).alias("r"))
+    dismissed = left.join(F.broadcast(right), "r").where("a < b").select("a", "b")
+    return I.merge_suggestions(people, photos, dismissed=dismissed)
 
 
 @_query("WITH m AS (SELECT a.image_id AS a, a.vector AS v FROM vectors a WHERE a.image_id < 30), e AS (SELECT unnest(v) AS v, generate_subscripts(v, 1) AS pos FROM m), q AS (SELECT list(x ORDER BY pos) AS q FROM (SELECT pos, avg(CAST(v AS DOUBLE)) AS x FROM e GROUP BY pos)) SELECT image_id, round(s, 4) AS score FROM (SELECT image_id, round(list_inner_product(CAST(vector AS DOUBLE[]), q) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[])))), 12) AS s FROM vectors, q WHERE image_id >= 30) ORDER BY s DESC, image_id LIMIT 24")
